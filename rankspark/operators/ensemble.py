@@ -29,17 +29,20 @@ def align_runs(runs: DataFrame, n_runs: int, item_col: str = "item_id", run_col:
     )
 
 
-def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks", out: str = "ranks") -> DataFrame:
+def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks", out: str = "ranks",
+          keep: Sequence[str] = ()) -> DataFrame:
     """AG-20: Borda count over runs; ties to the higher candidate index (D-5).
 
+    ``keep`` columns are per-item constants (e.g. the truth) carried through.
+
     One shuffle on the item key; each group holds one ranking per run. Points per ranking
     are computed before the shuffle, the element-wise sum and final order after it.
     """
-    pts = runs.select(item_col, borda_points(ranks_col).alias("__pts"))
+    pts = runs.select(item_col, *keep, borda_points(ranks_col).alias("__pts"))
     return (
         pts.groupBy(item_col)
-        .agg(add_arrays(F.collect_list("__pts")).alias("__borda"))
-        .select(item_col, rank_desc("__borda", ties="high").alias(out))
+        .agg(add_arrays(F.collect_list("__pts")).alias("__borda"), *[F.first(c).alias(c) for c in keep])
+        .select(item_col, *keep, rank_desc("__borda", ties="high").alias(out))
     )
 
 

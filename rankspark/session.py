@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ranksp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RANKSPARK_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
