@@ -76,13 +76,28 @@ def head_matrix(heads: DataFrame, label_col: str = "label") -> tuple[list[int],
     return runs, classes, m
 
 
+def _sql_number(x, integer: bool) -> str:
+    if integer:
+        return f"{int(x)}L"
+    x = float(x)
+    if x != x or x in (float("inf"), float("-inf")):
+        return f"CAST('{x}' AS DOUBLE)"
+    return f"{x!r}D"
+
+
 def _literal_heads(runs, m: np.ndarray, integer: bool) -> Column:
-    cast = "long" if integer else "double"
+    """One SQL literal for all heads: array(struct(run_id, heads array<array<num>>)).
+
+    Built as a single expression string so plan construction is one call, whatever the
+    number of weights (within ``LITERAL_MAX_WEIGHTS``).
+    """
     per_run = []
     for i, run in enumerate(runs):
-        classes = [F.array(*[F.lit(x).cast(cast) for x in m[i, c]]) for c in range(m.shape[1])]
-        per_run.append(F.struct(F.lit(run).cast("long").alias("run_id"), F.array(*classes).alias("heads")))
-    return F.array(*per_run)
+        classes = ", ".join(
+            "array(" + ", ".join(_sql_number(x, integer) for x in m[i, c]) + ")" for c in range(m.shape[1])
+        )
+        per_run.append(f"named_struct('run_id', {int(run)}L, 'heads', array({classes}))")
+    return F.expr("array(" + ", ".join(per_run) + ")")
 
 
 def score_items(items: DataFrame, heads: DataFrame, vec_col: str, id_col: str = "vec_id",

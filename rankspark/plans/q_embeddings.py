@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import ap_scaled, top1
-from rankspark.operators import ensemble, metrics, ranking, score
+from rankspark.operators import ensemble, fit, metrics, ranking, score, tune
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
 
@@ -162,3 +162,48 @@ def q_cv_oof_map(spark, sf):
     m = metrics.map_at_k(oof, 3, by=["run_id"])
     return m.select(F.col("run_id").alias("fold"), "n_items", "ap_sum", F.round("map", 6).alias("map"))
 
+
+
+# --- ML-4 / ML-6 / AG-18: iterative fitting and search (rows-only checks) ------------------
+
+FIT_STEPS = 20
+# Search space for the linear head's gradient descent (learning rate, L2 decay, init seed).
+SPACE = [
+    tune.Param("learning_rate", "log", 1.0, 50.0),
+    tune.Param("weight_decay", "uniform", 0.0, 0.01),
+    tune.Param("seed", "int", 1, 5),
+]
+N_TRIALS = 4
+TRIAL_STEPS = 10
+
+
+def _fold_split(spark, sf, fold: int = 0):
+    items = fx.embedding_items(spark, sf)
+    f = score.fold_of("vec_id", N_RUNS)
+    return items.where(f != fold), items.where(f == fold)
+
+
+@register("fit_head", None, ("ML-4",), bench=False)
+def q_fit_head(spark, sf):
+    train, _ = _fold_split(spark, sf)
+    head = fit.fit_head(train, steps=FIT_STEPS, lr=20.0, l2=0.001, seed=42)
+    return fit.history_frame(spark, head)
+
+
+def _validation_map(spark, sf, params: dict) -> float:
+    train, valid = _fold_split(spark, sf)
+    head = fit.fit_head(train, lr=params["learning_rate"], l2=params["weight_decay"],
+                        seed=int(params["seed"]), steps=TRIAL_STEPS)
+    ranked = ranking.rank_candidates(fit.score_head(valid, head))
+    return metrics.map_at_k(ranked, 3).first()["map"]
+
+
+@register("trial_search", None, ("ML-6", "SC-8", "UF-3"), bench=False)
+def q_trial_search(spark, sf):
+    trials = tune.trial_grid(spark, SPACE, N_TRIALS, seed=42)
+    return tune.search(spark, trials, lambda p: _validation_map(spark, sf, p))
+
+
+@register("best_trial", None, ("AG-18", "IO-12"), bench=False)
+def q_best_trial(spark, sf):
+    return tune.best_trial(q_trial_search(spark, sf), [p.name for p in SPACE])
