@@ -73,9 +73,10 @@ def read_items(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RANKING_SCHEMA) -> DataFrame:
-    """IO-3 + SO-1: many ranking files (paths or globs); ``run`` = the source file."""
+    """IO-3 + SO-1: many ranking files (paths or globs); ``run`` = the source file, or the
+    output folder for Spark-written ``part-*`` files."""
     df = spark.read.schema(schema).json(list(paths))
-    return df.withColumn("run", F.col("_metadata.file_path"))
+    return df.withColumn("run", F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""))
 
 
 def read_rankings(spark: SparkSession, path: str, schema: T.StructType = RANKING_SCHEMA) -> DataFrame:
