@@ -21,23 +21,36 @@ def _bad(x: Column) -> Column:
     return x.isNull() | F.isnan(x.cast("double"))
 
 
-def rank_desc(scores: Column | str, ties: str = "low") -> Column:
+def rank_desc(scores: Column | str, ties: str = "low", k: int | None = None) -> Column:
     """WN-5 (array form): candidate indices ordered by score, best first.
 
     ``ties="low"`` puts the lower index first on equal scores (D-4, stable descending
     sort); ``ties="high"`` puts the higher index first (D-5, Borda). Null and NaN scores
     rank last (D-7), in index order.
+
+    With ``k`` (the candidate count, known when the vocabulary is) the ranking is unrolled
+    into ``sort_array`` over k structs, which whole-stage codegen compiles; without it a
+    higher-order ``array_sort`` (interpreted) handles any length.
     """
     sign = 1 if ties == "low" else -1
-    keyed = F.transform(
-        _col(scores),
-        lambda x, i: F.struct(
-            _bad(x).cast("int").alias("bad"),
-            F.when(_bad(x), F.lit(0.0)).otherwise(-x.cast("double")).alias("key"),
+    x = _col(scores)
+
+    def keyed(v: Column, i) -> Column:
+        return F.struct(
+            _bad(v).cast("int").alias("bad"),
+            F.when(_bad(v), F.lit(0.0)).otherwise(-v.cast("double")).alias("key"),
             (i * sign).alias("idx"),
-        ),
-    )
-    return F.transform(F.array_sort(keyed), lambda s: s["idx"] * sign)
+        )
+
+    if k is not None:
+        srt = F.sort_array(F.array(*[keyed(F.get(x, i), F.lit(i)) for i in range(k)]))
+        return F.array(*[F.get(srt, j)["idx"] * sign for j in range(k)])
+    return F.transform(F.array_sort(F.transform(x, keyed)), lambda s: s["idx"] * sign)
+
+
+def ranks_text(ranks: Column | str, sep: str = " ") -> Column:
+    """A ranking as text, e.g. ``"2 0 1"``."""
+    return F.array_join(_col(ranks).cast("array<string>"), sep)
 
 
 def top_k(ranks: Column | str, k: int) -> Column:
@@ -65,14 +78,22 @@ def ap_scaled(ranks: Column | str, y: Column | str, k: int) -> Column:
     return F.coalesce(F.when(pos > 0, F.lit(scale) / pos).otherwise(F.lit(0)).cast("long"), F.lit(0).cast("long"))
 
 
-def borda_points(ranks: Column | str) -> Column:
+def borda_points(ranks: Column | str, k: int | None = None) -> Column:
     """AG-20: points per candidate index for one ranking: K - position (0-based).
 
-    The ranking must be a permutation of 0..K-1 (D-16); the result is indexed by candidate.
+    With ``k`` the points are ``k - pos`` of each candidate's first occurrence (0 when
+    absent), unrolled for codegen. Without it the ranking must be a permutation of
+    0..K-1 (D-16) and a higher-order sort is used.
     """
     ranks = _col(ranks)
-    k = F.size(ranks)
-    pairs = F.transform(ranks, lambda c, p: F.struct(c.alias("cand"), (k - p).cast("long").alias("pts")))
+    if k is not None:
+        def pts(c: int) -> Column:
+            pos = F.array_position(ranks, F.lit(c))
+            return F.when(pos > 0, F.lit(k) - pos + 1).otherwise(F.lit(0)).cast("long")
+
+        return F.array(*[pts(c) for c in range(k)])
+    size = F.size(ranks)
+    pairs = F.transform(ranks, lambda c, p: F.struct(c.alias("cand"), (size - p).cast("long").alias("pts")))
     return F.transform(F.array_sort(pairs), lambda s: s["pts"])
 
 
@@ -87,12 +108,21 @@ def add_arrays(arrays: Column | str) -> Column:
     )
 
 
-def softmax_xent(logits: Column | str, y: Column | str) -> Column:
-    """AG-22: softmax cross-entropy over the candidate set, numerically stable."""
-    logits = F.transform(_col(logits), lambda x: x.cast("double"))
-    m = F.array_max(logits)
-    total = F.aggregate(F.transform(logits, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, b: a + b)
-    return m + F.log(total) - F.get(logits, _col(y).cast("int"))
+def softmax_xent(logits: Column | str, y: Column | str, k: int | None = None) -> Column:
+    """AG-22: softmax cross-entropy over the candidate set, numerically stable.
+
+    ``k`` unrolls the log-sum-exp for codegen.
+    """
+    x = _col(logits)
+    if k is not None:
+        xs = [F.get(x, i).cast("double") for i in range(k)]
+        m = F.greatest(*xs) if k > 1 else xs[0]
+        total = sum((F.exp(v - m) for v in xs[1:]), F.exp(xs[0] - m))
+        return m + F.log(total) - F.get(x, _col(y).cast("int")).cast("double")
+    x = F.transform(x, lambda v: v.cast("double"))
+    m = F.array_max(x)
+    total = F.aggregate(F.transform(x, lambda v: F.exp(v - m)), F.lit(0.0), lambda a, b: a + b)
+    return m + F.log(total) - F.get(x, _col(y).cast("int"))
 
 
 def dot(a: Column | str, b: Column | str, zero: Column | None = None) -> Column:
@@ -101,13 +131,21 @@ def dot(a: Column | str, b: Column | str, zero: Column | None = None) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x * y), zero, lambda s, v: s + v)
 
 
-def quantize(vec: Column | str, levels: int = 127) -> Column:
-    """ML-2: per-vector absmax quantisation: floor(v * levels / max|v| + 0.5) as bigint."""
-    vec = F.transform(_col(vec), lambda v: v.cast("double"))
-    m = F.array_max(F.transform(vec, lambda v: F.abs(v)))
+def max_abs(vec: Column | str) -> Column:
+    """Largest absolute value of a numeric array, as double."""
+    return F.array_max(F.transform(_col(vec), lambda v: F.abs(v.cast("double"))))
+
+
+def quantize(vec: Column | str, levels: int = 127, scale: Column | str | None = None) -> Column:
+    """ML-2: per-vector absmax quantisation: floor(v * levels / max|v| + 0.5) as bigint.
+
+    Pass ``scale`` (a column holding ``max_abs(vec)``) to compute the maximum once per row;
+    higher-order functions are interpreted, so the maximum must not sit inside the lambda.
+    """
+    m = max_abs(vec) if scale is None else _col(scale)
     return F.transform(
-        vec,
+        _col(vec),
         lambda v: F.when(m == 0, F.lit(0).cast("long")).otherwise(
-            F.floor(v * levels / m + F.lit(0.5)).cast("long")
+            F.floor(v.cast("double") * levels / m + F.lit(0.5)).cast("long")
         ),
     )

@@ -91,10 +91,10 @@ def confusion_normalized(cm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def candidate_loss(scores: DataFrame, logits_col: str = "logits", y_col: str = "y_true",
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), k: int | None = None) -> DataFrame:
     """AG-22: mean softmax cross-entropy over each item's candidates, per group."""
     return scores.groupBy(*by).agg(
-        F.avg(softmax_xent(logits_col, y_col)).alias("loss"), F.count(F.lit(1)).alias("n_items")
+        F.avg(softmax_xent(logits_col, y_col, k)).alias("loss"), F.count(F.lit(1)).alias("n_items")
     )
 
 

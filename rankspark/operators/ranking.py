@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import rank_desc, top1, top_k
+from rankspark.functions.arrays import ranks_text as _ranks_text
 from rankspark.operators.prepare import decode_labels
 
 
-def rank_candidates(scores: DataFrame, logits_col: str = "logits", out: str = "ranks") -> DataFrame:
-    """WN-5, array form: row-local, no shuffle; works on streams as well."""
-    return scores.withColumn(out, rank_desc(logits_col, ties="low"))
+def rank_candidates(scores: DataFrame, logits_col: str = "logits", out: str = "ranks",
+                    k: int | None = None) -> DataFrame:
+    """WN-5, array form: row-local, no shuffle; works on streams as well.
+
+    ``k`` = candidates per item when known (unrolled, codegen'd ranking)."""
+    return scores.withColumn(out, rank_desc(logits_col, ties="low", k=k))
 
 
 def rank_long(scores: DataFrame, item_cols: Sequence[str], cand_col: str = "cand_idx",
@@ -48,7 +52,7 @@ def top1_prediction(df: DataFrame, ranks_col: str = "ranks", out: str = "pred_id
 
 def ranks_text(ranks_col: str = "ranks", sep: str = " "):
     """A ranking as text, e.g. ``"2 0 1"`` (JSONL-free exchange format)."""
-    return F.array_join(F.transform(F.col(ranks_col), lambda x: x.cast("string")), sep)
+    return _ranks_text(ranks_col, sep)
 
 
 def submission(ranked: DataFrame, vocab: DataFrame, key: str = "row_id", ranks_col: str = "ranks",

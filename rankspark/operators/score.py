@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions.arrays import dot, quantize
+from rankspark.functions.arrays import dot, max_abs, quantize
 from rankspark.operators.joins import TooLarge, collect_small
 
 # Heads up to this many numbers are inlined into the plan; above it mapInPandas is used.
@@ -33,7 +33,8 @@ def fold_of(id_col: str, n_folds: int) -> Column:
 
 def with_quantized(items: DataFrame, vec_col: str = "embedding", levels: int = 127, out: str = "q") -> DataFrame:
     """ML-2: per-vector absmax quantisation to integers in [-levels, levels]."""
-    return items.withColumn(out, quantize(vec_col, levels))
+    with_scale = items.withColumn("__scale", max_abs(vec_col))
+    return with_scale.withColumn(out, quantize(vec_col, levels, "__scale")).drop("__scale")
 
 
 def centroid_heads(items: DataFrame, vec_col: str, label_col: str = "label", id_col: str = "vec_id",
@@ -103,6 +104,13 @@ def _literal_heads(runs, m: np.ndarray, integer: bool) -> Column:
 def score_items(items: DataFrame, heads: DataFrame, vec_col: str, id_col: str = "vec_id",
                 label_col: str = "label", integer: bool = True, held_out_only: bool = False,
                 n_runs: int | None = None) -> DataFrame:
+    """Logits of every item under every run's heads (see ``score_items_k``)."""
+    return score_items_k(items, heads, vec_col, id_col, label_col, integer, held_out_only, n_runs)[0]
+
+
+def score_items_k(items: DataFrame, heads: DataFrame, vec_col: str, id_col: str = "vec_id",
+                  label_col: str = "label", integer: bool = True, held_out_only: bool = False,
+                  n_runs: int | None = None) -> tuple[DataFrame, int]:
     """Logits of every item under every run's heads: ``run_id, item_id, y_true, logits``.
 
     ``logits[c]`` belongs to the c-th class in sorted order; ``y_true`` is the item's
@@ -111,7 +119,8 @@ def score_items(items: DataFrame, heads: DataFrame, vec_col: str, id_col: str =
     """
     runs, classes, m = head_matrix(heads, label_col)
     if m.size > LITERAL_MAX_WEIGHTS:
-        return _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, integer, held_out_only)
+        return _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, integer,
+                                  held_out_only), len(classes)
     class_arr = F.array(*[F.lit(c) for c in classes])
     y = (F.array_position(class_arr, F.col(label_col)) - 1).cast("long")
     zero = F.lit(0).cast("long") if integer else F.lit(0.0)
@@ -123,7 +132,7 @@ def score_items(items: DataFrame, heads: DataFrame, vec_col: str, id_col: str =
     return src.select(
         F.col("__h.run_id").alias("run_id"), "item_id", "y_true",
         F.transform("__h.heads", lambda w: dot(vec, w, zero)).alias("logits"),
-    )
+    ), len(classes)
 
 
 def _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, integer, held_out_only):

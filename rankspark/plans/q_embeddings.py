@@ -39,21 +39,33 @@ franked AS (
 """
 AP6 = "CASE rnk WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END"
 
+
 def _items(spark, sf):
     return score.with_quantized(fx.embedding_items(spark, sf), "embedding", LEVELS)
 
+
 def _int_heads(items):
     return score.centroid_heads(items, "q", n_runs=N_RUNS, integer=True)
 
+
 def int8_scores(spark, sf, held_out_only: bool = False):
+    """(scores, K): INT8 logits per (run, item) under leave-one-third-out centroid heads."""
     items = _items(spark, sf)
-    return score.score_items(items, _int_heads(items), "q", integer=True,
-                             held_out_only=held_out_only, n_runs=N_RUNS)
+    return score.score_items_k(items, _int_heads(items), "q", integer=True,
+                               held_out_only=held_out_only, n_runs=N_RUNS)
+
 
 def float_scores(spark, sf):
+    """(scores, K): float logits under float centroid heads (ML-1)."""
     items = fx.embedding_items(spark, sf)
     heads = score.centroid_heads(items, "embedding", n_runs=N_RUNS, integer=False)
-    return score.score_items(items, heads, "embedding", integer=False)
+    return score.score_items_k(items, heads, "embedding", integer=False)
+
+
+def _ranked(scores_k):
+    scores, k = scores_k
+    return ranking.rank_candidates(scores, k=k), k
+
 
 @register(
     "int8_borda_map",
@@ -68,18 +80,20 @@ def float_scores(spark, sf):
 )
 def q_int8_borda_map(spark, sf):
     """Minimum slice: INT8 -> 3 leave-one-third-out centroid heads -> rank -> Borda -> MAP@3."""
-    ranked = ranking.rank_candidates(int8_scores(spark, sf))
-    b = ensemble.borda(ranked, keep=("y_true",))
+    ranked, k = _ranked(int8_scores(spark, sf))
+    b = ensemble.borda(ranked, keep=("y_true",), k=k)
     m = metrics.map_at_k(b, 3)
     return m.select("n_items", "ap_sum", F.round("map", 6).alias("map"))
 
+
 @register(
     "int8_score",
     EMB + "SELECT run_id, item_id, y_true, cand_idx, logit FROM sc",
     ("ML-2",),
 )
 def q_int8_score(spark, sf):
-    return score.to_long(int8_scores(spark, sf))
+    return score.to_long(int8_scores(spark, sf)[0])
+
 
 @register(
     "linear_score",
@@ -87,7 +101,8 @@ def q_int8_score(spark, sf):
     ("ML-1",),
 )
 def q_linear_score(spark, sf):
-    return score.to_long(float_scores(spark, sf)).withColumn("logit", F.round("logit", 6))
+    return score.to_long(float_scores(spark, sf)[0]).withColumn("logit", F.round("logit", 6))
+
 
 @register(
     "int8_agreement",
@@ -102,9 +117,8 @@ def q_linear_score(spark, sf):
     ("ML-2",),
 )
 def q_int8_agreement(spark, sf):
-    i = ranking.rank_candidates(int8_scores(spark, sf)).select(
-        "run_id", "item_id", "y_true", F.col("ranks").alias("ri"))
-    f = ranking.rank_candidates(float_scores(spark, sf)).select("run_id", "item_id", F.col("ranks").alias("rf"))
+    i = _ranked(int8_scores(spark, sf))[0].select("run_id", "item_id", "y_true", F.col("ranks").alias("ri"))
+    f = _ranked(float_scores(spark, sf))[0].select("run_id", "item_id", F.col("ranks").alias("rf"))
     j = i.join(f, ["run_id", "item_id"])
     return j.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -113,6 +127,7 @@ def q_int8_agreement(spark, sf):
         F.sum(ap_scaled("ri", "y_true", 3)).cast("long").alias("ap_sum_int8"),
     )
 
+
 def numpy_dot_scorer(heads: np.ndarray, runs: list[int]):
     """A user-style scorer factory: integer dot products of quantised vectors with heads."""
 
@@ -137,6 +152,7 @@ def numpy_dot_scorer(heads: np.ndarray, runs: list[int]):
 
     return make
 
+
 @register("plug_scorer", EMB + "SELECT run_id, item_id, y_true, cand_idx, logit FROM sc", ("ML-3", "UF-2"))
 def q_plug_scorer(spark, sf):
     items = _items(spark, sf)
@@ -150,6 +166,7 @@ def q_plug_scorer(spark, sf):
     return score.score_with(items.select("vec_id", "label", "q"), make,
                             "run_id long, item_id long, y_true long, cand_idx long, logit long")
 
+
 @register(
     "cv_oof_map",
     EMB + f"""SELECT run_id AS fold, count(*) AS n_items, CAST(sum({AP6}) AS BIGINT) AS ap_sum,
@@ -158,12 +175,11 @@ def q_plug_scorer(spark, sf):
     ("ML-5",),
 )
 def q_cv_oof_map(spark, sf):
-    oof = ranking.rank_candidates(int8_scores(spark, sf, held_out_only=True))
+    oof, _ = _ranked(int8_scores(spark, sf, held_out_only=True))
     m = metrics.map_at_k(oof, 3, by=["run_id"])
     return m.select(F.col("run_id").alias("fold"), "n_items", "ap_sum", F.round("map", 6).alias("map"))
 
 
-
 # --- ML-4 / ML-6 / AG-18: iterative fitting and search (rows-only checks) ------------------
 
 FIT_STEPS = 20

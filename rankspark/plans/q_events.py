@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankspark.functions.arrays import ap_scaled, softmax_xent
 from rankspark.operators import ensemble, metrics, ranking
 from rankspark.operators.prepare import label_vocab
 from rankspark.plans import oracle as O
@@ -12,12 +13,18 @@ from rankspark.sources import fixtures as fx
 from rankspark.sources.tables import read_table
 
 
+def _scores(spark, sf):
+    return fx.event_scores_k(spark, sf)
+
+
 def _run_ranks(spark, sf):
-    return ranking.rank_candidates(fx.event_scores(spark, sf))
+    scores, k = _scores(spark, sf)
+    return ranking.rank_candidates(scores, k=k)
 
 
-def _k(spark, sf) -> int:
-    return fx.event_labels(spark, sf).count()
+def _ranks_k(spark, sf):
+    scores, k = _scores(spark, sf)
+    return ranking.rank_candidates(scores, k=k), k
 
 
 EV = O.with_ctes(*O.EVENT_ALL)
@@ -99,7 +106,8 @@ def q_align_runs(spark, sf):
     ("AG-20",),
 )
 def q_borda(spark, sf):
-    b = ensemble.borda(_run_ranks(spark, sf))
+    ranked, k = _ranks_k(spark, sf)
+    b = ensemble.borda(ranked, k=k)
     return b.select("item_id", ranking.ranks_text("ranks").alias("ranks"))
 
 
@@ -111,7 +119,8 @@ def q_borda(spark, sf):
     ("AG-21",),
 )
 def q_mean_logit(spark, sf):
-    m = ensemble.mean_logit(fx.event_scores(spark, sf))
+    scores, k = _scores(spark, sf)
+    m = ensemble.mean_logit(scores, k=k)
     return m.select("item_id", ranking.ranks_text("ranks").alias("ranks"))
 
 
@@ -130,7 +139,8 @@ item_loss AS (
     ("AG-22",),
 )
 def q_candidate_loss(spark, sf):
-    loss = metrics.candidate_loss(fx.event_scores(spark, sf), by=["run_id"])
+    scores, k = _scores(spark, sf)
+    loss = metrics.candidate_loss(scores, by=["run_id"], k=k)
     return loss.select("run_id", "n_items", F.round("loss", 6).alias("loss"))
 
 
@@ -144,8 +154,8 @@ cm AS (SELECT g.run_id, g.true_idx, g.pred_idx, CAST(coalesce(c.n, 0) AS BIGINT)
 
 @register("confusion", EV + CONF_SQL_CTE + " SELECT * FROM cm", ("AG-16",))
 def q_confusion(spark, sf):
-    top = ranking.top1_prediction(_run_ranks(spark, sf))
-    return metrics.confusion(top, _k(spark, sf), by=["run_id"])
+    ranked, k = _ranks_k(spark, sf)
+    return metrics.confusion(ranking.top1_prediction(ranked), k, by=["run_id"])
 
 
 @register(
@@ -156,8 +166,8 @@ def q_confusion(spark, sf):
     ("AG-17",),
 )
 def q_confusion_normalized(spark, sf):
-    top = ranking.top1_prediction(_run_ranks(spark, sf))
-    cm = metrics.confusion(top, _k(spark, sf), by=["run_id"])
+    ranked, k = _ranks_k(spark, sf)
+    cm = metrics.confusion(ranking.top1_prediction(ranked), k, by=["run_id"])
     return metrics.confusion_normalized(cm, by=["run_id"]).withColumn("rate", F.round("rate", 6))
 
 
@@ -170,7 +180,8 @@ def q_confusion_normalized(spark, sf):
     ("PF-11", "JN-2"),
 )
 def q_submission(spark, sf):
-    b = ensemble.borda(_run_ranks(spark, sf)).withColumnRenamed("item_id", "row_id")
+    ranked, k = _ranks_k(spark, sf)
+    b = ensemble.borda(ranked, k=k).withColumnRenamed("item_id", "row_id")
     return ranking.submission(b, fx.event_labels(spark, sf), key="row_id")
 
 
@@ -187,7 +198,8 @@ def q_submission(spark, sf):
 )
 def q_align_truth(spark, sf):
     truth = read_table(spark, sf, "events").select(F.col("event_id").alias("item_id"))
-    preds = ensemble.borda(_run_ranks(spark, sf))
+    ranked, k = _ranks_k(spark, sf)
+    preds = ensemble.borda(ranked, k=k)
     return metrics.align_truth(truth, preds, "item_id")
 
 
@@ -200,11 +212,10 @@ per_fold AS (
 
 
 def _per_fold(spark, sf):
-    ranked = _run_ranks(spark, sf).withColumn("fold", F.col("item_id") % fx.N_FOLDS_LEADERBOARD)
-    from rankspark.functions.arrays import ap_scaled, softmax_xent
-
+    ranked, k = _ranks_k(spark, sf)
+    ranked = ranked.withColumn("fold", F.col("item_id") % fx.N_FOLDS_LEADERBOARD)
     return ranked.groupBy("run_id", "fold").agg(
-        F.avg(softmax_xent("logits", "y_true")).alias("loss"),
+        F.avg(softmax_xent("logits", "y_true", k)).alias("loss"),
         (F.sum(ap_scaled("ranks", "y_true", 3)).cast("double") / (F.count(F.lit(1)) * 6).cast("double")).alias("map"),
     )
 

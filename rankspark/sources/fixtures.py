@@ -66,11 +66,16 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
-    """Multi-run candidate scores, array form: ``run_id, item_id, y_true, logits``.
+    """Multi-run candidate scores, array form: ``run_id, item_id, y_true, logits``."""
+    return event_scores_k(spark, sf_dir, n_runs)[0]
+
+
+def event_scores_k(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> tuple[DataFrame, int]:
+    """Multi-run candidate scores and K (candidates per item).
 
     One row per (run, item); ``logits[c]`` is the score of candidate c. Candidates are the
-    dense label indices 0..K-1, generated per row, so no join with the label table is
-    needed beyond the truth lookup.
+    dense label indices 0..K-1, generated per row (an unrolled array expression), so no
+    join with the label table is needed beyond the truth lookup.
     """
     vocab = event_labels(spark, sf_dir)
     k = vocab.count()
@@ -89,8 +94,8 @@ def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> Data
         base = (F.col("item_id") * SCORE_ITEM_MUL + c * SCORE_CAND_MUL + F.col("run_id") * SCORE_RUN_MUL) % SCORE_MOD
         return base + F.when(c == F.col("y_true"), F.lit(SCORE_TRUTH_BONUS)).otherwise(F.lit(0))
 
-    cands = F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
-    return runs.select("run_id", "item_id", "y_true", F.transform(cands, logit).alias("logits"))
+    logits = F.array(*[logit(F.lit(c)) for c in range(k)])
+    return runs.select("run_id", "item_id", "y_true", logits.alias("logits")), int(k)
 
 
 def event_scores_long(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
