@@ -21,30 +21,32 @@ def _bad(x: Column) -> Column:
     return x.isNull() | F.isnan(x.cast("double"))
 
 
+def _sort_key(v: Column) -> Column:
+    """Ascending sort key for a descending score: -score, with null and NaN last (+inf)."""
+    inf = F.lit(float("inf"))
+    return F.coalesce(F.nanvl(-v.cast("double"), inf), inf)
+
+
 def rank_desc(scores: Column | str, ties: str = "low", k: int | None = None) -> Column:
     """WN-5 (array form): candidate indices ordered by score, best first.
 
     ``ties="low"`` puts the lower index first on equal scores (D-4, stable descending
     sort); ``ties="high"`` puts the higher index first (D-5, Borda). Null and NaN scores
-    rank last (D-7), in index order.
+    rank last (D-7), in index order (a score of -inf ties with them).
 
     With ``k`` (the candidate count, known when the vocabulary is) the ranking is unrolled
-    into ``sort_array`` over k structs, which whole-stage codegen compiles; without it a
-    higher-order ``array_sort`` (interpreted) handles any length.
+    into ``sort_array`` over k (key, index) structs, which whole-stage codegen compiles;
+    without it a higher-order ``array_sort`` (interpreted) handles any length.
     """
     sign = 1 if ties == "low" else -1
     x = _col(scores)
 
     def keyed(v: Column, i) -> Column:
-        return F.struct(
-            _bad(v).cast("int").alias("bad"),
-            F.when(_bad(v), F.lit(0.0)).otherwise(-v.cast("double")).alias("key"),
-            (i * sign).alias("idx"),
-        )
+        return F.struct(_sort_key(v).alias("key"), (i * sign).alias("idx"))
 
     if k is not None:
         srt = F.sort_array(F.array(*[keyed(F.get(x, i), F.lit(i)) for i in range(k)]))
-        return F.array(*[F.get(srt, j)["idx"] * sign for j in range(k)])
+        return F.transform(srt, lambda s: s["idx"] * sign)
     return F.transform(F.array_sort(F.transform(x, keyed)), lambda s: s["idx"] * sign)
 
 

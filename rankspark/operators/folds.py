@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.operators.joins import lookup_join
-from rankspark.operators.windows import hash_bucket, split_row_number
+from rankspark.operators.windows import hash_bucket, running_start, split_row_number
 
 
 def shuffle_key(key: str, seed: int) -> F.Column:
@@ -21,13 +21,17 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: in
     Rows are ordered by (stratum, seeded hash); the fold is (global position - 1) mod k.
     Within a stratum consecutive rows go to consecutive folds, so per-stratum fold sizes
     differ by at most 1, and since each stratum starts where the previous one ended, the
-    total fold sizes differ by at most 1 too. The global position comes from
-    ``split_row_number`` over (stratum, hash-prefix) buckets (16**n_hex per stratum): no
-    single-partition window over the data, and a stratum with a third of all rows is
-    numbered by many tasks.
+    total fold sizes differ by at most 1 too.
+
+    The position within a stratum comes from ``split_row_number`` over hash-prefix
+    buckets (16**n_hex per stratum, numbered by separate tasks, so a stratum with a third
+    of all rows is spread out); the stratum's start is a running sum over one row per
+    stratum (checked size).
     """
     src = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__b", hash_bucket(F.col("__h"), n_hex))
-    ranked = split_row_number(src, [], [F.col(stratum), F.col("__h"), F.col(key)], [stratum, "__b"], "__g")
+    sizes = src.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    start = running_start(sizes, [stratum])
+    ranked = split_row_number(src, [stratum], [F.col("__h"), F.col(key)], ["__b"], "__g", start=start)
     return ranked.withColumn(out, ((F.col("__g") - 1) % k).cast("int")).drop("__h", "__b", "__g")
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables up to this many rows are broadcast to every task.
+# Dimension tables up to this many rows and bytes are broadcast to every task.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 # Vocabularies up to this size may be inlined as a literal array in an expression.
 LITERAL_MAX_VALUES = 20_000
 
@@ -27,19 +28,28 @@ def checked_count(df: DataFrame, max_rows: int, what: str = "table") -> int:
     return n
 
 
+def cached_bytes(df: DataFrame) -> int:
+    """Size in bytes of a cached (materialised) frame, from its in-memory statistics."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
     on: str | list[str] | Column,
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """Join a dimension-like table: broadcast when its counted size is within ``max_rows``.
+    """Join a dimension-like table: broadcast when its measured size is within bounds.
 
-    The small side is cached so the count and the join read it once.
+    The small side is cached and counted, so both its row count and its in-memory byte
+    size are known before the broadcast is chosen; above either bound the join stays a
+    shuffle join (AQE may still re-plan it, or split skewed partitions).
     """
     small = small.cache()
-    if small.count() <= max_rows:
+    if small.count() <= max_rows and cached_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 

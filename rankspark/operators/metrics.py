@@ -59,10 +59,8 @@ def confusion(preds: DataFrame, n_labels: int, y_col: str = "y_true", pred_col:
     ``confusion_errors`` counts them.
     """
     by = list(by)
-    valid = preds.where(
-        F.col(y_col).between(0, n_labels - 1) & F.col(pred_col).between(0, n_labels - 1)
-    )
-    counts = valid.groupBy(*by, F.col(y_col).cast("long").alias("true_idx"),
+    # no filter here: cells outside the grid simply find no partner in the left join
+    counts = preds.groupBy(*by, F.col(y_col).cast("long").alias("true_idx"),
                            F.col(pred_col).cast("long").alias("pred_idx")).agg(F.count(F.lit(1)).alias("n"))
     axis = F.sequence(F.lit(0).cast("long"), F.lit(n_labels - 1).cast("long"))
     if by:
@@ -72,7 +70,11 @@ def confusion(preds: DataFrame, n_labels: int, y_col: str = "y_true", pred_col:
     grid = groups.select(*by, F.explode(axis).alias("true_idx")).select(
         *by, "true_idx", F.explode(axis).alias("pred_idx")
     )
-    return grid.join(counts, by + ["true_idx", "pred_idx"], "left").select(
+    # null-safe keys: no inferred isnotnull filter is pushed into (and recomputes) the ranking
+    keys = by + ["true_idx", "pred_idx"]
+    c = counts.select(*[F.col(x).alias(f"__c_{x}") for x in keys], "n")
+    cond = [grid[x].eqNullSafe(c[f"__c_{x}"]) for x in keys]
+    return grid.join(c, cond, "left").select(
         *by, "true_idx", "pred_idx", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")
     )
 

@@ -128,15 +128,19 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def rank_first(df: DataFrame, value: str, order_col: str = "row_id", out: str = "rnk",
-               buckets: int = 16) -> DataFrame:
+               buckets: int = 16, coarse_buckets: int = 1024) -> DataFrame:
     """WN-2: rank by value, ties by ``order_col`` (pandas ``rank(method="first")``).
 
-    A global order without a global window: ``split_row_number`` over buckets of
-    (value, order-range), so even a value shared by a third of the rows is spread out.
+    A global order without a global window over the data: ``split_row_number`` over
+    buckets of (value, order-range), so even a value shared by a third of the rows is
+    numbered by several tasks; the offsets of those buckets are summed per equal-width
+    value range, so no single task sees more than one row per value range.
     """
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    lo, hi, vlo, vhi = df.agg(F.min(order_col), F.max(order_col),
+                              F.min(value).cast("double"), F.max(value).cast("double")).first()
     src = df.withColumn("__ob", range_bucket(F.col(order_col), lo or 0, hi or 0, buckets))
-    ranked = split_row_number(src, [], [F.col(value), F.col(order_col)], [value, "__ob"], out)
+    coarse = range_bucket(F.col(value), vlo or 0.0, vhi or 0.0, coarse_buckets)
+    ranked = split_row_number(src, [], [F.col(value), F.col(order_col)], [value, "__ob"], out, coarse=coarse)
     return ranked.drop("__ob")
 
 

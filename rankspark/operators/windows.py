@@ -22,6 +22,7 @@ from rankspark.operators.joins import lookup_join
 
 _OFF = "__rs_offset"
 _CNT = "__rs_count"
+_CO = "__rs_coarse"
 
 
 def split_row_number(
@@ -30,26 +31,59 @@ def split_row_number(
     order_cols: Sequence[Column | str],
     bucket_cols: Sequence[str],
     out: str = "rn",
+    coarse: Column | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based row number within ``partition_cols`` ordered by ``order_cols``.
 
-    ``bucket_cols`` are existing columns, monotone along the order; their distinct count
-    per partition bounds the helper table (keep it to thousands).
+    ``bucket_cols`` are existing columns, monotone along the order; each data group
+    ``(P, B)`` is numbered by its own task, so a hot key is spread over its buckets.
+
+    The offsets come from the table of counts per ``(P, B)``. Its running sum is again
+    split: ``coarse`` (an expression over the bucket columns, monotone along the order,
+    with a bounded number of values) groups count rows, so the running sums are
+    partitioned by ``(P, coarse)`` and only one row per coarse group goes through the
+    final running window. ``start`` optionally adds a per-partition starting offset
+    (``P`` columns plus ``__rs_start``).
     """
     part = list(partition_cols)
     keys = part + list(bucket_cols)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT))
-    running = Window.partitionBy(*part).orderBy(*bucket_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    run = (Window.unboundedPreceding, Window.currentRow)
+    if coarse is None:
+        coarse = F.lit(0)
+    counts = counts.withColumn(_CO, coarse)
+    # running sum inside each (P, coarse) group
+    w_in = Window.partitionBy(*part, _CO).orderBy(*bucket_cols).rowsBetween(*run)
+    inner = counts.withColumn(_OFF, F.sum(_CNT).over(w_in) - F.col(_CNT))
+    # offset of each coarse group inside P: small table, one row per (P, coarse)
+    groups = counts.groupBy(*part, _CO).agg(F.sum(_CNT).alias("__rs_g"))
+    w_g = (Window.partitionBy(*part).orderBy(_CO) if part else Window.orderBy(_CO)).rowsBetween(*run)
+    groups = groups.select(*part, _CO, (F.sum("__rs_g").over(w_g) - F.col("__rs_g")).alias("__rs_goff"))
+    offsets = inner.join(groups, part + [_CO]).select(
+        *keys, (F.col(_OFF) + F.col("__rs_goff")).alias(_OFF)
     )
-    if not part:
-        running = Window.orderBy(*bucket_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*keys, (F.sum(_CNT).over(running) - F.col(_CNT)).alias(_OFF))
+    if start is not None:
+        offsets = offsets.join(start, part).select(*keys, (F.col(_OFF) + F.col("__rs_start")).alias(_OFF))
     joined = lookup_join(df, offsets, keys, "inner")
     within = Window.partitionBy(*keys).orderBy(*order_cols)
     return joined.withColumn(out, F.col(_OFF) + F.row_number().over(within)).drop(_OFF)
 
 
+def running_start(sizes: DataFrame, key_cols: Sequence[str], count_col: str = "n",
+                  max_rows: int = 10_000_000) -> DataFrame:
+    """Starting offset of each key in key order: rows of all earlier keys (``__rs_start``).
+
+    A single running window over one row per key; the key count is checked first.
+    """
+    from rankspark.operators.joins import checked_count
+
+    sizes = sizes.cache()
+    checked_count(sizes, max_rows, "offset table")
+    w = Window.orderBy(*key_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
+
+
 def hash_bucket(c: Column, n_hex: int = 3) -> Column:
     """Bucket of a hex digest column by its first ``n_hex`` digits (16**n_hex buckets)."""
     return F.conv(F.substring(c, 1, n_hex), 16, 10).cast("int")
