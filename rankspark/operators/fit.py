@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.operators.joins import share
+
 MAX_HEAD_WEIGHTS = 10_000_000
 _LOSS, _COUNT = -1, -2
 
@@ -79,7 +81,7 @@ def fit_head(items: DataFrame, vec_col: str = "embedding", label_col: str = "lab
     class_pos = {c: i for i, c in enumerate(classes)}
     history = []
     for step in range(steps):
-        bc = spark.sparkContext.broadcast((w, b))
+        bc = share(spark, (w, b))
         parts = data.mapInPandas(_grad_fn(bc, vec_col, label_col, class_pos), "idx long, g double")
         sums = parts.groupBy("idx").agg(F.sum("g").alias("g"))
         expected_rows = k * h + k + 2

@@ -28,10 +28,16 @@ def checked_count(df: DataFrame, max_rows: int, what: str = "table") -> int:
     return n
 
 
-def cached_bytes(df: DataFrame) -> int:
-    """Size in bytes of a cached (materialised) frame, from its in-memory statistics."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
+def cached_bytes(df: DataFrame) -> int | None:
+    """Size in bytes of a cached (materialised) frame, from its in-memory statistics.
+
+    None when the plan statistics are not reachable from this client.
+    """
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001 - e.g. a remote client without JVM access
+        return None
 
 
 def lookup_join(
@@ -49,11 +55,32 @@ def lookup_join(
     shuffle join (AQE may still re-plan it, or split skewed partitions).
     """
     small = small.cache()
-    if small.count() <= max_rows and cached_bytes(small) <= max_bytes:
-        return big.join(F.broadcast(small), on, how)
+    if small.count() <= max_rows:
+        size = cached_bytes(small)
+        if size is not None and size <= max_bytes:
+            return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
+class _Held:
+    """Stand-in for a broadcast variable when no SparkContext is reachable."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def unpersist(self):
+        return None
+
+
+def share(spark, value):
+    """Ship a small driver-side value (weights, heads) to tasks: a broadcast variable when
+    the SparkContext is reachable, else the value travels with the task closure."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001
+        return _Held(value)
+
+
 def collect_small(df: DataFrame, max_rows: int, what: str = "table") -> list:
     """Rows of a table whose size is bounded by construction (checked before collecting)."""
     checked_count(df, max_rows, what)

@@ -135,13 +135,22 @@ def rank_first(df: DataFrame, value: str, order_col: str = "row_id", out: str =
     buckets of (value, order-range), so even a value shared by a third of the rows is
     numbered by several tasks; the offsets of those buckets are summed per equal-width
     value range, so no single task sees more than one row per value range.
+
+    The input is read several times (statistics, counts, numbering), so it is cached:
+    project it to the needed columns first.
     """
-    lo, hi, vlo, vhi = df.agg(F.min(order_col), F.max(order_col),
-                              F.min(value).cast("double"), F.max(value).cast("double")).first()
+    return _rank_first(df.cache(), value, order_col, out, buckets, coarse_buckets)[0]
+
+
+def _rank_first(df, value, order_col, out, buckets, coarse_buckets):
+    n, lo, hi, vlo, vhi = df.agg(
+        F.count(F.lit(1)), F.min(order_col), F.max(order_col),
+        F.min(value).cast("double"), F.max(value).cast("double"),
+    ).first()
     src = df.withColumn("__ob", range_bucket(F.col(order_col), lo or 0, hi or 0, buckets))
     coarse = range_bucket(F.col(value), vlo or 0.0, vhi or 0.0, coarse_buckets)
     ranked = split_row_number(src, [], [F.col(value), F.col(order_col)], [value, "__ob"], out, coarse=coarse)
-    return ranked.drop("__ob")
+    return ranked.drop("__ob"), n
 
 
 def decile(rank_col: str, n: int) -> F.Column:
@@ -157,15 +166,15 @@ def decile(rank_col: str, n: int) -> F.Column:
 
 
 def length_deciles(df: DataFrame, value: str = "n_words", order_col: str = "row_id") -> DataFrame:
-    """WN-2 + WN-3: ``rnk`` and ``decile`` per row."""
-    n = df.count()
-    return rank_first(df, value, order_col).withColumn("decile", decile("rnk", n))
+    """WN-2 + WN-3: ``rnk`` and ``decile`` per row (input cached; project it first)."""
+    ranked, n = _rank_first(df.cache(), value, order_col, "rnk", 16, 1024)
+    return ranked.withColumn("decile", decile("rnk", n))
 
 
 def rate_by_decile(df: DataFrame, flag: str = "has_misconception", value: str = "n_words",
                    order_col: str = "row_id") -> DataFrame:
     """AG-14: mean of a flag per length decile."""
-    d = length_deciles(df, value, order_col)
+    d = length_deciles(df.select(order_col, value, flag), value, order_col)
     return d.groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("rate")
     )

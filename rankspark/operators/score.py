@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import dot, max_abs, quantize
-from rankspark.operators.joins import TooLarge, collect_small
+from rankspark.operators.joins import TooLarge, collect_small, share
 
 # Heads up to this many numbers are inlined into the plan; above it mapInPandas is used.
 LITERAL_MAX_WEIGHTS = 50_000
@@ -139,7 +139,7 @@ def _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, inte
     """Large heads: one broadcast numpy tensor, batched matrix products in mapInPandas."""
     spark = items.sparkSession
     dtype = np.int64 if integer else np.float64
-    bc = spark.sparkContext.broadcast(np.array(m.tolist(), dtype=dtype))
+    bc = share(spark, np.array(m.tolist(), dtype=dtype))
     class_pos = {c: i for i, c in enumerate(classes)}
     n_runs = len(runs)
     logit_type = "bigint" if integer else "double"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import ap_scaled, top1
 from rankspark.operators import ensemble, fit, metrics, ranking, score, tune
+from rankspark.operators.joins import share
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
 
@@ -158,7 +159,7 @@ def q_plug_scorer(spark, sf):
     items = _items(spark, sf)
     runs, classes, m = score.head_matrix(_int_heads(items))
     heads = np.array(m.tolist(), dtype=np.int64)
-    bc = spark.sparkContext.broadcast(heads)
+    bc = share(spark, heads)
 
     def make():
         return numpy_dot_scorer(bc.value, runs)()

@@ -320,7 +320,7 @@ def q_hist_responses(spark, sf):
     ("WN-2",),
 )
 def q_rank_first(spark, sf):
-    return profile.rank_first(_derived(spark, sf), "n_words").select("row_id", "rnk")
+    return profile.rank_first(_derived(spark, sf).select("row_id", "n_words"), "n_words").select("row_id", "rnk")
 
 
 DECILES = """, rk AS (SELECT row_id, has_misconception, CAST(row_number() OVER (ORDER BY n_words, row_id) AS BIGINT) AS rnk,
@@ -334,7 +334,8 @@ DECILES = """, rk AS (SELECT row_id, has_misconception, CAST(row_number() OVER (
     ("WN-3",),
 )
 def q_length_deciles(spark, sf):
-    return profile.length_deciles(_derived(spark, sf)).select("row_id", "rnk", "decile")
+    d = _derived(spark, sf).select("row_id", "n_words")
+    return profile.length_deciles(d).select("row_id", "rnk", "decile")
 
 
 @register(
