@@ -123,3 +123,20 @@ def score_head(items: DataFrame, head: Head, vec_col: str = "embedding", label_c
         logits.alias("logits"),
     )
 
+
+
+def cross_validate(items: DataFrame, n_folds: int, fit_fn, score_fn, fold_col: str = "fold") -> DataFrame:
+    """ML-5: for each fold fit on the other folds, score the held-out fold, union the
+    out-of-fold scores (SO-1). ``fit_fn(train) -> model``; ``score_fn(valid, model) -> DF``.
+
+    Each fold is a Spark job on the same (cached) input; the driver only loops over folds.
+    """
+    data = items.cache()
+    parts = []
+    for f in range(n_folds):
+        train, valid = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
+        parts.append(score_fn(valid, fit_fn(train)).withColumn(fold_col, F.lit(f)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,3 +122,32 @@ def hardest_fold(per_fold: DataFrame, fold_col: str = "fold", loss_col: str = "l
     return per_fold.agg(
         F.max_by(fold_col, loss_col).alias(fold_col), F.max(loss_col).alias(loss_col)
     )
+
+
+@dataclass
+class Report:
+    alignment: DataFrame            # n_matched, n_truth_only, n_pred_only
+    map: DataFrame                  # n_items, ap_sum, map
+    confusion: DataFrame            # true_idx, pred_idx, n (+ true/pred label names)
+    confusion_normalized: DataFrame
+    errors: DataFrame               # indices outside the label range
+
+
+def evaluate(truth: DataFrame, preds: DataFrame, vocab: DataFrame, k: int = 3, key: str = "row_id",
+             y_col: str = "label_idx", ranks_col: str = "ranks") -> Report:
+    """E2(c): truth and rankings matched by key -> MAP@k, top-1 confusion, label names."""
+    from rankspark.operators.prepare import decode_labels
+    from rankspark.operators.ranking import top1_prediction
+
+    n_labels = vocab.count()
+    joined = join_truth(truth.select(key, F.col(y_col).alias("y_true")), preds.select(key, ranks_col), key)
+    top = top1_prediction(joined, ranks_col)
+    cm = confusion(top, n_labels)
+    named = decode_labels(decode_labels(cm, vocab, "true_idx", "true_label"), vocab, "pred_idx", "pred_label")
+    return Report(
+        alignment=align_truth(truth, preds, key),
+        map=map_at_k(joined, k, ranks_col),
+        confusion=named,
+        confusion_normalized=confusion_normalized(cm),
+        errors=confusion_errors(top, n_labels),
+    )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,30 @@ def question_choices(df: DataFrame, question: str = "question_id", answer: str =
     return df.groupBy(question).agg(
         F.array_join(F.array_sort(F.collect_set(answer)), ", ").alias("choices")
     )
+
+
+@dataclass
+class Prepared:
+    clean: DataFrame   # rows + label, label_idx, candidates, fold
+    labels: DataFrame  # label, label_idx
+
+
+def prepare(df: DataFrame, k: int = 5, seed: int = 42,
+            dedup_keys: Sequence[str] = ("question_id", "mc_answer", "explanation"),
+            candidates: str = "all", stratum: str = "label", key: str = "row_id") -> Prepared:
+    """E1: missing tokens -> dedup -> label -> vocabulary -> encode -> candidates -> folds.
+
+    ``candidates="all"`` attaches the whole label list (JN-3), ``"question"`` the
+    question-specific list (JN-4). Folds are stratified on ``stratum`` (D-14).
+    """
+    from rankspark.operators.folds import stratified_folds
+
+    # read by the vocabulary, the candidate lists, the fold offsets and the final join:
+    # materialise it once (memory, spilling to disk) instead of repeating the dedup
+    clean = with_label(dedup_responses(normalise_missing(df), dedup_keys, key)).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    vocab = label_vocab(clean)
+    clean = encode_labels(clean, vocab)
+    clean = attach_all_candidates(clean, vocab) if candidates == "all" else attach_question_candidates(clean)
+    return Prepared(stratified_folds(clean, key, stratum, k, seed), vocab)

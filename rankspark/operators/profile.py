@@ -178,3 +178,24 @@ def rate_by_decile(df: DataFrame, flag: str = "has_misconception", value: str =
     return d.groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("rate")
     )
+
+
+def profile(df: DataFrame, question: str = "question_id", text: str = "explanation",
+            category: str = "category", misconception: str = "misconception") -> dict[str, DataFrame]:
+    """E3: every profile table of a response table, keyed by name (each its own job)."""
+    d = derive(df, text, category)
+    ct = crosstab(d, "ans_correct", "expl_assess")
+    narrow = d.select("row_id", "n_words", "has_misconception")
+    return {
+        "category_counts": value_counts(d, category),
+        "responses_per_question": value_counts(d, question),
+        "top_misconceptions": top_values(d, misconception, 20, where=F.col("has_misconception")),
+        "crosstab": ct,
+        "crosstab_normalized": crosstab_normalized(ct, "ans_correct"),
+        "length_by_assessment": describe_by(d, "expl_assess", "n_words"),
+        "boxplot_by_category": boxplot_by(d, category, "n_words"),
+        "boxplot_by_assessment": boxplot_by(d, "expl_assess", "n_words"),
+        "length_histogram": histogram(d, "n_words", 40),
+        "responses_histogram": histogram(value_counts(d, question), "n", 30),
+        "rate_by_decile": rate_by_decile(narrow),
+    }

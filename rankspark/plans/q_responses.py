@@ -347,3 +347,34 @@ def q_length_deciles(spark, sf):
 def q_rate_by_decile(spark, sf):
     r = profile.rate_by_decile(_derived(spark, sf))
     return r.select("decile", "n", F.round("rate", 6).alias("rate"))
+
+
+# --- E1 end to end ---------------------------------------------------------------------------
+
+
+def _nt_all(cols) -> str:
+    return ", ".join(_nt(c) for c in cols)
+
+
+PREPARE_SQL = O.with_ctes(O.RESPONSES) + f""", norm AS (
+      SELECT row_id, {_nt_all(['question_id', 'mc_answer', 'explanation', 'category', 'misconception'])} FROM responses),
+    dd AS (SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY mc_answer, explanation ORDER BY row_id) AS __rn FROM norm) t WHERE __rn = 1),
+    lab AS (SELECT *, concat(coalesce(category, 'NA'), ':', coalesce(misconception, 'NA')) AS label FROM dd),
+    voc AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS label_idx
+            FROM (SELECT DISTINCT label FROM lab) t),
+    qm AS (SELECT question_id,
+      coalesce(list(DISTINCT misconception) FILTER (WHERE misconception IS NOT NULL), []::VARCHAR[]) AS ms
+      FROM lab GROUP BY question_id)
+    SELECT l.row_id, l.label, v.label_idx,
+      CAST((row_number() OVER (ORDER BY l.label, md5('42:' || CAST(l.row_id AS VARCHAR)), l.row_id) - 1) % 5 AS INTEGER) AS fold,
+      CAST(4 + 2 * len(qm.ms) AS BIGINT) AS n_candidates
+    FROM lab l JOIN voc v USING (label) LEFT JOIN qm USING (question_id)"""
+
+
+@register("prepare_clean", PREPARE_SQL, ("PF-2", "AG-1", "PF-4", "AG-2", "WN-1", "JN-1", "JN-4", "WN-4"))
+def q_prepare_clean(spark, sf):
+    """E1 end to end: missing tokens, dedup, labels, vocabulary, candidates, folds."""
+    p = prepare.prepare(fx.responses(spark, sf), k=5, seed=42, dedup_keys=DEDUP_KEYS, candidates="question")
+    return p.clean.select("row_id", "label", "label_idx", "fold",
+                          F.size("candidates").cast("long").alias("n_candidates"))

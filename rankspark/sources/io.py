@@ -7,6 +7,7 @@ order on a cluster, so nothing is aligned by position (D-1).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,25 @@ RANKING_SCHEMA = T.StructType([
 ])
 
 
+@dataclass(frozen=True)
+class ColumnMap:
+    """PF-1: names of the source columns used for prompts, candidates and labels."""
+
+    question_text: str = "QuestionText"
+    choices: str = "MC_Choices"
+    correct_answer: str = "Answer"
+    misconception_candidates: str = "MisconceptionCandidates"
+    student_answer: str = "MC_Answer"
+    student_explanation: str = "StudentExplanation"
+    suffix_column: str = "SuffixCandidates"
+    label_column: str = "LabelIndex"
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Rename the mapped source columns to the canonical field names; others pass."""
+        rename = {src: dst for dst, src in asdict(self).items()}
+        return df.select(*[F.col(f"`{c}`").alias(rename.get(c, c)) for c in df.columns])
+
+
 def read_responses(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None,
                    schema: T.StructType | str | None = None, missing_tokens: bool = True) -> DataFrame:
     """IO-1 + PF-1 + PF-2: header CSV with quoted multi-line text, canonical column names,
