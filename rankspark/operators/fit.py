@@ -106,23 +106,24 @@ def history_frame(spark, head: Head) -> DataFrame:
 
 def score_head(items: DataFrame, head: Head, vec_col: str = "embedding", label_col: str = "label",
                id_col: str = "vec_id") -> DataFrame:
-    """Logits of the fitted head: ``item_id, y_true, logits`` (JVM expression, no UDF)."""
-    w_sql = "array(" + ", ".join(
-        "array(" + ", ".join(f"{float(x)!r}D" for x in row) + ")" for row in head.w
-    ) + ")"
-    b_sql = "array(" + ", ".join(f"{float(x)!r}D" for x in head.b) + ")"
-    classes = F.array(*[F.lit(c) for c in head.classes])
-    vec = F.transform(vec_col, lambda v: v.cast("double"))
-    logits = F.zip_with(
-        F.expr(w_sql), F.expr(b_sql),
-        lambda wr, bb: F.aggregate(F.zip_with(vec, wr, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) + bb,
-    )
-    return items.select(
-        F.col(id_col).alias("item_id"),
-        (F.array_position(classes, F.col(label_col)) - 1).cast("long").alias("y_true"),
-        logits.alias("logits"),
-    )
+    """Logits of the fitted head: ``item_id, y_true, logits`` (one batched matrix product
+    per Arrow batch; the head travels once as a broadcast value)."""
+    bc = share(items.sparkSession, (head.w, head.b))
+    class_pos = {c: i for i, c in enumerate(head.classes)}
 
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, b = bc.value
+        for pdf in batches:
+            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, w.shape[1]))
+            yield pd.DataFrame({
+                "item_id": pdf[id_col].to_numpy(),
+                "y_true": pdf[label_col].map(class_pos).fillna(-1).astype("int64").to_numpy(),
+                "logits": list(x @ w.T + b),
+            })
+
+    return items.select(id_col, label_col, vec_col).mapInPandas(
+        fn, "item_id long, y_true long, logits array<double>"
+    )
 
 
 def cross_validate(items: DataFrame, n_folds: int, fit_fn, score_fn, fold_col: str = "fold") -> DataFrame:
