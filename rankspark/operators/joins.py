@@ -82,6 +82,11 @@ def share(spark, value):
 
 
 def collect_small(df: DataFrame, max_rows: int, what: str = "table") -> list:
-    """Rows of a table whose size is bounded by construction (checked before collecting)."""
-    checked_count(df, max_rows, what)
-    return df.collect()
+    """Rows of a table whose size is bounded by construction.
+
+    At most ``max_rows + 1`` rows ever reach the driver; one more than the bound raises.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise TooLarge(f"{what} has more than {max_rows} rows")
+    return rows
