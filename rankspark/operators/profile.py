@@ -50,13 +50,18 @@ def crosstab_normalized(ct: DataFrame, row: str, values: Sequence[str] = ASSESSM
     return ct.select(row, *[(F.col(v) / total).alias(v) for v in values])
 
 
-def describe_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    """AG-9: count, mean, sample std, min, quartiles (linear interpolation), max per key.
-
-    ``percentile`` keeps a value -> count map per group, so its memory follows the number of
-    distinct values, not rows.
-    """
-    q = F.percentile(F.col(value), [0.25, 0.5, 0.75])
+def _quartiles(value: F.Column, exact: bool) -> F.Column:
+    """Quartiles of a column: exact linear interpolation (``percentile``, whose buffer is a
+    value -> count map, bounded by the number of distinct values, e.g. word counts) or
+    ``percentile_approx`` (fixed-size sketch) for continuous values in huge groups."""
+    if exact:
+        return F.percentile(value, [0.25, 0.5, 0.75])
+    return F.percentile_approx(value, [0.25, 0.5, 0.75], 10000).cast("array<double>")
+
+
+def describe_by(df: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
+    """AG-9: count, mean, sample std, min, quartiles (linear interpolation), max per key."""
+    q = _quartiles(F.col(value), exact)
     stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.col(value)).alias("count"),
         F.avg(value).alias("mean"),
@@ -71,7 +76,7 @@ def describe_by(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5) -> DataFrame:
+def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5, exact: bool = True) -> DataFrame:
     """AG-10 / AG-11: box-plot statistics per key, fliers excluded from the whiskers.
 
     Pass 1 computes quartiles per key (small table); pass 2 joins them back and takes the
@@ -80,7 +85,7 @@ def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5) -> DataFr
     src = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("__v"))
     q = src.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"),
-        F.percentile(F.col("__v"), [0.25, 0.5, 0.75]).alias("__q"),
+        _quartiles(F.col("__v"), exact).alias("__q"),
     ).select(key, "n", "mean", F.get("__q", 0).alias("q1"), F.get("__q", 1).alias("med"),
              F.get("__q", 2).alias("q3"))
     q = q.withColumn("__lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))).withColumn(

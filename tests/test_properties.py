@@ -115,3 +115,20 @@ def test_visibility_counts_equal_pair_relation(spark):
 
 def test_ap_scaled_is_exact(spark):
     assert A.lcm_upto(3) == 6 and A.lcm_upto(5) == 60
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["q1", "q2"]), st.sampled_from(["A", "B", None]),
+                          st.sampled_from(["x", "y", None])), min_size=1, max_size=40))
+def test_dedup_with_hot_group_keeps_first(spark, rows):
+    from rankspark.operators.prepare import dedup_responses
+
+    # a third of all rows are copies of one key (the hot group)
+    hot = [("q1", "A", "same text")] * (len(rows) // 2 + 1)
+    data = [(i, *r) for i, r in enumerate(hot + rows)]
+    df = spark.createDataFrame(data, "row_id long, question_id string, mc_answer string, explanation string")
+    got = sorted(r["row_id"] for r in dedup_responses(df.repartition(4)).collect())
+    first = {}
+    for rid, q, a, e in data:
+        first.setdefault((q, a, e), rid)
+    assert got == sorted(first.values())
