@@ -87,6 +87,16 @@ def label_lookup(vocab: DataFrame, max_labels: int = LITERAL_MAX_VALUES):
     return (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")), len(rows)
 
 
+def sorted_label_lookup(labels: DataFrame, label_col: str = "label", max_labels: int = LITERAL_MAX_VALUES):
+    """(label -> index literal map, K) straight from a label column, in one job: distinct
+    labels are sorted by Spark (range-partitioned, no single-partition window) and at most
+    ``max_labels`` come back; the index is the sorted position, as in ``label_vocab``."""
+    distinct = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    rows = collect_small(distinct.orderBy("label"), max_labels, "label vocabulary")
+    pairs = [x for i, r in enumerate(rows) for x in (F.lit(r["label"]), F.lit(i).cast("long"))]
+    return (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")), len(rows)
+
+
 def label_array(vocab: DataFrame, max_labels: int = LITERAL_MAX_VALUES):
     """The vocabulary as a literal array column in index order (size checked)."""
     rows = collect_small(vocab.orderBy("label_idx").select("label"), max_labels, "label vocabulary")

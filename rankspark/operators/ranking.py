@@ -59,9 +59,23 @@ def submission(ranked: DataFrame, vocab: DataFrame, key: str = "row_id", ranks_c
                k: int = 3, out: str = "prediction") -> DataFrame:
     """PF-11 + JN-2: top-k label names joined by a space, one row per key.
 
-    The k entries are decoded through an equi join with the vocabulary and put back in
-    order per key; each group holds at most k rows. Labels must not contain a space (D-17).
+    With a vocabulary within the literal bound the names are looked up row-locally in a
+    literal array (no join, no shuffle). Larger vocabularies take the join path: the k
+    entries are decoded by an equi join and put back in order per key (groups of at most k
+    rows). Labels must not contain a space (D-17).
     """
+    from rankspark.operators.joins import TooLarge
+    from rankspark.operators.prepare import label_array
+
+    try:
+        labels = label_array(vocab)
+    except TooLarge:
+        return _submission_join(ranked, vocab, key, ranks_col, k, out)
+    names = [F.get(labels, F.get(F.col(ranks_col), j).cast("int")) for j in range(k)]
+    return ranked.select(key, F.concat_ws(" ", *names).alias(out))
+
+
+def _submission_join(ranked, vocab, key, ranks_col, k, out):
     entries = ranked.select(key, F.posexplode(top_k(ranks_col, k)).alias("pos", "__idx")).withColumn(
         "__idx", F.col("__idx").cast("long")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.operators.prepare import label_lookup, label_vocab
+from rankspark.operators.prepare import label_vocab, sorted_label_lookup
 from rankspark.sources.tables import read_table
 
 # --- fixed values (fixture definitions, FIXTURES.md section 4) ------------------------------
@@ -77,8 +77,9 @@ def event_scores_k(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> tu
     dense label indices 0..K-1, generated per row (an unrolled array expression), so no
     join with the label table is needed beyond the truth lookup.
     """
-    lookup, k = label_lookup(event_labels(spark, sf_dir))
-    ev = read_table(spark, sf_dir, "events").select(
+    events = read_table(spark, sf_dir, "events")
+    lookup, k = sorted_label_lookup(events.select(F.col("event_type").alias("label")))
+    ev = events.select(
         F.col("event_id").alias("item_id"), F.element_at(lookup, F.col("event_type")).alias("y_true")
     ).where(F.col("y_true").isNotNull())
     runs = ev.select(

@@ -200,3 +200,17 @@ def test_published_category_tables(spark):
         assert (round(r["Correct"], 6), round(r["Misconception"], 6), round(r["Neither"], 6)) == exp
     col_sums = ct.agg(*[F.sum(c).alias(c) for c in T.ASSESSMENTS]).first()
     assert (col_sums["Correct"], col_sums["Misconception"], col_sums["Neither"]) == (15029, 9860, 11807)
+
+
+def test_submission_literal_and_join_paths_agree(spark):
+    from rankspark.operators import ranking
+
+    vocab = spark.createDataFrame([("True_Correct:NA", 0), ("False_Neither:NA", 1), ("True_Misconception:M1", 2),
+                                   ("False_Correct:NA", 3)], "label string, label_idx long")
+    ranked = spark.createDataFrame([(1, [2, 0, 1, 3]), (2, [3, 1]), (3, [1, 0, 2, 3])], "row_id long, ranks array<int>")
+    a = {r["row_id"]: r["prediction"] for r in ranking.submission(ranked, vocab).collect()}
+    b = {r["row_id"]: r["prediction"] for r in ranking._submission_join(ranked, vocab, "row_id", "ranks", 3,
+                                                                         "prediction").collect()}
+    assert a == b
+    assert a[1] == "True_Misconception:M1 True_Correct:NA False_Neither:NA"
+    assert a[2] == "False_Correct:NA False_Neither:NA"
