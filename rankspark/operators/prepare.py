@@ -116,9 +116,9 @@ def question_misconceptions(df: DataFrame, question: str = "question_id",
     )
 
 
-def question_candidates(per_question: DataFrame, question: str = "question_id",
-                        misconceptions: str = "misconceptions", out: str = "candidates") -> DataFrame:
-    """JN-4 rule: {True,False} x {Correct:NA, Neither:NA} plus {True,False}_Misconception:m."""
+def candidate_list(misconceptions: str = "misconceptions"):
+    """JN-4 rule as a column: {True,False} x {Correct:NA, Neither:NA} plus
+    {True,False}_Misconception:m for every misconception m of the question, sorted."""
     base = [
         f"{ans}_{kind}:{MISSING_LABEL_PART}"
         for ans in ("True", "False")
@@ -129,9 +129,13 @@ def question_candidates(per_question: DataFrame, question: str = "question_id",
         F.transform(ms, lambda m: F.concat(F.lit("True_Misconception:"), m)),
         F.transform(ms, lambda m: F.concat(F.lit("False_Misconception:"), m)),
     )
-    return per_question.select(
-        question, F.array_sort(F.concat(F.array(*[F.lit(b) for b in base]), mis)).alias(out)
-    )
+    return F.array_sort(F.concat(F.array(*[F.lit(b) for b in base]), mis))
+
+
+def question_candidates(per_question: DataFrame, question: str = "question_id",
+                        misconceptions: str = "misconceptions", out: str = "candidates") -> DataFrame:
+    """JN-4: the candidate list per question."""
+    return per_question.select(question, candidate_list(misconceptions).alias(out))
 
 
 def attach_question_candidates(df: DataFrame, question: str = "question_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.text import render_prefix, word_count
 from rankspark.operators.joins import lookup_join
-from rankspark.operators.prepare import answer_key, question_candidates
+from rankspark.operators.prepare import answer_key, candidate_list
 
 DEFAULT_MAX_LENGTH = 2048  # token budget of the packed sequence (training config)
 
@@ -27,13 +27,13 @@ def per_question(responses: DataFrame, question: str = "question_id") -> DataFra
         F.array_sort(F.collect_set("mc_answer")).alias("__answers"),
         F.array_sort(F.collect_set("misconception")).alias("misconceptions"),
     )
-    cands = question_candidates(sets, question, "misconceptions", "candidates")
     pq = sets.select(
         question,
         F.array_join("__answers", ", ").alias("choices"),
         F.array_join("misconceptions", ", ").alias("misconception_text"),
-    ).join(cands, question).join(answer_key(responses, question), question, "left")
-    return pq
+        candidate_list("misconceptions").alias("candidates"),
+    )
+    return pq.join(answer_key(responses, question), question, "left")
 
 
 def to_items(responses: DataFrame, question: str = "question_id") -> DataFrame:
