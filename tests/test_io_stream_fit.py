@@ -117,3 +117,30 @@ def test_trial_grid_draws_in_range(spark):
     assert len(rows) == 50
     assert all(5e-6 <= r["lr"] <= 3e-5 and 0 <= r["wd"] <= 0.1 and 1 <= r["seed"] <= 5 for r in rows)
     assert len({r["seed"] for r in rows}) == 5
+
+
+def test_stream_scores_equals_batch(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from rankspark.functions.arrays import dot
+    from rankspark.streaming.rankings import stream_scores
+
+    in_dir = os.path.join(scratch, "raw")
+    os.makedirs(in_dir)
+    heads = [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]
+    rows = [{"row_id": i, "vec": [float(i % 3), float((i * 5) % 4)]} for i in range(30)]
+    with open(os.path.join(in_dir, "a.json"), "w", encoding="utf-8") as f:
+        for r in rows:
+            f.write(json.dumps(r) + "\n")
+
+    def score(df):
+        h = F.array(*[F.array(*[F.lit(x) for x in w]) for w in heads])
+        return df.select("row_id", F.transform(h, lambda w: dot(F.col("vec"), w)).alias("logits"))
+
+    out_dir = os.path.join(scratch, "scored")
+    q = stream_scores(spark, in_dir, out_dir, os.path.join(scratch, "ck2"), score, "row_id long, vec array<double>")
+    q.awaitTermination(120)
+    streamed = {r["row_id"]: r["ranks"] for r in spark.read.json(out_dir).collect()}
+    batch = {r["row_id"]: r["ranks"] for r in rank_stream(score(spark.read.schema("row_id long, vec array<double>")
+                                                                 .json(in_dir))).collect()}
+    assert streamed == batch and len(batch) == 30
