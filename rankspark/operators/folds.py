@@ -14,8 +14,20 @@ def shuffle_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def hex_digits_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hash-prefix digits so that a stratum of ``rows`` rows splits into buckets of about
+    ``rows_per_bucket`` rows (16 to 65,536 buckets)."""
+    digits = 1
+    while digits < 4 and rows / (16 ** digits) > rows_per_bucket:
+        digits += 1
+    return digits
+
+
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: int = 42,
-                     out: str = "fold", n_hex: int = 3) -> DataFrame:
+                     out: str = "fold", n_hex: int | None = None) -> DataFrame:
     """WN-4: stratified shuffled k-fold.
 
     Rows are ordered by (stratum, seeded hash); the fold is (global position - 1) mod k.
@@ -26,11 +38,15 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: in
     The position within a stratum comes from ``split_row_number`` over hash-prefix
     buckets (16**n_hex per stratum, numbered by separate tasks, so a stratum with a third
     of all rows is spread out); the stratum's start is a running sum over one row per
-    stratum (checked size).
+    stratum (checked size). ``n_hex`` defaults to a bucket count sized from the largest
+    stratum.
     """
-    src = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__b", hash_bucket(F.col("__h"), n_hex))
+    src = df.withColumn("__h", shuffle_key(key, seed))
     sizes = src.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    start = running_start(sizes, [stratum])
+    start, biggest = running_start(sizes, [stratum])
+    if n_hex is None:
+        n_hex = hex_digits_for(biggest)
+    src = src.withColumn("__b", hash_bucket(F.col("__h"), n_hex))
     ranked = split_row_number(src, [stratum], [F.col("__h"), F.col(key)], ["__b"], "__g", start=start)
     return ranked.withColumn(out, ((F.col("__g") - 1) % k).cast("int")).drop("__h", "__b", "__g")
 

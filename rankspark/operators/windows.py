@@ -71,17 +71,21 @@ def split_row_number(
 
 
 def running_start(sizes: DataFrame, key_cols: Sequence[str], count_col: str = "n",
-                  max_rows: int = 10_000_000) -> DataFrame:
+                  max_rows: int = 10_000_000) -> tuple[DataFrame, int]:
     """Starting offset of each key in key order: rows of all earlier keys (``__rs_start``).
 
-    A single running window over one row per key; the key count is checked first.
+    A single running window over one row per key; the key count is checked first (the
+    same job also returns the largest key's row count, which is returned).
     """
-    from rankspark.operators.joins import checked_count
+    from rankspark.operators.joins import TooLarge
 
     sizes = sizes.cache()
-    checked_count(sizes, max_rows, "offset table")
+    n_keys, biggest = sizes.agg(F.count(F.lit(1)), F.max(count_col)).first()
+    if n_keys > max_rows:
+        raise TooLarge(f"offset table has {n_keys} rows, more than the bound {max_rows}")
     w = Window.orderBy(*key_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
+    start = sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
+    return start, int(biggest or 0)
 
 
 def hash_bucket(c: Column, n_hex: int = 3) -> Column:
