@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,10 @@ def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5, exact: bo
     Pass 1 computes quartiles per key (small table); pass 2 joins them back and takes the
     extreme values inside the whisker limits; both are partial aggregations.
     """
-    src = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("__v"))
+    # two passes over the values: keep the narrow (key, value) projection, not the source
+    src = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("__v")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     q = src.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"),
         _quartiles(F.col("__v"), exact).alias("__q"),
@@ -110,6 +114,8 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     Two scalars (min, max) come back to the driver; counting is a partial aggregation and
     empty bins are filled from the bin axis.
     """
+    # two passes (range, then counts) over one narrow column, persisted once
+    df = df.select(value).persist(StorageLevel.MEMORY_AND_DISK)
     lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
     spark = df.sparkSession
     if lo is None:
