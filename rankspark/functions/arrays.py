@@ -17,10 +17,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _bad(x: Column) -> Column:
-    return x.isNull() | F.isnan(x.cast("double"))
-
-
 def _sort_key(v: Column) -> Column:
     """Ascending sort key for a descending score: -score, with null and NaN last (+inf)."""
     inf = F.lit(float("inf"))

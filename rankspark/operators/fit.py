@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from rankspark.operators.joins import share
 
 MAX_HEAD_WEIGHTS = 10_000_000
-_LOSS, _COUNT = -1, -2
 
 
 @dataclass

@@ -79,14 +79,6 @@ def decode_labels(df: DataFrame, vocab: DataFrame, idx_col: str, out: str) -> Da
     return lookup_join(df, v, idx_col, "left")
 
 
-def label_lookup(vocab: DataFrame, max_labels: int = LITERAL_MAX_VALUES):
-    """(label -> index literal map, K) from a size-checked vocabulary: encodes labels
-    row-locally with ``element_at``, no join."""
-    rows = collect_small(vocab.select("label", "label_idx"), max_labels, "label vocabulary")
-    pairs = [x for r in rows for x in (F.lit(r["label"]), F.lit(r["label_idx"]).cast("long"))]
-    return (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")), len(rows)
-
-
 def sorted_label_lookup(labels: DataFrame, label_col: str = "label", max_labels: int = LITERAL_MAX_VALUES):
     """(label -> index literal map, K) straight from a label column, in one job: distinct
     labels are sorted by Spark (range-partitioned, no single-partition window) and at most
