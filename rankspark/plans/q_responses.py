@@ -157,8 +157,9 @@ def q_answer_key(spark, sf):
     O.with_ctes(O.RESPONSES, QM, QC) + """, src AS (
           SELECT 'text' AS source, CAST(row_id AS VARCHAR) AS key, explanation AS raw FROM responses WHERE explanation IS NOT NULL
           UNION ALL SELECT 'json', question_id, to_json(c)::VARCHAR FROM qc),
-        parsed AS (SELECT source, key, CASE WHEN json_valid(raw) AND json_type(raw::JSON) = 'ARRAY'
-            THEN from_json(raw, '["VARCHAR"]') ELSE string_split(raw, ' ') END AS cands FROM src)
+        parsed AS (SELECT source, key, CASE WHEN json_valid(raw)
+            THEN CASE WHEN json_type(raw::JSON) = 'ARRAY' THEN from_json(raw, '["VARCHAR"]') ELSE string_split(raw, ' ') END
+            ELSE string_split(raw, ' ') END AS cands FROM src)
         SELECT source, key, CAST(len(cands) AS BIGINT) AS n_candidates, cands[1] AS first_candidate,
                cands[len(cands)] AS last_candidate FROM parsed""",
     ("PF-9", "SC-6"),
