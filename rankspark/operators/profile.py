@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions.text import ASSESSMENTS, answer_correct, assessment, has_misconception, word_count
+from rankspark.functions.text import ASSESSMENTS, answer_correct, assessment, has_misconception, word_count_arrow
 from rankspark.operators.joins import lookup_join
 from rankspark.operators.windows import range_bucket, split_row_number
 
@@ -21,7 +21,7 @@ def derive(df: DataFrame, text: str = "explanation", category: str = "category")
     """Derived profile columns: ``n_words``, ``ans_correct``, ``expl_assess``, ``has_misconception``."""
     return df.select(
         "*",
-        word_count(text).alias("n_words"),
+        word_count_arrow(text).alias("n_words"),
         answer_correct(category).alias("ans_correct"),
         assessment(category).alias("expl_assess"),
         has_misconception(category).alias("has_misconception"),

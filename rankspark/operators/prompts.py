@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.text import render_prefix, word_count
+from rankspark.functions.text import render_prefix, word_count, word_count_arrow
 from rankspark.operators.joins import lookup_join
 from rankspark.operators.prepare import answer_key, candidate_list
 
@@ -76,7 +76,7 @@ def packing_budget(items: DataFrame, max_length: int = DEFAULT_MAX_LENGTH, prefi
     sw = F.aggregate(F.transform(F.col(suffixes), lambda s: word_count(s)), F.lit(0).cast("long"),
                      lambda a, b: a + b)
     k = F.size(suffixes).cast("long")
-    p = items.select(key, k.alias("n_candidates"), word_count(prefix).alias("prefix_words"),
+    p = items.select(key, k.alias("n_candidates"), word_count_arrow(prefix).alias("prefix_words"),
                      sw.alias("suffix_words"))
     return p.select(
         "*",

@@ -214,3 +214,17 @@ def test_submission_literal_and_join_paths_agree(spark):
     assert a == b
     assert a[1] == "True_Misconception:M1 True_Correct:NA False_Neither:NA"
     assert a[2] == "False_Correct:NA False_Neither:NA"
+
+
+def test_word_counts_equal_python_split_on_all_whitespace(spark):
+    import random
+
+    ws = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    rng = random.Random(7)
+    alphabet = ws + list("ab​é漢")
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
+    texts += ["", " ", None, "  a  ", "\x1c", "a\x1db"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    rows = df.select("i", T.word_count("t").alias("jvm"), T.word_count_arrow("t").alias("arrow")).collect()
+    want = {i: (len(t.split()) if t is not None else 0) for i, t in enumerate(texts)}
+    assert all(r["jvm"] == want[r["i"]] and r["arrow"] == want[r["i"]] for r in rows)
