@@ -1,6 +1,8 @@
 """Text column expressions: missing tokens, word counts, label grammar, prompt text.
 
-All of these are built-in Spark expressions (JVM side, whole-stage codegen); no Python UDF.
+All are built-in Spark expressions, except ``word_count_arrow``: an Arrow-batched UDF whose
+work runs in Arrow's C++ whitespace-split kernel (measured faster than the JVM's Unicode
+regex on whole documents; exact against Python ``str.split``).
 """
 
 from __future__ import annotations
