@@ -48,11 +48,11 @@ def split_row_number(
     """
     part = list(partition_cols)
     keys = part + list(bucket_cols)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT))
     run = (Window.unboundedPreceding, Window.currentRow)
     if coarse is None:
         coarse = F.lit(0)
-    counts = counts.withColumn(_CO, coarse)
+    # one row per (P, B): read twice below (running sums, coarse-group offsets), so cached
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT)).withColumn(_CO, coarse).cache()
     # running sum inside each (P, coarse) group
     w_in = Window.partitionBy(*part, _CO).orderBy(*bucket_cols).rowsBetween(*run)
     inner = counts.withColumn(_OFF, F.sum(_CNT).over(w_in) - F.col(_CNT))
