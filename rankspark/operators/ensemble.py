@@ -29,11 +29,20 @@ def align_runs(runs: DataFrame, n_runs: int, item_col: str = "item_id", run_col:
     )
 
 
+def check_rankings(runs: DataFrame, k: int, ranks_col: str = "ranks") -> int:
+    """D-16: rows whose ranking is not a permutation of 0..k-1 (count; one job)."""
+    r = F.col(ranks_col)
+    ok = (F.size(r) == k) & (F.size(F.array_distinct(r)) == k) & (F.array_min(r) >= 0) & (F.array_max(r) < k)
+    return runs.where(~F.coalesce(ok, F.lit(False))).count()
+
+
 def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks", out: str = "ranks",
-          keep: Sequence[str] = (), k: int | None = None) -> DataFrame:
+          keep: Sequence[str] = (), k: int | None = None, validate: bool = False) -> DataFrame:
     """AG-20: Borda count over runs; ties to the higher candidate index (D-5).
 
     ``keep`` columns are per-item constants (e.g. the truth) carried through.
+    ``validate`` (with ``k``) first checks that every ranking is a permutation of
+    0..k-1 and raises otherwise (D-16; costs one job).
 
     One shuffle on the item key. Points per ranking are computed before the shuffle. With
     ``k`` known, points are summed per candidate slot by ordinary ``sum`` aggregates
@@ -41,6 +50,10 @@ def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks",
     unrolled sort; otherwise the per-run point arrays are collected per item (one array
     per run, a bounded group) and added element-wise.
     """
+    if validate and k is not None:
+        bad = check_rankings(runs, k, ranks_col)
+        if bad:
+            raise ValueError(f"{bad} rankings are not permutations of 0..{k - 1}")
     if k is not None:
         pts = runs.select(item_col, *keep, borda_points(ranks_col, k).alias("__pts"))
         sums = pts.groupBy(item_col).agg(

@@ -92,6 +92,9 @@ def sorted_label_lookup(labels: DataFrame, label_col: str = "label", max_labels:
 def label_array(vocab: DataFrame, max_labels: int = LITERAL_MAX_VALUES):
     """The vocabulary as a literal array column in index order (size checked)."""
     rows = collect_small(vocab.orderBy("label_idx").select("label"), max_labels, "label vocabulary")
+    spaced = [r["label"] for r in rows if r["label"] is not None and " " in r["label"]]
+    if spaced:  # D-17: labels are joined by spaces in submissions
+        raise ValueError(f"labels must not contain spaces: {spaced[:3]}")
     return F.array(*[F.lit(r["label"]) for r in rows]) if rows else F.array().cast("array<string>")
 
 
@@ -137,6 +140,17 @@ def attach_question_candidates(df: DataFrame, question: str = "question_id",
     return lookup_join(df, cands, question, "left")
 
 
+def attach_candidates(df: DataFrame, vocab: DataFrame, scope: str = "all", question: str = "question_id",
+                      misconception: str = "misconception", out: str = "candidates") -> DataFrame:
+    """JN-3 / JN-4: candidate list per row, the full vocabulary (``scope="all"``) or the
+    question-specific list (``scope="question"``)."""
+    if scope == "all":
+        return attach_all_candidates(df, vocab, out)
+    if scope == "question":
+        return attach_question_candidates(df, question, misconception, out)
+    raise ValueError(f"unknown scope {scope!r}")
+
+
 def answer_key(df: DataFrame, question: str = "question_id", answer: str = "mc_answer",
                category: str = "category") -> DataFrame:
     """AG-19: most frequent answer among rows whose category says the answer was right.
@@ -183,5 +197,5 @@ def prepare(df: DataFrame, k: int = 5, seed: int = 42,
     )
     vocab = label_vocab(clean)
     clean = encode_labels(clean, vocab)
-    clean = attach_all_candidates(clean, vocab) if candidates == "all" else attach_question_candidates(clean)
+    clean = attach_candidates(clean, vocab, candidates)
     return Prepared(stratified_folds(clean, key, stratum, k, seed), vocab)

@@ -20,6 +20,11 @@ def rank_candidates(scores: DataFrame, logits_col: str = "logits", out: str = "r
     return scores.withColumn(out, rank_desc(logits_col, ties="low", k=k))
 
 
+def rank_array(scores_col: str = "logits", k: int | None = None):
+    """WN-5 as a column: candidate indices best first (stable, ties to the lower index)."""
+    return rank_desc(scores_col, ties="low", k=k)
+
+
 def rank_long(scores: DataFrame, item_cols: Sequence[str], cand_col: str = "cand_idx",
               score_col: str = "logit", out: str = "rnk") -> DataFrame:
     """WN-5, long form: ``row_number`` per item ordered by score desc, index asc.

@@ -167,6 +167,16 @@ def _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, inte
     return items.select(id_col, label_col, vec_col).mapInPandas(fn, schema)
 
 
+def linear_score(items: DataFrame, heads: DataFrame, vec_col: str = "embedding", **kw) -> DataFrame:
+    """ML-1: float logits ``w . h`` of every item under every run's heads."""
+    return score_items(items, heads, vec_col, integer=False, **kw)
+
+
+def int8_score(items: DataFrame, heads: DataFrame, vec_col: str = "q", **kw) -> DataFrame:
+    """ML-2: exact integer logits of quantised items under integer heads."""
+    return score_items(items, heads, vec_col, integer=True, **kw)
+
+
 def to_long(scores: DataFrame, logits_col: str = "logits") -> DataFrame:
     """Array-form scores to ``run_id, item_id, y_true, cand_idx, logit``."""
     return scores.select("run_id", "item_id", "y_true", F.posexplode(logits_col).alias("cand_idx", "logit")) \

@@ -228,3 +228,32 @@ def test_word_counts_equal_python_split_on_all_whitespace(spark):
     rows = df.select("i", T.word_count("t").alias("jvm"), T.word_count_arrow("t").alias("arrow")).collect()
     want = {i: (len(t.split()) if t is not None else 0) for i, t in enumerate(texts)}
     assert all(r["jvm"] == want[r["i"]] and r["arrow"] == want[r["i"]] for r in rows)
+
+
+def test_borda_validation_and_space_labels(spark):
+    from rankspark.operators import ranking
+
+    runs = spark.createDataFrame([(0, 1, [0, 1, 2]), (1, 1, [0, 0, 2])], "run_id long, item_id long, ranks array<int>")
+    assert ensemble.check_rankings(runs, 3) == 1
+    with pytest.raises(ValueError):
+        ensemble.borda(runs, k=3, validate=True)
+    vocab = spark.createDataFrame([("a b", 0), ("c", 1)], "label string, label_idx long")
+    ranked = spark.createDataFrame([(1, [0, 1])], "row_id long, ranks array<int>")
+    with pytest.raises(ValueError):
+        ranking.submission(ranked, vocab, k=2)
+
+
+def test_aliases_match(spark, sf_dir):
+    from rankspark.operators import ranking, score
+    from rankspark.sources import fixtures as fx
+
+    items = score.with_quantized(fx.embedding_items(spark, sf_dir))
+    heads = score.centroid_heads(items, "q")
+    a = sorted(score.int8_score(items, heads).collect())
+    b = sorted(score.score_items(items, heads, "q", integer=True).collect())
+    assert a == b
+    df = spark.createDataFrame([([3.0, 1.0, 3.0],)], "logits array<double>")
+    assert df.select(ranking.rank_array("logits", k=3).alias("r")).first()["r"] == [0, 2, 1]
+    r = fx.responses(spark, sf_dir).limit(5)
+    vocab = spark.createDataFrame([("x", 0)], "label string, label_idx long")
+    assert prepare.attach_candidates(r, vocab, "all").first()["candidates"] == ["x"]
