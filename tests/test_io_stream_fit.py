@@ -144,3 +144,22 @@ def test_stream_scores_equals_batch(spark, scratch):
     batch = {r["row_id"]: r["ranks"] for r in rank_stream(score(spark.read.schema("row_id long, vec array<double>")
                                                                  .json(in_dir))).collect()}
     assert streamed == batch and len(batch) == 30
+
+
+def test_ensemble_from_run_files_equals_in_memory(spark, scratch, sf_dir):
+    from rankspark.operators import ensemble
+
+    scores, k = fx.event_scores_k(spark, sf_dir)
+    ranked = ranking.rank_candidates(scores, k=k).select(
+        F.col("item_id").alias("row_id"), "run_id", "y_true", F.col("ranks").cast("array<long>").alias("ranks"))
+    for r in range(3):
+        io.write_rankings(ranked.where(F.col("run_id") == r).drop("run_id"), os.path.join(scratch, f"run_{r}"))
+    runs = io.read_runs(spark, [os.path.join(scratch, "run_*")])
+    assert runs.select("run").distinct().count() == 3
+    aligned = ensemble.align_runs(runs.withColumnRenamed("run", "run_id"), 3, item_col="row_id")
+    assert aligned.count() == runs.select("row_id").distinct().count()
+    from_files = ensemble.borda(runs, item_col="row_id", k=k, validate=True)
+    in_memory = ensemble.borda(ranked, item_col="row_id", k=k)
+    a = {r["row_id"]: r["ranks"] for r in from_files.collect()}
+    b = {r["row_id"]: r["ranks"] for r in in_memory.collect()}
+    assert a == b and len(a) > 0
