@@ -137,11 +137,11 @@ def evaluate(truth: DataFrame, preds: DataFrame, vocab: DataFrame, k: int = 3, k
              y_col: str = "label_idx", ranks_col: str = "ranks") -> Report:
     """E2(c): truth and rankings matched by key -> MAP@k, top-1 confusion, label names."""
     from rankspark.operators.prepare import decode_labels
-    from rankspark.operators.ranking import top1_prediction
+    from rankspark.operators.ranking import top_1_prediction
 
     n_labels = vocab.count()
     joined = join_truth(truth.select(key, F.col(y_col).alias("y_true")), preds.select(key, ranks_col), key)
-    top = top1_prediction(joined, ranks_col)
+    top = top_1_prediction(joined, ranks_col)
     cm = confusion(top, n_labels)
     named = decode_labels(decode_labels(cm, vocab, "true_idx", "true_label"), vocab, "pred_idx", "pred_label")
     return Report(

@@ -50,7 +50,7 @@ def top_k_ranks(df: DataFrame, k: int, ranks_col: str = "ranks", out: str = "top
     return df.withColumn(out, top_k(ranks_col, k))
 
 
-def top1_prediction(df: DataFrame, ranks_col: str = "ranks", out: str = "pred_idx") -> DataFrame:
+def top_1_prediction(df: DataFrame, ranks_col: str = "ranks", out: str = "pred_idx") -> DataFrame:
     """SL-4: the top-1 candidate (row-local)."""
     return df.withColumn(out, top1(ranks_col).cast("long"))
 

@@ -111,7 +111,7 @@ def q_linear_score(spark, sf):
       f1 AS (SELECT run_id, item_id, cand_idx AS p FROM franked WHERE rnk = 1),
       ia AS (SELECT run_id, item_id, {AP6} AS ap FROM ranked WHERE cand_idx = y_true),
       fa AS (SELECT run_id, item_id, {AP6} AS ap FROM franked WHERE cand_idx = y_true)
-      SELECT i1.run_id, count(*) AS n_items, count(*) FILTER (WHERE i1.p = f1.p) AS n_top1_agree,
+      SELECT i1.run_id, count(*) AS n_items, count(*) FILTER (WHERE i1.p = f1.p) AS n_top_1_agree,
         CAST(sum(fa.ap) AS BIGINT) AS ap_sum_float, CAST(sum(ia.ap) AS BIGINT) AS ap_sum_int8
       FROM i1 JOIN f1 USING (run_id, item_id) JOIN ia USING (run_id, item_id) JOIN fa USING (run_id, item_id)
       GROUP BY i1.run_id""",
@@ -123,7 +123,7 @@ def q_int8_agreement(spark, sf):
     j = i.join(f, ["run_id", "item_id"])
     return j.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.count(F.when(top1("ri") == top1("rf"), 1)).alias("n_top1_agree"),
+        F.count(F.when(top1("ri") == top1("rf"), 1)).alias("n_top_1_agree"),
         F.sum(ap_scaled("rf", "y_true", 3)).cast("long").alias("ap_sum_float"),
         F.sum(ap_scaled("ri", "y_true", 3)).cast("long").alias("ap_sum_int8"),
     )

@@ -48,23 +48,23 @@ def q_rank_long(spark, sf):
 
 
 @register(
-    "top3_per_item",
-    EV + """SELECT run_id, item_id, string_agg(CAST(cand_idx AS VARCHAR), ' ' ORDER BY rnk) AS top3
+    "top_3_per_item",
+    EV + """SELECT run_id, item_id, string_agg(CAST(cand_idx AS VARCHAR), ' ' ORDER BY rnk) AS top_3
             FROM ranked WHERE rnk <= 3 GROUP BY run_id, item_id""",
     ("SL-3",),
 )
 def q_top3(spark, sf):
     r = ranking.top_k_ranks(_run_ranks(spark, sf), 3, out="top")
-    return r.select("run_id", "item_id", ranking.ranks_text("top").alias("top3"))
+    return r.select("run_id", "item_id", ranking.ranks_text("top").alias("top_3"))
 
 
 @register(
-    "top1_prediction",
+    "top_1_prediction",
     EV + "SELECT run_id, item_id, cand_idx AS pred_idx FROM ranked WHERE rnk = 1",
     ("SL-4",),
 )
 def q_top1(spark, sf):
-    return ranking.top1_prediction(_run_ranks(spark, sf)).select("run_id", "item_id", "pred_idx")
+    return ranking.top_1_prediction(_run_ranks(spark, sf)).select("run_id", "item_id", "pred_idx")
 
 
 MAP_SQL = EV + """SELECT run_id, count(*) AS n_items,
@@ -155,7 +155,7 @@ cm AS (SELECT g.run_id, g.true_idx, g.pred_idx, CAST(coalesce(c.n, 0) AS BIGINT)
 @register("confusion", EV + CONF_SQL_CTE + " SELECT * FROM cm", ("AG-16",))
 def q_confusion(spark, sf):
     ranked, k = _ranks_k(spark, sf)
-    return metrics.confusion(ranking.top1_prediction(ranked), k, by=["run_id"])
+    return metrics.confusion(ranking.top_1_prediction(ranked), k, by=["run_id"])
 
 
 @register(
@@ -167,7 +167,7 @@ def q_confusion(spark, sf):
 )
 def q_confusion_normalized(spark, sf):
     ranked, k = _ranks_k(spark, sf)
-    cm = metrics.confusion(ranking.top1_prediction(ranked), k, by=["run_id"])
+    cm = metrics.confusion(ranking.top_1_prediction(ranked), k, by=["run_id"])
     return metrics.confusion_normalized(cm, by=["run_id"]).withColumn("rate", F.round("rate", 6))
 
 

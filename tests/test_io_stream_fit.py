@@ -64,7 +64,7 @@ def test_labels_folds_clean_round_trip(spark, scratch, sf_dir):
 def test_metrics_profile_submission_best_writers(spark, scratch):
     preds = spark.createDataFrame([(1, 0, [0, 1, 2])], "item_id long, y_true long, ranks array<int>")
     m = metrics.map_at_k(preds, 3)
-    cm = metrics.confusion(ranking.top1_prediction(preds), 3)
+    cm = metrics.confusion(ranking.top_1_prediction(preds), 3)
     io.write_metrics(m, cm, os.path.join(scratch, "eval"))
     txt = spark.read.option("header", True).csv(os.path.join(scratch, "eval", "map")).first()["map_text"]
     assert txt == "1.000000"
