@@ -28,6 +28,15 @@ def checked_count(df: DataFrame, max_rows: int, what: str = "table") -> int:
     return n
 
 
+# Sides whose optimizer estimate exceeds this are not even cached for a size check.
+ESTIMATE_MAX_BYTES = 4 * 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (no job runs); None when unreachable."""
+    return cached_bytes(df)
+
+
 def cached_bytes(df: DataFrame) -> int | None:
     """Size in bytes of a cached (materialised) frame, from its in-memory statistics.
 
@@ -50,10 +59,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join a dimension-like table: broadcast when its measured size is within bounds.
 
-    The small side is cached and counted, so both its row count and its in-memory byte
-    size are known before the broadcast is chosen; above either bound the join stays a
-    shuffle join (AQE may still re-plan it, or split skewed partitions).
+    A side whose optimizer estimate is already large (or unknown) is joined as is: no
+    cache, no count; AQE still turns the join into a broadcast at run time if the side
+    proves small, or splits skewed partitions. Otherwise the side is cached and counted,
+    so its row count and in-memory byte size are known before the broadcast is chosen;
+    above either bound the join stays a shuffle join.
     """
+    est = estimated_bytes(small)
+    if est is None or est > ESTIMATE_MAX_BYTES:
+        return big.join(small, on, how)
     small = small.cache()
     if small.count() <= max_rows:
         size = cached_bytes(small)
