@@ -65,7 +65,8 @@ def confusion(preds: DataFrame, n_labels: int, y_col: str = "y_true", pred_col:
                            F.col(pred_col).cast("long").alias("pred_idx")).agg(F.count(F.lit(1)).alias("n"))
     axis = F.sequence(F.lit(0).cast("long"), F.lit(n_labels - 1).cast("long"))
     if by:
-        groups = preds.select(*by).distinct()
+        # every group with any row has a count row: take groups from the small count table
+        groups = counts.select(*by).distinct()
     else:
         groups = preds.sparkSession.range(1).select()
     grid = groups.select(*by, F.explode(axis).alias("true_idx")).select(
