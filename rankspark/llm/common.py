@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
+#: Text bytes that a task function works on at once; a longer text makes a slice of its own.
+SLICE_BYTES = 2 * 2**20
+
+
+def bounded(batches, column: int):
+    """Record batches cut into slices of about SLICE_BYTES of text, so that the work arrays of a
+    task don't grow with the rows of an Arrow batch."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 _IS_WS = np.zeros(256, bool)
 _IS_WS[list(WS_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)

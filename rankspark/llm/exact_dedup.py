@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import _IS_WS, materialize, text_buffers
+from rankspark.llm.common import _IS_WS, bounded, materialize, text_buffers
 
 #: Chunk sizes in bytes. A cut needs CUT_BITS zero bits in the rolling hash.
 MIN_CHUNK = 512
@@ -90,7 +90,7 @@ def _chunks(batch_text) -> Iterator[tuple[int, bytes, list[tuple[int, bytes]]]]:
 def _recipes(batches):
     import hashlib
 
-    for b in batches:
+    for b in bounded(batches, 1):
         ids, shas, sizes = [], [], []
         for _, whole, parts in _chunks(b.column(1)):
             ids.append([h for h, _ in parts])
@@ -100,7 +100,7 @@ def _recipes(batches):
 
 
 def _pieces(batches):
-    for b in batches:
+    for b in bounded(batches, 0):
         seen: dict[tuple[int, bytes], None] = {}
         for _, _, parts in _chunks(b.column(0)):
             seen.update(dict.fromkeys(parts))
