@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import WS_BYTES, materialize, shuffle_width
+from rankspark.llm.common import WS_BYTES, bounded, materialize, shuffle_width
 
 MIN_CODE_POINTS = 20
 MIN_DOCUMENTS = 3
@@ -42,7 +42,7 @@ def _line_rows(min_code_points: int):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in bounded(batches, 2):
             keys, owner, pos, sizes = [], [], [], []
             for i, text in enumerate(b.column(2)):
                 lines = (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")
@@ -193,7 +193,7 @@ def _apply(digest_only: bool):
     def run(batches):
         import hashlib
 
-        for b in batches:
+        for b in bounded(batches, 1):
             n_lines, n_dropped, result = [], [], []
             for text, bitmap in zip(b.column(1), b.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
