@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import exact_dedup, line_dedup, minhash
+from rankspark.llm import exact_dedup, line_dedup, minhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,21 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest_only=True)
+
+
+SQL["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, p, md5(array_to_string(ws[p:p+12], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS p FROM w WHERE len(ws) >= 13)),
+m AS (SELECT h, min(doc_id) AS lo FROM p GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 12)) AS q FROM p JOIN m USING (h) WHERE lo < doc_id),
+a AS (SELECT doc_id, ws[q] AS word, q FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS q FROM w)),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.q) AS kept, count(*) AS n FROM a ANTI JOIN g ON a.doc_id = g.doc_id AND a.q = g.q GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
