@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import exact_dedup, line_dedup, minhash, substring_dedup
+from rankspark.llm import decontaminate, exact_dedup, line_dedup, minhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,23 @@ k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.q) AS kept, count(*) AS n
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+SQL["op2_warc_transactions"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN keeper END AS refers_to
+FROM k
+"""
