@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, exact_dedup, line_dedup, minhash, substring_dedup, warc
+from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,13 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_dig
        CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN keeper END AS refers_to
 FROM k
 """
+
+
+@query
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(_table(spark, sf_dir, "pages"))
