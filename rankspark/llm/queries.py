@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, substring_dedup, warc
+from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, pieces, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
