@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, pieces, substring_dedup, warc
+from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, pieces, pii, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op3_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
