@@ -25,19 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for every node of ``edges`` (a, b long).
 
-    Each round is written to the shared folder; only its row count and a checksum come to the
-    driver. The loop ends when a round changes nothing, that is, when all links are stars.
+    Each round is written to the shared folder, and only a yes or no comes to the driver: the
+    loop ends when all links are stars, that is, every node has one link to a root.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    state = _fingerprint(edges)
-    while state[0]:
+    while _unsettled(edges):
         edges = materialize(_star(_star(edges, True), False), "links")
-        before, state = state, _fingerprint(edges)
-        if state == before:
-            break
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two links upwards or is itself linked to: then not all are stars."""
+    seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    seen = seen.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counts = seen.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not counts.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()

@@ -6,17 +6,21 @@ smallest value; after SKETCH rounds the bin is fixed, so every coordinate is sur
 Two sketches agree in a coordinate with the sets' Jaccard similarity, with concentration as for
 independent min-hashes, at the cost of about one pass over the shingles.
 
-Coordinates are grouped into BANDS of ROWS. Documents with an equal band are candidates: each is
-compared with its bucket's centres on the full sets, then buckets whose members are still in more
-than one component are taken again with four times as many new centres, until none is left. At
-similarity 0.85 a pair shares no band with a probability of about 4e-7.
+Coordinates are grouped into BANDS of ROWS, and documents with an equal band share a bucket. At
+similarity 0.85 a pair shares no band with a probability of about 4e-7. Candidates are never all
+pairs of a bucket. First every member is compared, on the full sets, with its bucket's hub: the
+member whose buckets are the largest. Then buckets whose members are still in more than one
+component are settled exactly by prefix filtering: with shingles ordered from rare to common, two
+similar sets must share one so early that enough shingles can follow it in both. Only pairs in
+different components are taken, and the largest component of a shingle's holders is not paired
+with itself, so a large group of copies costs no more than its strays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import bounded, lower_ascii, materialize, mix64, text_buffers, window_hashes, word_hashes, word_spans
@@ -120,11 +124,35 @@ def _sets(shingle: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. Pairs often share b (a hub), so b's set
+    is joined first, while the rows are narrow."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, component) in different components that may be similar.
+
+    The overlap of similar sets of x and y shingles is at least percent (x + y) / (100 + percent).
+    The first shared shingle, in the order from rare to common, stands at a place in either set
+    from which that many can still follow; any pair without such a shingle is not similar.
+    """
+    token = nodes.join(sets, F.col("node") == F.col("doc_id")).select("node", "n", "component", F.explode("shingles").alias("token"))
+    token = materialize(token, "open-shingles")
+    counted = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("node").orderBy("df", "token")
+    place = token.join(counted, "token").withColumn("left", F.col("n") - F.row_number().over(by_rarity) + 1)
+    early = materialize(place.where((100 * F.col("left") >= percent * F.col("n")) & (F.col("df") > 1)).select("token", "node", "n", "component", "left"), "prefixes")
+    held = early.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    major = held.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
+    live = early.join(major, "token")
+    x = live.where("component != major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "left")])
+    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "left")])
+    enough = (100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_n") + F.col("y_n"))
+    met = x.join(y, (x.token == y.token) & (F.col("x_component") != F.col("y_component")) & enough)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,34 +170,23 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
     reps = named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = materialize(reps, "representatives")
     member = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
-    crowded = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket")
+    crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket", "size")
     open_ = materialize(member.join(crowded, "bucket"), "buckets")
-    wanted = open_.select(F.col("node").alias("want")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("want"), "left_semi")
+    weights = materialize(open_.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    texts = docs.select("doc_id", "text").join(weights, F.col("doc_id") == F.col("node"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "shingle-sets")
 
-    links, groups, fan = None, None, 1
-    while True:
-        salted = open_.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(fan)))
-        centres = salted.groupBy("bucket", "salt").agg(F.min_by(F.struct("node", "n", *(["component"] if groups is not None else [])), "node").alias("c"))
-        centres = centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), *([F.col("c.component").alias("cc")] if groups is not None else []))
-        pairs = open_.join(centres, "bucket").where("node != centre")
-        pairs = pairs.where(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-        if groups is not None:
-            pairs = pairs.where("component != cc")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        found = materialize(_verified(pairs, sets, percent), "verified")
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links)
-        # centres have met their whole bucket; the rest stays while it is in several components
-        met = centres.select("bucket", F.col("centre").alias("node"))
-        rest = open_.select("bucket", "node", "n").join(met, ["bucket", "node"], "left_anti")
-        rest = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        open_ = materialize(rest.join(mixed, "bucket").select("bucket", "node", "n", "component"), "buckets")
-        fan *= 4
-        if open_.isEmpty():
-            break
+    hubs = open_.join(weights, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
+    pairs = open_.join(hubs, "bucket").where("node != hub.node").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    pairs = pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = connected_components(_verified(pairs, sets, percent))
+    # members of buckets that are still in several components
+    named_open = open_.select("bucket", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named_open.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    rest = named_open.join(mixed, "bucket").select("node", "n", "component").distinct()
+    found = materialize(_verified(_prefix_pairs(rest, sets, percent), sets, percent), "verified")
+    if not found.isEmpty():  # the components so far are stars that take in the new links
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     groups = groups.withColumnRenamed("node", "rep")
     of_set = reps.select("s1", "s2", "n_shingles", "rep").join(groups, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
