@@ -26,6 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Distinct words whose result a task keeps; beyond it the memory starts anew.
 MAX_WORDS = 200_000
+#: A character outside the vocabulary scores so much below the worst one-character piece.
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(r" +[^ ]*")
 
@@ -68,7 +69,7 @@ class Lattice:
         self.scores = vocabulary.scores
         self.prefixes = {p[:i] for p in self.scores for i in range(1, len(p))}
         self.joined = {p[i: i + 2] for p in self.scores for i in range(len(p) - 1)}
-        self.unknown_score = min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
+        self.unknown_score = min((s for p, (_, s) in self.scores.items() if len(p) == 1), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids, self.unknown = vocabulary.byte_ids, vocabulary.unknown
 
     def parts(self, text: str) -> list[str]:
