@@ -167,6 +167,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         "capture_id", "capture.*", F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"pageId: (-?\d+)", 1).try_cast("long").alias("page_id")
     )
     targets = captures.where("type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("target_page"))
-    return captures.join(targets, captures.refers_to == targets.target, "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("target_page").alias("refers_to")
-    )
+    shown = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
+    alone = captures.where("refers_to IS NULL").select(*shown, F.lit(None).cast("long").alias("refers_to"))
+    again = captures.where("refers_to IS NOT NULL").join(targets, captures.refers_to == targets.target, "left")
+    return alone.unionByName(again.select(*shown, F.col("target_page").alias("refers_to")))
