@@ -28,8 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, tokens of context beside a trigger, documents to fit on.
 MAX_SEGMENT = 17
 CONTEXT = 3
-TRAIN_DOCS = 300
-TRAIN_REGIONS = 800
+TRAIN_DOCS = 250
+TRAIN_REGIONS = 600
 
 #: The rules of the contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -262,7 +262,7 @@ def training_regions(texts: list[str]):
                     yield tokens, segments, known
 
 
-def fit_weights(texts: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
+def fit_weights(texts: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 2e-4) -> np.ndarray:
     """Maximum-likelihood weights (kinds x features) by gradient ascent with adaptive steps.
     Without any training region the weights are such that nothing is added."""
     weights = np.zeros((len(KINDS), N_FEATURES))
