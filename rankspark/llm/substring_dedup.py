@@ -7,8 +7,8 @@ first pass finds the anchors that occur in different texts; segments of all othe
 repeat and stay at home. A bounded Bloom filter carries that verdict to the second pass: it only
 saves work, a false positive costs a segment's trip and changes no result.
 
-Equal segments collapse before the shuffle (smallest and largest document stay). Each shard builds
-an FM-index of its distinct segments and streams them through it: backward search over the wavelet
+Equal segments of a task collapse before the shuffle (smallest and largest document stay). Each shard
+builds an FM-index of its distinct segments and streams them through it: backward search over the wavelet
 matrix gives, for every window, the interval of its occurrences, and so the smallest document that
 holds it. Anchors with very many rows are split further: each of their windows is a segment of its
 own, routed by the whole window.
@@ -35,6 +35,9 @@ FILTER_BITS = 12
 FILTER_PROBES = 5
 FILTER_BYTES = 64 * 2**20
 FILTER_BLOCKS = 64
+#: Anchors, and distinct segments, that a task gathers before it hands them on.
+BLOCK_ANCHORS = 1_000_000
+BLOCK_SEGMENTS = 200_000
 
 
 def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
@@ -83,16 +86,70 @@ def _describe(batches):
         yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(first)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc", "version", "n_words", "k1", "k2"])
 
 
-def _anchors(window: int, anchor: int):
+def _anchor_blocks(window: int, anchor: int, ranges: int):
+    """Anchors with the key of their text, in blocks by hash range. Within a block of at most
+    BLOCK_ANCHORS an anchor keeps two different texts at most (all that is asked is whether there
+    are two) and its number of rows, so a very common anchor costs a few entries a block."""
+
+    def blocks(hashes: np.ndarray, keys: np.ndarray):
+        order = np.lexsort((keys, hashes))
+        hashes, keys = hashes[order], keys[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(hashes)) - 1
+        rows = last - first + 1
+        two = keys[first] != keys[last]
+        at = np.concatenate([first, last[two]])
+        count = np.concatenate([np.minimum(rows, 65535), np.zeros(int(two.sum()), np.int64)]).astype(np.uint16)
+        place = _range(hashes[at], ranges)
+        by = np.argsort(place, kind="stable")
+        at, count, place = at[by], count[by], place[by]
+        bounds = np.searchsorted(place, np.arange(ranges + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        cut = lambda x: pa.array([x[bounds[r]: bounds[r + 1]].tobytes() for r in full], pa.binary())
+        return pa.record_batch([pa.array(full.astype(np.int32)), cut(hashes[at]), cut(keys[at]), cut(count)], names=["range", "anchors", "keys", "counts"])
+
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for b in bounded(batches, 0):
             _, _, first, words, row, _, _, hashes = anchored_segments(*text_buffers(b.column(0)), window, anchor)
+            if not len(row):
+                continue
             keys = np.array([_text_key(words[lo:hi])[0] for lo, hi in zip(first[:-1], first[1:], strict=True)], np.int64)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(keys[row] if len(row) else np.zeros(0, np.int64))], names=["anchor", "text_key"])
+            held.append((hashes, keys[row]))
+            size += len(row)
+            if size >= BLOCK_ANCHORS:
+                yield blocks(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield blocks(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
+def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, of ``ranges`` equal ones (up to 2**31)."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _shared(batches):
+    """The anchors of a range that occur in different texts, with their number of rows."""
+    parts = [tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip((b.column(1)[i], b.column(2)[i], b.column(3)[i]), (np.uint64, np.int64, np.uint16), strict=True)) for b in batches for i in range(b.num_rows)]
+    if not parts:
+        return
+    hashes, keys, counts = map(np.concatenate, zip(*parts, strict=True))
+    order = np.argsort(hashes, kind="stable")
+    hashes, keys, counts = hashes[order], keys[order], counts[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    first = np.flatnonzero(fresh)
+    several = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
+    rows = np.add.reduceat(counts.astype(np.int64), first)
+    yield pa.record_batch([pa.array(hashes[first][several].view(np.int64)), pa.array(rows[several])], names=["anchor", "n"])
+
+
 def _probes(hashes: np.ndarray, block_bits: int) -> np.ndarray:
     """Bit positions (inside the key's block) of every probe: probes x keys."""
     h = mix64(hashes)
@@ -139,37 +196,73 @@ def _filter(keys: DataFrame, column: str) -> BloomFilter:
     return BloomFilter({r.block: bytes(r.bits) for r in dealt.mapInArrow(build, "block int, bits binary").collect()}, bits)
 
 
-def _segments(window: int, anchor: int, shared, hot):
-    def run(batches):
-        import xxhash
+def _chosen(batch_text, window: int, anchor: int, common, crowded):
+    """Segments of a batch whose anchor may be shared: row, first word in the row, route, id, words."""
+    import xxhash
 
-        common, crowded = shared.value, hot.value
+    data, offsets = normalise(*text_buffers(batch_text))
+    starts, ends, first, words, row, at, count, hashes = anchored_segments(data, offsets, window, anchor)
+    if len(row):
+        chosen = common.holds(hashes)
+        row, at, count, hashes = row[chosen], at[chosen], count[chosen], hashes[chosen]
+    if not len(row):
+        return None
+    split = crowded.holds(hashes)
+    if split.any():  # every window on its own
+        times = np.where(split, count, 1)
+        index = np.repeat(np.arange(len(row)), times)
+        at = at[index] + np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+        whole = window_hashes(words, window)[at]
+        row, count, hashes, split = row[index], count[index], hashes[index], split[index]
+        count, hashes = np.where(split, 1, count), np.where(split, whole, hashes)
+    raw = data.tobytes()
+    pieces = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at + count + window - 2].tolist(), strict=True)]
+    ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
+    return row, at - first[row], hashes.view(np.int64), ids, pieces
+
+
+def _occurrences(window: int, anchor: int, shared, hot):
+    def run(batches):
         for b in bounded(batches, 2):
-            data, offsets = normalise(*text_buffers(b.column(2)))
-            starts, ends, first, words, row, at, count, hashes = anchored_segments(data, offsets, window, anchor)
-            if not len(row):
-                continue
-            chosen = common.holds(hashes)
-            row, at, count, hashes = row[chosen], at[chosen], count[chosen], hashes[chosen]
-            split = crowded.holds(hashes)
-            if split.any():
-                times = np.where(split, count, 1)
-                index = np.repeat(np.arange(len(row)), times)
-                inside = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
-                at = at[index] + inside
-                whole = window_hashes(words, window)[at]
-                row, count, hashes, split = row[index], count[index], hashes[index], split[index]
-                count, hashes = np.where(split, 1, count), np.where(split, whole, hashes)
-            if not len(row):
+            found = _chosen(b.column(2), window, anchor, shared.value, hot.value)
+            if found:
+                row, pos, _, ids, _ = found
+                owner = pa.array(row)
+                yield pa.record_batch([pa.array(ids[:, 0]), pa.array(ids[:, 1]), b.column(0).take(owner), b.column(1).take(owner), pa.array(pos.astype(np.int32))], names=["s1", "s2", "doc", "version", "pos"])
+
+    return run
+
+
+def _distinct_segments(window: int, anchor: int, shared, hot):
+    """Segments with the smallest and largest document that hold them; equal ones of a task
+    collapse here, so a segment of very many documents reaches its shard once a task."""
+
+    def out(held):
+        columns = list(zip(*held.values(), strict=True))
+        arrays = [pa.array(x, pa.int64()) for x in columns]
+        return pa.record_batch([*arrays, pa.array(list(held), pa.binary())], names=["route", "s1", "s2", "lo", "hi", "words"])
+
+    def run(batches):
+        held: dict[bytes, list[int]] = {}
+        for b in bounded(batches, 1):
+            found = _chosen(b.column(1), window, anchor, shared.value, hot.value)
+            if not found:
                 continue
-            raw = data.tobytes()
-            pieces = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at + count + window - 2].tolist(), strict=True)]
-            ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
-            owner = pa.array(row)
-            yield pa.record_batch(
-                [pa.array(hashes.view(np.int64)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), b.column(0).take(owner), b.column(1).take(owner), pa.array((at - first[row]).astype(np.int32)), pa.array(pieces, pa.binary())],
-                names=["route", "s1", "s2", "doc", "version", "pos", "words"],
-            )
+            row, _, routes, ids, pieces = found
+            docs = b.column(0).to_numpy(zero_copy_only=False)[row].tolist()
+            for piece, doc, route, (s1, s2) in zip(pieces, docs, routes.tolist(), ids.tolist(), strict=True):
+                seen = held.get(piece)
+                if seen is None:
+                    held[piece] = [route, s1, s2, doc, doc]
+                elif doc < seen[3]:
+                    seen[3] = doc
+                elif doc > seen[4]:
+                    seen[4] = doc
+            if len(held) >= BLOCK_SEGMENTS:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
 
     return run
 
@@ -184,7 +277,16 @@ def _shard(window: int):
         if not parts:
             return
         table = pa.Table.from_batches(parts).combine_chunks()
-        column = table.column("words").combine_chunks().cast(pa.large_binary()).view(pa.large_string())
+        s1, s2 = table.column("s1").to_numpy(), table.column("s2").to_numpy()
+        order = np.lexsort((s2, s1))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+        begin = np.flatnonzero(fresh)
+        low = np.minimum.reduceat(table.column("lo").to_numpy()[order], begin)
+        high = np.maximum.reduceat(table.column("hi").to_numpy()[order], begin)
+        one = order[begin]  # one row of every distinct segment
+        s1, s2 = s1[one], s2[one]
+        column = table.column("words").combine_chunks().take(pa.array(one)).cast(pa.large_binary()).view(pa.large_string())
         data, offsets = text_buffers(column)
         starts, ends, first = word_spans(data, offsets)
         symbols, inverse = np.unique(word_hashes(data, starts, ends), return_inverse=True)
@@ -194,7 +296,6 @@ def _shard(window: int):
         text = np.zeros(len(inverse) + n, np.int64)
         place = np.arange(len(inverse)) + segment  # a separator follows every segment
         text[place] = inverse + 1
-        low, high = table.column("lo").to_numpy(), table.column("hi").to_numpy()
         value = np.full(len(text), np.iinfo(np.int64).max)
         value[place] = low[segment]
         index = FMIndex(text, len(symbols) + 1, window)
@@ -211,9 +312,8 @@ def _shard(window: int):
         keep = np.flatnonzero(useful)
         bounds = np.zeros(len(keep) + 1, np.int32)
         np.cumsum(windows[keep], out=bounds[1:])
-        chosen = pa.array(keep)
         yield pa.record_batch(
-            [table.column("s1").combine_chunks().take(chosen), table.column("s2").combine_chunks().take(chosen), pa.ListArray.from_arrays(pa.array(bounds), pa.array(smallest[useful[owner]]))],
+            [pa.array(s1[keep]), pa.array(s2[keep]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(smallest[useful[owner]]))],
             names=["s1", "s2", "holders"],
         )
 
@@ -230,19 +330,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     owners = described.groupBy("k1", "k2", "n_words").agg(F.min("doc").alias("owner"))
     copies = described.join(owners, ["k1", "k2", "n_words"]).where("doc > owner").select("doc", "version", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
 
-    anchors = docs.select("text").mapInArrow(_anchors(window, anchor), "anchor long, text_key long")
-    counted = anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(counted.where("a != b").select("anchor", "n"), "shared-anchors")
+    width = shuffle_width(spark)
+    blocks = docs.select("text").mapInArrow(_anchor_blocks(window, anchor, width), "range int, anchors binary, keys binary, counts binary")
+    shared = materialize(blocks.repartition(width, "range").mapInArrow(_shared, "anchor long, n long"), "shared-anchors")
     common = spark.sparkContext.broadcast(_filter(shared, "anchor"))
     crowded = spark.sparkContext.broadcast(_filter(shared.where(F.col("n") >= HOT_ANCHOR), "anchor"))
 
-    segments = materialize(
-        texts.mapInArrow(_segments(window, anchor, common, crowded), "route long, s1 long, s2 long, doc long, version long, pos int, words binary"), "segments"
-    )
-    distinct = segments.groupBy("route", "s1", "s2", "words").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    shards = distinct.repartition(shuffle_width(spark), "route").select("s1", "s2", "words", "lo", "hi")
-    held = shards.mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
-    spread = segments.select("s1", "s2", "doc", "version", "pos").join(held, ["s1", "s2"])
+    distinct = texts.select("doc", "text").mapInArrow(_distinct_segments(window, anchor, common, crowded), "route long, s1 long, s2 long, lo long, hi long, words binary")
+    held = distinct.repartition(width, "route").mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
+    segments = texts.mapInArrow(_occurrences(window, anchor, common, crowded), "s1 long, s2 long, doc long, version long, pos int")
+    spread = segments.join(held, ["s1", "s2"])
     mask = sum((F.when(F.get("holders", F.lit(i)) < F.col("doc"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, window - anchor + 1)), F.when(F.get("holders", F.lit(0)) < F.col("doc"), F.lit(1)).otherwise(F.lit(0)))
     found = spread.select("doc", "version", "pos", mask.alias("mask")).where("mask != 0")
     return found.unionByName(copies).groupBy("doc", "version").agg(F.collect_set(F.struct("pos", "mask")).alias("runs"))
