@@ -27,7 +27,7 @@ from rankspark.llm.fm_index import FMIndex
 from rankspark.llm.line_dedup import NULL_ID, _doc, _version
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 7
 #: Rows of an anchor from which its windows are routed one by one.
 HOT_ANCHOR = 50_000
 #: The Bloom filter's bits per anchor, probes and greatest size; beyond it more segments travel.
@@ -36,6 +36,7 @@ FILTER_PROBES = 5
 FILTER_BYTES = 64 * 2**20
 FILTER_BLOCKS = 64
 #: Anchors, and distinct segments, that a task gathers before it hands them on.
+#: Blocks are cut into more ranges than there are tasks, which evens out what a task gets.
 BLOCK_ANCHORS = 1_000_000
 BLOCK_SEGMENTS = 200_000
 
@@ -233,14 +234,25 @@ def _occurrences(window: int, anchor: int, shared, hot):
     return run
 
 
-def _distinct_segments(window: int, anchor: int, shared, hot):
-    """Segments with the smallest and largest document that hold them; equal ones of a task
-    collapse here, so a segment of very many documents reaches its shard once a task."""
+def _segment_blocks(window: int, anchor: int, shared, hot, ranges: int):
+    """Distinct segments with the smallest and largest document that hold them, in compressed
+    blocks by range of their route. Equal ones of a task collapse here, so a segment of very many
+    documents reaches its shard a few times a task."""
 
     def out(held):
-        columns = list(zip(*held.values(), strict=True))
-        arrays = [pa.array(x, pa.int64()) for x in columns]
-        return pa.record_batch([*arrays, pa.array(list(held), pa.binary())], names=["route", "s1", "s2", "lo", "hi", "words"])
+        import zstandard
+
+        pieces = list(held)
+        values = np.array(list(held.values()), np.int64)
+        place = _range(mix64(values[:, 0].view(np.uint64)), ranges)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(ranges + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        rows = [order[bounds[r]: bounds[r + 1]] for r in full]
+        words = [pack(b"\n".join([pieces[i] for i in x.tolist()])) for x in rows]
+        cut = lambda j: pa.array([values[x, j].tobytes() for x in rows], pa.binary())
+        return pa.record_batch([pa.array(full.astype(np.int32)), cut(1), cut(2), pa.array(words, pa.binary())], names=["range", "lo", "hi", "words"])
 
     def run(batches):
         held: dict[bytes, list[int]] = {}
@@ -248,16 +260,16 @@ def _distinct_segments(window: int, anchor: int, shared, hot):
             found = _chosen(b.column(1), window, anchor, shared.value, hot.value)
             if not found:
                 continue
-            row, _, routes, ids, pieces = found
+            row, _, routes, _, pieces = found
             docs = b.column(0).to_numpy(zero_copy_only=False)[row].tolist()
-            for piece, doc, route, (s1, s2) in zip(pieces, docs, routes.tolist(), ids.tolist(), strict=True):
+            for piece, doc, route in zip(pieces, docs, routes.tolist(), strict=True):
                 seen = held.get(piece)
                 if seen is None:
-                    held[piece] = [route, s1, s2, doc, doc]
-                elif doc < seen[3]:
-                    seen[3] = doc
-                elif doc > seen[4]:
-                    seen[4] = doc
+                    held[piece] = [route, doc, doc]
+                elif doc < seen[1]:
+                    seen[1] = doc
+                elif doc > seen[2]:
+                    seen[2] = doc
             if len(held) >= BLOCK_SEGMENTS:
                 yield out(held)
                 held = {}
@@ -273,21 +285,29 @@ def _shard(window: int):
     larger."""
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        import xxhash
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        lows, highs, texts = [], [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                lows.append(np.frombuffer(b.column(1)[i].as_buffer(), np.int64))
+                highs.append(np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
+                texts.append(unpack(b.column(3)[i].as_py()))
+        if not texts:
             return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        s1, s2 = table.column("s1").to_numpy(), table.column("s2").to_numpy()
-        order = np.lexsort((s2, s1))
+        pieces = b"\n".join(texts).split(b"\n")
+        ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
+        order = np.lexsort((ids[:, 1], ids[:, 0]))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+        fresh[1:] = (ids[order[1:]] != ids[order[:-1]]).any(1)
         begin = np.flatnonzero(fresh)
-        low = np.minimum.reduceat(table.column("lo").to_numpy()[order], begin)
-        high = np.maximum.reduceat(table.column("hi").to_numpy()[order], begin)
+        low = np.minimum.reduceat(np.concatenate(lows)[order], begin)
+        high = np.maximum.reduceat(np.concatenate(highs)[order], begin)
         one = order[begin]  # one row of every distinct segment
-        s1, s2 = s1[one], s2[one]
-        column = table.column("words").combine_chunks().take(pa.array(one)).cast(pa.large_binary()).view(pa.large_string())
-        data, offsets = text_buffers(column)
+        s1, s2 = ids[one, 0], ids[one, 1]
+        data, offsets = text_buffers(pa.array([pieces[i] for i in one.tolist()], pa.large_binary()).view(pa.large_string()))
         starts, ends, first = word_spans(data, offsets)
         symbols, inverse = np.unique(word_hashes(data, starts, ends), return_inverse=True)
         n = len(first) - 1
@@ -331,13 +351,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     copies = described.join(owners, ["k1", "k2", "n_words"]).where("doc > owner").select("doc", "version", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
 
     width = shuffle_width(spark)
-    blocks = docs.select("text").mapInArrow(_anchor_blocks(window, anchor, width), "range int, anchors binary, keys binary, counts binary")
+    ranges = max(width, min(8 * width, 4096))
+    blocks = docs.select("text").mapInArrow(_anchor_blocks(window, anchor, ranges), "range int, anchors binary, keys binary, counts binary")
     shared = materialize(blocks.repartition(width, "range").mapInArrow(_shared, "anchor long, n long"), "shared-anchors")
     common = spark.sparkContext.broadcast(_filter(shared, "anchor"))
     crowded = spark.sparkContext.broadcast(_filter(shared.where(F.col("n") >= HOT_ANCHOR), "anchor"))
 
-    distinct = texts.select("doc", "text").mapInArrow(_distinct_segments(window, anchor, common, crowded), "route long, s1 long, s2 long, lo long, hi long, words binary")
-    held = distinct.repartition(width, "route").mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
+    distinct = texts.select("doc", "text").mapInArrow(_segment_blocks(window, anchor, common, crowded, ranges), "range int, lo binary, hi binary, words binary")
+    held = distinct.repartition(width, "range").mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
     segments = texts.mapInArrow(_occurrences(window, anchor, common, crowded), "s1 long, s2 long, doc long, version long, pos int")
     spread = segments.join(held, ["s1", "s2"])
     mask = sum((F.when(F.get("holders", F.lit(i)) < F.col("doc"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, window - anchor + 1)), F.when(F.get("holders", F.lit(0)) < F.col("doc"), F.lit(1)).otherwise(F.lit(0)))
