@@ -11,5 +11,12 @@ Sub-packages:
 * ``streaming`` – Structured Streaming scoring of arriving item files.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are pickled by value: workers need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["__version__"]
-__version__ = "0.1.0"
+__version__ = "0.2.0"

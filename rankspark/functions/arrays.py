@@ -23,27 +23,20 @@ def _sort_key(v: Column) -> Column:
     return F.coalesce(F.nanvl(-v.cast("double"), inf), inf)
 
 
-def rank_desc(scores: Column | str, ties: str = "low", k: int | None = None) -> Column:
-    """WN-5 (array form): candidate indices ordered by score, best first.
+def rank_desc(scores: Column | str, ties: str = "low") -> Column:
+    """WN-5 (array form): candidate indices ordered by score, best first, over the whole list
+    whatever its length.
 
     ``ties="low"`` puts the lower index first on equal scores (D-4, stable descending
     sort); ``ties="high"`` puts the higher index first (D-5, Borda). Null and NaN scores
-    rank last (D-7), in index order (a score of -inf ties with them).
-
-    With ``k`` (the candidate count, known when the vocabulary is) the ranking is unrolled
-    into ``sort_array`` over k (key, index) structs, which whole-stage codegen compiles;
-    without it a higher-order ``array_sort`` (interpreted) handles any length.
+    rank last (D-7), in index order (a score of -inf ties with them). A null list stays null.
     """
     sign = 1 if ties == "low" else -1
-    x = _col(scores)
 
-    def keyed(v: Column, i) -> Column:
+    def keyed(v: Column, i: Column) -> Column:
         return F.struct(_sort_key(v).alias("key"), (i * sign).alias("idx"))
 
-    if k is not None:
-        srt = F.sort_array(F.array(*[keyed(F.get(x, i), F.lit(i)) for i in range(k)]))
-        return F.array(*[F.get(srt, j)["idx"] * sign for j in range(k)])
-    return F.transform(F.array_sort(F.transform(x, keyed)), lambda s: s["idx"] * sign)
+    return F.transform(F.sort_array(F.transform(_col(scores), keyed)), lambda s: s["idx"] * sign)
 
 
 def ranks_text(ranks: Column | str, sep: str = " ") -> Column:
@@ -65,40 +58,49 @@ def lcm_upto(k: int) -> int:
     return reduce(lambda a, b: a * b // math.gcd(a, b), range(1, k + 1), 1)
 
 
+def hit_position(ranks: Column | str, y: Column | str, k: int) -> Column:
+    """AG-15: 1-based position of the truth within the first k entries; 0 if absent or missing."""
+    return F.coalesce(F.array_position(top_k(ranks, k), _col(y).cast("int")), F.lit(0)).cast("int")
+
+
+# lcm(1..k) times this many items still fits a long
+LONG_SCALE_MAX_K = 20
+
+
 def ap_scaled(ranks: Column | str, y: Column | str, k: int) -> Column:
-    """AG-15: average precision at k times lcm(1..k), as an exact integer.
+    """AG-15: average precision at k times lcm(1..k), as an exact integer (k up to 20).
 
     1/position of the first hit within the first k entries, else 0; a missing truth is 0.
-    Scaling by lcm(1..k) keeps sums exact, so MAP = sum / (lcm * n) is engine independent.
     """
-    pos = F.array_position(top_k(ranks, k), _col(y).cast("int"))
-    scale = lcm_upto(k)
-    return F.coalesce(F.when(pos > 0, F.lit(scale) / pos).otherwise(F.lit(0)).cast("long"), F.lit(0).cast("long"))
-
+    if k > LONG_SCALE_MAX_K:
+        raise ValueError(f"lcm(1..{k}) does not fit; use hit_position and map_at_k")
+    pos = hit_position(ranks, y, k)
+    return F.when(pos > 0, F.expr(f"{lcm_upto(k)}L") / pos).otherwise(F.lit(0)).cast("long")
 
-def borda_points(ranks: Column | str, k: int | None = None) -> Column:
-    """AG-20: points per candidate index for one ranking: K - position (0-based).
 
-    With ``k`` the points are ``k - pos`` of each candidate's first occurrence (0 when
-    absent), unrolled for codegen. Without it the ranking must be a permutation of
-    0..K-1 (D-16) and a higher-order sort is used.
-    """
+def borda_points(ranks: Column | str) -> Column:
+    """AG-20: points per candidate index for one ranking: K - position (0-based), K being the
+    ranking's own length. The ranking must be a permutation of 0..K-1 (D-16); any other one
+    raises when the row is evaluated."""
     ranks = _col(ranks)
-    if k is not None:
-        def pts(c: int) -> Column:
-            pos = F.array_position(ranks, F.lit(c))
-            return F.when(pos > 0, F.lit(k) - pos + 1).otherwise(F.lit(0)).cast("long")
-
-        return F.array(*[pts(c) for c in range(k)])
     size = F.size(ranks)
     pairs = F.transform(ranks, lambda c, p: F.struct(c.alias("cand"), (size - p).cast("long").alias("pts")))
-    return F.transform(F.array_sort(pairs), lambda s: s["pts"])
+    whole = F.array_sort(ranks.cast("array<long>")) == F.when(size > 0, F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    checked = F.when(F.coalesce(whole, F.lit(False)), pairs).otherwise(
+        F.raise_error(F.concat(F.lit("not a permutation of 0..K-1: "), F.coalesce(F.to_json(ranks), F.lit("null"))))
+    )
+    return F.transform(F.array_sort(checked), lambda s: s["pts"])
 
 
 def add_arrays(arrays: Column | str) -> Column:
-    """Element-wise sum of an array of equal-length numeric arrays (a short, bounded list)."""
+    """Element-wise sum of an array of equal-length numeric arrays (a short, bounded list).
+    Arrays of different lengths raise when the row is evaluated."""
     arrays = _col(arrays)
-    first = F.get(arrays, 0)
+    sizes = F.transform(arrays, F.size)
+    even = F.array_min(sizes) == F.array_max(sizes)
+    first = F.when(even, F.get(arrays, 0)).otherwise(
+        F.raise_error(F.concat(F.lit("runs differ in their number of candidates: "), F.to_json(sizes)))
+    )
     return F.aggregate(
         F.slice(arrays, 2, F.greatest(F.size(arrays) - 1, F.lit(0))),
         first,
@@ -106,18 +108,9 @@ def add_arrays(arrays: Column | str) -> Column:
     )
 
 
-def softmax_xent(logits: Column | str, y: Column | str, k: int | None = None) -> Column:
-    """AG-22: softmax cross-entropy over the candidate set, numerically stable.
-
-    ``k`` unrolls the log-sum-exp for codegen.
-    """
-    x = _col(logits)
-    if k is not None:
-        xs = [F.get(x, i).cast("double") for i in range(k)]
-        m = F.greatest(*xs) if k > 1 else xs[0]
-        total = sum((F.exp(v - m) for v in xs[1:]), F.exp(xs[0] - m))
-        return m + F.log(total) - F.get(x, _col(y).cast("int")).cast("double")
-    x = F.transform(x, lambda v: v.cast("double"))
+def softmax_xent(logits: Column | str, y: Column | str) -> Column:
+    """AG-22: softmax cross-entropy over the whole candidate list, numerically stable."""
+    x = F.transform(_col(logits), lambda v: v.cast("double"))
     m = F.array_max(x)
     total = F.aggregate(F.transform(x, lambda v: F.exp(v - m)), F.lit(0.0), lambda a, b: a + b)
     return m + F.log(total) - F.get(x, _col(y).cast("int"))

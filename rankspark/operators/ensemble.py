@@ -37,31 +37,16 @@ def check_rankings(runs: DataFrame, k: int, ranks_col: str = "ranks") -> int:
 
 
 def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks", out: str = "ranks",
-          keep: Sequence[str] = (), k: int | None = None, validate: bool = False) -> DataFrame:
+          keep: Sequence[str] = ()) -> DataFrame:
     """AG-20: Borda count over runs; ties to the higher candidate index (D-5).
 
-    ``keep`` columns are per-item constants (e.g. the truth) carried through.
-    ``validate`` (with ``k``) first checks that every ranking is a permutation of
-    0..k-1 and raises otherwise (D-16; costs one job).
+    ``keep`` columns are per-item constants (e.g. the truth) carried through. A ranking that is
+    not a permutation of 0..K-1, or an item whose runs differ in K, raises (D-16); items may
+    differ in K among each other.
 
-    One shuffle on the item key. Points per ranking are computed before the shuffle. With
-    ``k`` known, points are summed per candidate slot by ordinary ``sum`` aggregates
-    (hash aggregation with map-side partial sums, codegen'd) and the final order is an
-    unrolled sort; otherwise the per-run point arrays are collected per item (one array
-    per run, a bounded group) and added element-wise.
+    One shuffle on the item key: points per ranking are computed before it, and the per-run
+    point arrays of an item (one per run, a bounded group) are added element-wise.
     """
-    if validate and k is not None:
-        bad = check_rankings(runs, k, ranks_col)
-        if bad:
-            raise ValueError(f"{bad} rankings are not permutations of 0..{k - 1}")
-    if k is not None:
-        pts = runs.select(item_col, *keep, borda_points(ranks_col, k).alias("__pts"))
-        sums = pts.groupBy(item_col).agg(
-            *[F.sum(F.get("__pts", c)).alias(f"__s{c}") for c in range(k)],
-            *[F.first(c).alias(c) for c in keep],
-        )
-        total = F.array(*[F.col(f"__s{c}") for c in range(k)])
-        return sums.select(item_col, *keep, rank_desc(total, ties="high", k=k).alias(out))
     pts = runs.select(item_col, *keep, borda_points(ranks_col).alias("__pts"))
     return (
         pts.groupBy(item_col)
@@ -70,15 +55,9 @@ def borda(runs: DataFrame, item_col: str = "item_id", ranks_col: str = "ranks",
     )
 
 
-def mean_logit(scores: DataFrame, item_col: str = "item_id", logits_col: str = "logits", out: str = "ranks",
-               k: int | None = None) -> DataFrame:
-    """AG-21: average logits over runs, then rank (ties to the lower index)."""
-    if k is not None:
-        agg = scores.groupBy(item_col).agg(
-            *[F.avg(F.get(logits_col, c).cast("double")).alias(f"__m{c}") for c in range(k)]
-        )
-        mean = F.array(*[F.col(f"__m{c}") for c in range(k)])
-        return agg.select(item_col, rank_desc(mean, ties="low", k=k).alias(out))
+def mean_logit(scores: DataFrame, item_col: str = "item_id", logits_col: str = "logits", out: str = "ranks") -> DataFrame:
+    """AG-21: average logits over runs, then rank (ties to the lower index). Items whose runs
+    differ in their number of candidates raise."""
     arr = scores.select(item_col, F.transform(logits_col, lambda x: x.cast("double")).alias("__l"))
     return (
         arr.groupBy(item_col)

@@ -4,7 +4,7 @@ Each item carries its candidate embeddings, so the softmax over an item's candid
 row-local. A gradient step is one Spark job: ``mapInPandas`` turns each Arrow batch into
 partial gradient sums (numpy), ``groupBy(idx).sum`` combines them (map-side partial
 aggregation), and only the K x H + K numbers of the update come back to the driver. The
-input stays cached across steps; the weights travel as one broadcast per step, so the
+input is stored once in the shared folder; the weights travel as one broadcast per step, so the
 lineage does not grow with the number of steps.
 """
 
@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators.joins import share
+from rankspark.operators.folds import fold_split
+from rankspark.operators.joins import collect_small, share
+from rankspark.session import stored
 
 MAX_HEAD_WEIGHTS = 10_000_000
 
@@ -65,12 +67,14 @@ def _grad_fn(bc, vec_col: str, label_col: str, class_pos: dict):
 
 def fit_head(items: DataFrame, vec_col: str = "embedding", label_col: str = "label",
              l2: float = 0.01, lr: float = 0.5, steps: int = 20, seed: int = 42) -> Head:
-    """Full-batch gradient descent on the mean softmax cross-entropy plus L2 decay."""
+    """Full-batch gradient descent on the mean softmax cross-entropy plus L2 decay. Rows without
+    a label don't train; the head (classes x dimensions) must fit MAX_HEAD_WEIGHTS."""
     spark = items.sparkSession
-    data = items.select(vec_col, label_col).cache()
-    classes = [r[0] for r in data.select(label_col).distinct().orderBy(label_col).collect()]
+    data = stored(items.where(F.col(label_col).isNotNull()).select(vec_col, label_col), "train")
     dim_row = data.select(F.size(vec_col).alias("h")).first()
     h = int(dim_row["h"]) if dim_row else 0
+    most = MAX_HEAD_WEIGHTS // max(1, h)
+    classes = [r[0] for r in collect_small(data.select(label_col).distinct().orderBy(label_col), most, "class list")]
     k = len(classes)
     if k * h > MAX_HEAD_WEIGHTS:
         raise ValueError("head too large for driver-side updates")
@@ -95,7 +99,6 @@ def fit_head(items: DataFrame, vec_col: str = "embedding", label_col: str = "lab
         history.append((step, float(loss / n)))
         w = w - lr * g_w
         b = b - lr * g_b
-    data.unpersist()
     return Head(classes, w, b, history)
 
 
@@ -129,12 +132,12 @@ def cross_validate(items: DataFrame, n_folds: int, fit_fn, score_fn, fold_col: s
     """ML-5: for each fold fit on the other folds, score the held-out fold, union the
     out-of-fold scores (SO-1). ``fit_fn(train) -> model``; ``score_fn(valid, model) -> DF``.
 
-    Each fold is a Spark job on the same (cached) input; the driver only loops over folds.
+    Each fold is a Spark job on the same input; the driver only loops over folds. Rows without a
+    fold train in every round and are never scored.
     """
-    data = items.cache()
     parts = []
     for f in range(n_folds):
-        train, valid = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
+        train, valid = fold_split(items, f, fold_col)
         parts.append(score_fn(valid, fit_fn(train)).withColumn(fold_col, F.lit(f)))
     out = parts[0]
     for p in parts[1:]:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators.joins import lookup_join
-from rankspark.operators.windows import hash_bucket, running_start, split_row_number
+from rankspark.operators.windows import buckets_for, hash_bucket, running_start, split_row_number
 
 
 def shuffle_key(key: str, seed: int) -> F.Column:
@@ -14,49 +13,41 @@ def shuffle_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-ROWS_PER_BUCKET = 1_000_000
-
-
-def hex_digits_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hash-prefix digits so that a stratum of ``rows`` rows splits into buckets of about
-    ``rows_per_bucket`` rows (16 to 65,536 buckets)."""
-    digits = 1
-    while digits < 4 and rows / (16 ** digits) > rows_per_bucket:
-        digits += 1
-    return digits
+HASH_DIGITS = 7  # hex digits of the shuffle key that buckets are cut from (268 M values)
 
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: int = 42,
-                     out: str = "fold", n_hex: int | None = None) -> DataFrame:
+                     out: str = "fold", buckets: int | None = None) -> DataFrame:
     """WN-4: stratified shuffled k-fold.
 
     Rows are ordered by (stratum, seeded hash); the fold is (global position - 1) mod k.
     Within a stratum consecutive rows go to consecutive folds, so per-stratum fold sizes
     differ by at most 1, and since each stratum starts where the previous one ended, the
-    total fold sizes differ by at most 1 too.
+    total fold sizes differ by at most 1 too. Rows without a stratum are a stratum of their
+    own, ordered last; every row gets a fold.
 
-    The position within a stratum comes from ``split_row_number`` over hash-prefix
-    buckets (16**n_hex per stratum, numbered by separate tasks, so a stratum with a third
-    of all rows is spread out); the stratum's start is a running sum over one row per
-    stratum (checked size). ``n_hex`` defaults to a bucket count sized from the largest
-    stratum.
+    The position within a stratum comes from ``split_row_number`` over equal ranges of the
+    hash, numbered by separate tasks, so a stratum with a third of all rows is spread out.
+    ``buckets`` per stratum defaults to what the row count asks for. The stratum sizes are
+    summed from the same counts.
     """
+    if buckets is None:
+        buckets = buckets_for(df.select(key).count())
     src = df.withColumn("__h", shuffle_key(key, seed))
-    sizes = src.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    start, biggest = running_start(sizes, [stratum])
-    if n_hex is None:
-        n_hex = hex_digits_for(biggest)
-    src = src.withColumn("__b", hash_bucket(F.col("__h"), n_hex))
+    src = src.withColumn("__b", F.floor(hash_bucket(F.col("__h"), HASH_DIGITS).cast("long") * F.lit(buckets) / F.lit(16 ** HASH_DIGITS)).cast("int"))
+    sizes = src.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__n")).groupBy(stratum).agg(F.sum("__n").alias("n"))
+    start = running_start(sizes, [stratum])
     ranked = split_row_number(src, [stratum], [F.col("__h"), F.col(key)], ["__b"], "__g", start=start)
     return ranked.withColumn(out, ((F.col("__g") - 1) % k).cast("int")).drop("__h", "__b", "__g")
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, key: str, fold_col: str = "fold") -> DataFrame:
-    """JN-8: fold (and any other fold-table column) per row by an equi join on the row key."""
-    return lookup_join(df, folds, key, "inner")
+    """JN-8: fold (and any other fold-table column) per row by an equi join on the row key. Both
+    sides have a row per data row, so it is a plain join."""
+    return df.join(folds, key, "inner")
 
 
 def fold_split(df: DataFrame, f: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """PF-5: (train, valid) = (fold != f, fold == f). On a table written with
-    ``partitionBy(fold)`` both filters become partition pruning."""
-    return df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+    """PF-5: (train, valid) = (fold is not f, fold is f); rows without a fold train. On a table
+    written with ``partitionBy(fold)`` both filters become partition pruning."""
+    return df.where(~F.col(fold_col).eqNullSafe(F.lit(f))), df.where(F.col(fold_col) == f)

@@ -1,8 +1,8 @@
 """Size-checked dimension joins and small-table helpers.
 
-A side is broadcast only after its row count is checked against a bound; above the bound
-the join stays a shuffle join (sort-merge, which AQE may still turn into a broadcast or
-split for skew at run time).
+A side is broadcast only after it was seen to be small: its rows are fetched up to a bound and
+their bytes measured. Beyond either bound the join is an ordinary shuffle join, which AQE may still
+turn into a broadcast or split for skew at run time. Nothing is cached.
 """
 
 from __future__ import annotations
@@ -10,70 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables up to this many rows and bytes are broadcast to every task.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-# Vocabularies up to this size may be inlined as a literal array in an expression.
-LITERAL_MAX_VALUES = 20_000
+# Dimension tables up to this many rows and Arrow bytes are broadcast to every task.
+BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 class TooLarge(ValueError):
-    """A table expected to be small (vocabulary, head matrix) exceeded its bound."""
+    """A model that must fit on the driver (a head matrix) exceeded its bound."""
 
 
-def checked_count(df: DataFrame, max_rows: int, what: str = "table") -> int:
-    n = df.count()
-    if n > max_rows:
-        raise TooLarge(f"{what} has {n} rows, more than the bound {max_rows}")
-    return n
-
-
-# Sides whose optimizer estimate exceeds this are not even cached for a size check.
-ESTIMATE_MAX_BYTES = 4 * 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan (no job runs); None when unreachable."""
-    return cached_bytes(df)
-
-
-def cached_bytes(df: DataFrame) -> int | None:
-    """Size in bytes of a cached (materialised) frame, from its in-memory statistics.
-
-    None when the plan statistics are not reachable from this client.
-    """
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # noqa: BLE001 - e.g. a remote client without JVM access
+def small_copy(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame | None:
+    """The table as a local relation if it is within the bounds, else None. One job; at most
+    ``max_rows + 1`` rows come to the driver, and the table is not computed again."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return None
+    return df.sparkSession.createDataFrame(rows.to_pylist(), df.schema) if rows.num_rows else df.sparkSession.createDataFrame([], df.schema)
 
 
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
-    on: str | list[str] | Column,
+    on: str | list[str],
     how: str = "inner",
+    null_safe: bool = False,
     max_rows: int = BROADCAST_MAX_ROWS,
     max_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
-    """Join a dimension-like table: broadcast when its measured size is within bounds.
-
-    A side whose optimizer estimate is already large (or unknown) is joined as is: no
-    cache, no count; AQE still turns the join into a broadcast at run time if the side
-    proves small, or splits skewed partitions. Otherwise the side is cached and counted,
-    so its row count and in-memory byte size are known before the broadcast is chosen;
-    above either bound the join stays a shuffle join.
-    """
-    est = estimated_bytes(small)
-    if est is None or est > ESTIMATE_MAX_BYTES:
-        return big.join(small, on, how)
-    small = small.cache()
-    if small.count() <= max_rows:
-        size = cached_bytes(small)
-        if size is not None and size <= max_bytes:
-            return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    """Join a dimension-like table on key columns: broadcast when its measured size is within the
+    bounds, else a shuffle join with the same result. ``null_safe``: null keys match null keys."""
+    local = small_copy(small, max_rows, max_bytes)
+    side = small if local is None else F.broadcast(local)
+    if not null_safe:
+        return big.join(side, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = side.select(*[F.col(k).alias(f"__k_{k}") if k in keys else F.col(k) for k in small.columns])
+    if local is not None:
+        renamed = F.broadcast(renamed)
+    match: Column = F.lit(True)
+    for k in keys:
+        match = match & big[k].eqNullSafe(renamed[f"__k_{k}"])
+    return big.join(renamed, match, how).drop(*[f"__k_{k}" for k in keys])
 
 
 class _Held:

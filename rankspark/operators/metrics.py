@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.arrays import ap_scaled, lcm_upto, softmax_xent
+from rankspark.functions.arrays import LONG_SCALE_MAX_K, hit_position, lcm_upto, softmax_xent
 
 
 def align_truth(truth: DataFrame, preds: DataFrame, key: str = "item_id") -> DataFrame:
@@ -34,27 +34,42 @@ def join_truth(truth: DataFrame, preds: DataFrame, key: str = "item_id") -> Data
 
 def map_at_k(preds: DataFrame, k: int = 3, ranks_col: str = "ranks", y_col: str = "y_true",
              by: Sequence[str] = ()) -> DataFrame:
-    """AG-15: MAP@k per group: ``n_items``, ``ap_sum`` (AP x lcm(1..k), exact) and ``map``.
+    """AG-15: MAP@k per group, for any k: ``n_items``, ``ap_sum`` (AP x lcm(1..k), exact; a long
+    up to k = 20, else a decimal, null where even that is too small) and ``map``.
 
-    Partial sums on the map side, so a group holding a third of the rows is no hot spot.
-    Zero items give MAP 0 (D-13).
+    Hits are counted per position, so a group holding a third of the rows is no hot spot and no
+    scaled value is summed over rows. Zero items give MAP 0 (D-13).
     """
+    by = list(by)
+    hits = preds.select(*by, hit_position(ranks_col, y_col, k).alias("__p")).groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
     scale = lcm_upto(k)
-    agg = preds.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.sum(ap_scaled(ranks_col, y_col, k)), F.lit(0)).cast("long").alias("ap_sum"),
-    )
-    return agg.withColumn(
-        "map",
-        F.when(F.col("n_items") == 0, F.lit(0.0)).otherwise(
-            F.col("ap_sum").cast("double") / (F.col("n_items") * F.lit(scale)).cast("double")
-        ),
+    digits = len(str(scale))
+    if digits <= 19:
+        part = F.when(F.col("__p") > 0, F.col("__n").cast("decimal(19,0)") * (F.lit(scale).cast("decimal(19,0)") / F.col("__p")).cast("decimal(19,0)"))
+        total = F.sum(part).cast("decimal(38,0)")
+    else:
+        per_hit = F.create_map(*[x for p in range(1, k + 1) for x in (F.lit(p), F.lit(str(scale // p)))])
+        part = F.when(F.col("__p") > 0, F.element_at(per_hit, F.col("__p")).try_cast(f"decimal({min(38, digits)},0)") * F.col("__n"))
+        total = F.try_sum(part).try_cast("decimal(38,0)")
+    total = F.when(F.max("__p") > 0, total).otherwise(F.lit(0).cast("decimal(38,0)"))
+    agg = hits.groupBy(*by).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("n_items"),
+        F.coalesce(total, F.lit(0).cast("decimal(38,0)")).alias("ap_sum") if k <= LONG_SCALE_MAX_K else total.alias("ap_sum"),
+        F.coalesce(F.sum(F.when(F.col("__p") > 0, F.col("__n") / F.col("__p"))), F.lit(0.0)).alias("__ap"),
     )
+    agg = agg.withColumn("map", F.when(F.col("n_items") == 0, F.lit(0.0)).otherwise(F.col("__ap") / F.col("n_items"))).drop("__ap")
+    return agg.withColumn("ap_sum", F.col("ap_sum").cast("long")) if k <= LONG_SCALE_MAX_K else agg
+
+
+# Labels up to which the dense K x K grid is filled with zeros.
+DENSE_MAX_LABELS = 1000
 
 
 def confusion(preds: DataFrame, n_labels: int, y_col: str = "y_true", pred_col: str = "pred_idx",
               by: Sequence[str] = ()) -> DataFrame:
-    """AG-16: counts of (true, predicted) with every cell of the K x K grid present.
+    """AG-16: counts of (true, predicted), with every cell of the K x K grid present up to
+    ``DENSE_MAX_LABELS`` labels; beyond that only the cells that occur, as the grid would outgrow
+    the data (``n_labels`` squared rows a group).
 
     Indices outside 0..K-1 are not counted (the reference would wrap negatives, D-18);
     ``confusion_errors`` counts them.
@@ -63,6 +78,8 @@ def confusion(preds: DataFrame, n_labels: int, y_col: str = "y_true", pred_col:
     # no filter here: cells outside the grid simply find no partner in the left join
     counts = preds.groupBy(*by, F.col(y_col).cast("long").alias("true_idx"),
                            F.col(pred_col).cast("long").alias("pred_idx")).agg(F.count(F.lit(1)).alias("n"))
+    if n_labels > DENSE_MAX_LABELS:
+        return counts.where(F.col("true_idx").between(0, n_labels - 1) & F.col("pred_idx").between(0, n_labels - 1))
     axis = F.sequence(F.lit(0).cast("long"), F.lit(n_labels - 1).cast("long"))
     if by:
         # every group with any row has a count row: take groups from the small count table
@@ -95,11 +112,11 @@ def confusion_normalized(cm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def candidate_loss(scores: DataFrame, logits_col: str = "logits", y_col: str = "y_true",
-                   by: Sequence[str] = (), k: int | None = None) -> DataFrame:
-    """AG-22: mean softmax cross-entropy over each item's candidates, per group."""
-    return scores.groupBy(*by).agg(
-        F.avg(softmax_xent(logits_col, y_col, k)).alias("loss"), F.count(F.lit(1)).alias("n_items")
-    )
+                   by: Sequence[str] = ()) -> DataFrame:
+    """AG-22: mean softmax cross-entropy over each item's whole candidate list, per group.
+    ``n_items`` counts the items in the mean; one without scores or truth has no loss."""
+    loss = scores.select(*by, softmax_xent(logits_col, y_col).alias("__loss"))
+    return loss.groupBy(*by).agg(F.avg("__loss").alias("loss"), F.count("__loss").alias("n_items"))
 
 
 def leaderboard(per_fold: DataFrame, model_col: str = "model", loss_col: str = "loss",
@@ -119,9 +136,9 @@ def leaderboard(per_fold: DataFrame, model_col: str = "model", loss_col: str = "
 
 
 def hardest_fold(per_fold: DataFrame, fold_col: str = "fold", loss_col: str = "loss") -> DataFrame:
-    """AG-24: the fold with the largest loss (one row)."""
+    """AG-24: the fold with the largest loss (one row); of equal ones the smallest."""
     return per_fold.agg(
-        F.max_by(fold_col, loss_col).alias(fold_col), F.max(loss_col).alias(loss_col)
+        F.max_by(F.col(fold_col), F.struct(F.col(loss_col), -F.col(fold_col))).alias(fold_col), F.max(loss_col).alias(loss_col)
     )
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.text import (
@@ -15,9 +14,8 @@ from rankspark.functions.text import (
     label_string,
     null_tokens,
 )
-from rankspark.operators.joins import LITERAL_MAX_VALUES, checked_count, collect_small, lookup_join
-
-VOCAB_MAX_LABELS = 1_000_000
+from rankspark.operators.joins import lookup_join
+from rankspark.session import stored
 
 
 def normalise_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -27,24 +25,35 @@ def normalise_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return df.select(*[null_tokens(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def key_digest(keys: Sequence[str]) -> Column:
+    """SHA-256 of key columns, each with its length or a null mark, so that equal digests mean
+    equal keys and null equals null."""
+    parts = []
+    for k in keys:
+        text = F.col(k).cast("string")
+        parts += [F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def first_rows(df: DataFrame, keys: Sequence[str] = ("question_id", "mc_answer", "explanation"),
+               order_col: str = "row_id", carry: Sequence[str] = ()) -> DataFrame:
+    """AG-1, narrow: ``order_col`` and the ``carry`` columns of the first row (smallest
+    ``order_col``) of every key. The keys are reduced to a digest before anything moves, and
+    copies collapse in the map-side partial aggregate, so no text is sorted or shuffled."""
+    narrow = df.select(key_digest(keys).alias("__key"), F.struct(order_col, *carry).alias("__row"))
+    first = narrow.groupBy("__key").agg(F.min_by("__row", F.col(f"__row.{order_col}")).alias("__row"))
+    return first.select("__row.*")
+
+
 def dedup_responses(
     df: DataFrame,
     keys: Sequence[str] = ("question_id", "mc_answer", "explanation"),
     order_col: str = "row_id",
 ) -> DataFrame:
-    """AG-1: keep the first row (smallest ``order_col``) of every key; null equals null.
-
-    One aggregation keyed by a 64-bit hash plus the key itself: copies collapse in the
-    map-side partial aggregate before the shuffle, so a heavily copied text never lands
-    in one task as a whole group, and the hash makes key comparison cheap.
-    """
-    keys = list(keys)
-    others = [c for c in df.columns if c not in keys]
-    first = (
-        df.groupBy(F.xxhash64(*keys).alias("__key_hash"), *keys)
-        .agg(F.min_by(F.struct(*others), F.col(order_col)).alias("__first"))
-    )
-    return first.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])
+    """AG-1: keep the first row (smallest ``order_col``, a unique row key) of every key; null
+    equals null. Only kept rows' keys are joined back, so text moves once."""
+    kept = df.select(key_digest(keys).alias("__key"), order_col).groupBy("__key").agg(F.min(order_col).alias(order_col))
+    return df.join(kept.select(order_col), order_col, "left_semi").select(*df.columns)
 
 
 def with_label(df: DataFrame, category: str = "category", misconception: str = "misconception",
@@ -53,15 +62,13 @@ def with_label(df: DataFrame, category: str = "category", misconception: str = "
     return df.withColumn(out, label_string(category, misconception))
 
 
-def label_vocab(df: DataFrame, label_col: str = "label", max_labels: int = VOCAB_MAX_LABELS) -> DataFrame:
+def label_vocab(df: DataFrame, label_col: str = "label") -> DataFrame:
     """AG-2 + WN-1: sorted distinct labels with a dense 0-based index.
 
-    The numbering window has no partition key, so it runs on the distinct-label table only,
-    whose size is checked first.
+    The numbering window has no partition key; it runs on the distinct labels only (one row a
+    label), whatever the size of the data.
     """
     distinct = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    distinct = distinct.cache()
-    checked_count(distinct, max_labels, "label vocabulary")
     idx = (F.row_number().over(Window.orderBy("label")) - 1).cast("long")
     return distinct.select("label", idx.alias("label_idx"))
 
@@ -79,35 +86,23 @@ def decode_labels(df: DataFrame, vocab: DataFrame, idx_col: str, out: str) -> Da
     return lookup_join(df, v, idx_col, "left")
 
 
-def sorted_label_lookup(labels: DataFrame, label_col: str = "label", max_labels: int = LITERAL_MAX_VALUES):
-    """(label -> index literal map, K) straight from a label column, in one job: distinct
-    labels are sorted by Spark (range-partitioned, no single-partition window) and at most
-    ``max_labels`` come back; the index is the sorted position, as in ``label_vocab``."""
-    distinct = labels.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    rows = collect_small(distinct.orderBy("label"), max_labels, "label vocabulary")
-    pairs = [x for i, r in enumerate(rows) for x in (F.lit(r["label"]), F.lit(i).cast("long"))]
-    return (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")), len(rows)
-
-
-def label_array(vocab: DataFrame, max_labels: int = LITERAL_MAX_VALUES):
-    """The vocabulary as a literal array column in index order (size checked)."""
-    rows = collect_small(vocab.orderBy("label_idx").select("label"), max_labels, "label vocabulary")
-    spaced = [r["label"] for r in rows if r["label"] is not None and " " in r["label"]]
-    if spaced:  # D-17: labels are joined by spaces in submissions
-        raise ValueError(f"labels must not contain spaces: {spaced[:3]}")
-    return F.array(*[F.lit(r["label"]) for r in rows]) if rows else F.array().cast("array<string>")
+def label_list(vocab: DataFrame) -> Column:
+    """The vocabulary as one array in index order: a scalar subquery of the plan that uses it."""
+    pairs = F.array_sort(F.collect_list(F.struct("label_idx", "label")))
+    return vocab.agg(F.transform(pairs, lambda s: s["label"]).alias("labels")).scalar()
 
 
 def attach_all_candidates(df: DataFrame, vocab: DataFrame, out: str = "candidates") -> DataFrame:
-    """JN-3: every row gets the full sorted label list (no join: a checked literal)."""
-    return df.withColumn(out, label_array(vocab))
+    """JN-3: every row gets the full sorted label list (no join; any number of labels)."""
+    return df.withColumn(out, label_list(vocab))
 
 
 def question_misconceptions(df: DataFrame, question: str = "question_id",
                             misconception: str = "misconception") -> DataFrame:
-    """AG-3: sorted distinct misconceptions per question (partial aggregation per key)."""
-    return df.groupBy(question).agg(
-        F.array_sort(F.collect_set(misconception)).alias("misconceptions")
+    """AG-3: sorted distinct misconceptions per question (partial aggregation per key). Pairs are
+    made distinct first, so a task gathers a question's distinct values, not its rows."""
+    return df.select(question, misconception).distinct().groupBy(question).agg(
+        F.array_sort(F.collect_list(misconception)).alias("misconceptions")
     )
 
 
@@ -137,7 +132,7 @@ def attach_question_candidates(df: DataFrame, question: str = "question_id",
                                misconception: str = "misconception", out: str = "candidates") -> DataFrame:
     """JN-4: per-question candidate list joined back on the question key."""
     cands = question_candidates(question_misconceptions(df, question, misconception), question, out=out)
-    return lookup_join(df, cands, question, "left")
+    return lookup_join(df, cands, question, "left", null_safe=True)
 
 
 def attach_candidates(df: DataFrame, vocab: DataFrame, scope: str = "all", question: str = "question_id",
@@ -186,16 +181,19 @@ def prepare(df: DataFrame, k: int = 5, seed: int = 42,
     """E1: missing tokens -> dedup -> label -> vocabulary -> encode -> candidates -> folds.
 
     ``candidates="all"`` attaches the whole label list (JN-3), ``"question"`` the
-    question-specific list (JN-4). Folds are stratified on ``stratum`` (D-14).
+    question-specific list (JN-4). Folds are stratified on ``stratum`` (D-14). Everything is
+    worked out on the narrow columns of the first rows, stored once; the other columns, long text
+    among them, are joined last by the row key.
     """
     from rankspark.operators.folds import stratified_folds
 
-    # read by the vocabulary, the candidate lists, the fold offsets and the final join:
-    # materialise it once (memory, spilling to disk) instead of repeating the dedup
-    clean = with_label(dedup_responses(normalise_missing(df), dedup_keys, key)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    vocab = label_vocab(clean)
-    clean = encode_labels(clean, vocab)
-    clean = attach_candidates(clean, vocab, candidates)
-    return Prepared(stratified_folds(clean, key, stratum, k, seed), vocab)
+    src = normalise_missing(df)
+    narrow = ["question_id", "category", "misconception"]
+    if stratum not in (*narrow, "label", key):
+        narrow.append(stratum)
+    first = stored(with_label(first_rows(src, dedup_keys, key, narrow)), "first-rows")
+    vocab = label_vocab(first)
+    folded = stratified_folds(encode_labels(first, vocab), key, stratum, k, seed)
+    folded = attach_candidates(folded, vocab, candidates)
+    wide = [c for c in src.columns if c not in narrow]
+    return Prepared(src.select(*wide).join(folded, key).select(*src.columns, "label", "label_idx", "fold", "candidates"), vocab)

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.text import ASSESSMENTS, answer_correct, assessment, has_misconception, word_count_arrow
-from rankspark.operators.joins import lookup_join
-from rankspark.operators.windows import range_bucket, split_row_number
+from rankspark.operators.windows import ROWS_PER_BUCKET, buckets_for, range_bucket, split_row_number
+from rankspark.session import stored
 
 
 def derive(df: DataFrame, text: str = "explanation", category: str = "category") -> DataFrame:
@@ -80,23 +79,22 @@ def describe_by(df: DataFrame, key: str, value: str, exact: bool = True) -> Data
 def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5, exact: bool = True) -> DataFrame:
     """AG-10 / AG-11: box-plot statistics per key, fliers excluded from the whiskers.
 
-    Pass 1 computes quartiles per key (small table); pass 2 joins them back and takes the
-    extreme values inside the whisker limits; both are partial aggregations.
+    Rows are first counted per (key, value). Quartiles, means and whiskers come from those
+    counts, so a key with a third of all rows brings its distinct values to the join, not its rows.
     """
-    # two passes over the values: keep the narrow (key, value) projection, not the source
-    src = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("__v")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    q = src.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"),
-        _quartiles(F.col("__v"), exact).alias("__q"),
-    ).select(key, "n", "mean", F.get("__q", 0).alias("q1"), F.get("__q", 1).alias("med"),
-             F.get("__q", 2).alias("q3"))
+    src = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias("__v"))
+    hist = src.groupBy(key, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    stats = [F.sum("__c").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum(F.when(F.col("__v").isNotNull(), F.col("__c")))).alias("mean")]
+    if exact:
+        q = hist.groupBy(key).agg(*stats, F.percentile("__v", [0.25, 0.5, 0.75], F.col("__c")).alias("__q"))
+    else:
+        approx = src.groupBy(key).agg(_quartiles(F.col("__v"), False).alias("__q"))
+        q = hist.groupBy(key).agg(*stats).join(approx, key)
+    q = q.select(key, "n", "mean", F.get("__q", 0).alias("q1"), F.get("__q", 1).alias("med"), F.get("__q", 2).alias("q3"))
     q = q.withColumn("__lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))).withColumn(
         "__hi", F.col("q3") + whis * (F.col("q3") - F.col("q1"))
     )
-    j = lookup_join(src, q.select(key, "__lo", "__hi"), key)
-    w = j.groupBy(key).agg(
+    w = hist.join(q.select(key, "__lo", "__hi"), key).groupBy(key).agg(
         F.min(F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))).alias("__wlo"),
         F.max(F.when(F.col("__v") <= F.col("__hi"), F.col("__v"))).alias("__whi"),
     )
@@ -111,55 +109,49 @@ def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5, exact: bo
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """AG-12 / AG-13: equal-width histogram over [min, max], last bin closed (D-9).
 
-    Two scalars (min, max) come back to the driver; counting is a partial aggregation and
-    empty bins are filled from the bin axis.
+    One pass counts the values; range and bins come from those counts. The range is a scalar
+    subquery, empty bins are filled from the bin axis, and no values give no rows.
     """
-    # two passes (range, then counts) over one narrow column, persisted once
-    df = df.select(value).persist(StorageLevel.MEMORY_AND_DISK)
-    lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "bin long, lo double, hi double, n long")
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = F.lit(hi - lo)
-    b = F.least(F.floor((F.col(value).cast("double") - F.lit(lo)) * bins / width), F.lit(bins - 1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(b.cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    axis = spark.range(bins).select(F.col("id").alias("bin"))
-    edges = axis.select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * width / bins).alias("lo"),
-        (F.lit(lo) + (F.col("bin") + 1) * width / bins).alias("hi"),
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ends = counted.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).where("lo IS NOT NULL")
+    pad = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = ends.select((F.col("lo") - pad).alias("lo0"), (F.col("hi") + pad).alias("hi0"))
+    lo, hi = ends.select("lo0").scalar(), ends.select("hi0").scalar()
+    b = F.least(F.floor((F.col("__v") - lo) * bins / (hi - lo)), F.lit(bins - 1))
+    counts = counted.groupBy(b.cast("long").alias("bin")).agg(F.sum("__c").alias("n"))
+    axis = ends.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    width = F.col("hi0") - F.col("lo0")
+    edges = axis.select("bin", (F.col("lo0") + F.col("bin") * width / bins).alias("lo"), (F.col("lo0") + (F.col("bin") + 1) * width / bins).alias("hi"))
     return edges.join(counts, "bin", "left").select(
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 
 def rank_first(df: DataFrame, value: str, order_col: str = "row_id", out: str = "rnk",
-               buckets: int = 16, coarse_buckets: int = 1024) -> DataFrame:
-    """WN-2: rank by value, ties by ``order_col`` (pandas ``rank(method="first")``).
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """WN-2: rank by value, ties by ``order_col`` (pandas ``rank(method="first")``). Rows without
+    a value are ranked after all others, so every row has a rank.
 
     A global order without a global window over the data: ``split_row_number`` over
     buckets of (value, order-range), so even a value shared by a third of the rows is
     numbered by several tasks; the offsets of those buckets are summed per equal-width
-    value range, so no single task sees more than one row per value range.
+    value range. Both bucket counts follow the row count.
 
-    The input is read several times (statistics, counts, numbering), so it is cached:
-    project it to the needed columns first.
+    The input is read several times (statistics, counts, numbering), so its narrow form is
+    stored: project it to the needed columns first. ``order_col`` must be numeric.
     """
-    return _rank_first(df.cache(), value, order_col, out, buckets, coarse_buckets)[0]
+    return _rank_first(stored(df, "rank-input"), value, order_col, out, rows_per_bucket)[0]
 
 
-def _rank_first(df, value, order_col, out, buckets, coarse_buckets):
+def _rank_first(df, value, order_col, out, rows_per_bucket):
     n, lo, hi, vlo, vhi = df.agg(
         F.count(F.lit(1)), F.min(order_col), F.max(order_col),
         F.min(value).cast("double"), F.max(value).cast("double"),
     ).first()
+    buckets = buckets_for(n, rows_per_bucket)
     src = df.withColumn("__ob", range_bucket(F.col(order_col), lo or 0, hi or 0, buckets))
-    coarse = range_bucket(F.col(value), vlo or 0.0, vhi or 0.0, coarse_buckets)
+    coarse = range_bucket(F.col(value), vlo or 0.0, vhi or 0.0, max(64, buckets))
+    coarse = F.when(F.col(value).isNotNull(), coarse)
     ranked = split_row_number(src, [], [F.col(value), F.col(order_col)], [value, "__ob"], out, coarse=coarse)
     return ranked.drop("__ob"), n
 
@@ -176,9 +168,10 @@ def decile(rank_col: str, n: int) -> F.Column:
     return F.greatest(ceil_bin - 1, F.lit(0)).cast("long")
 
 
-def length_deciles(df: DataFrame, value: str = "n_words", order_col: str = "row_id") -> DataFrame:
-    """WN-2 + WN-3: ``rnk`` and ``decile`` per row (input cached; project it first)."""
-    ranked, n = _rank_first(df.cache(), value, order_col, "rnk", 16, 1024)
+def length_deciles(df: DataFrame, value: str = "n_words", order_col: str = "row_id",
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """WN-2 + WN-3: ``rnk`` and ``decile`` per row (input stored; project it first)."""
+    ranked, n = _rank_first(stored(df, "rank-input"), value, order_col, "rnk", rows_per_bucket)
     return ranked.withColumn("decile", decile("rnk", n))
 
 
@@ -193,8 +186,9 @@ def rate_by_decile(df: DataFrame, flag: str = "has_misconception", value: str =
 
 def profile(df: DataFrame, question: str = "question_id", text: str = "explanation",
             category: str = "category", misconception: str = "misconception") -> dict[str, DataFrame]:
-    """E3: every profile table of a response table, keyed by name (each its own job)."""
-    d = derive(df, text, category)
+    """E3: every profile table of a response table, keyed by name (each its own job), from one
+    stored narrow projection; the text is read once."""
+    d = stored(derive(df, text, category).drop(text), "profile")
     ct = crosstab(d, "ans_correct", "expl_assess")
     narrow = d.select("row_id", "n_words", "has_misconception")
     return {

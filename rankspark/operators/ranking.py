@@ -12,17 +12,15 @@ from rankspark.functions.arrays import ranks_text as _ranks_text
 from rankspark.operators.prepare import decode_labels
 
 
-def rank_candidates(scores: DataFrame, logits_col: str = "logits", out: str = "ranks",
-                    k: int | None = None) -> DataFrame:
-    """WN-5, array form: row-local, no shuffle; works on streams as well.
+def rank_candidates(scores: DataFrame, logits_col: str = "logits", out: str = "ranks") -> DataFrame:
+    """WN-5, array form: row-local, no shuffle; works on streams as well. Lists may differ in
+    length from row to row; every candidate of a list is ranked."""
+    return scores.withColumn(out, rank_desc(logits_col, ties="low"))
 
-    ``k`` = candidates per item when known (unrolled, codegen'd ranking)."""
-    return scores.withColumn(out, rank_desc(logits_col, ties="low", k=k))
 
-
-def rank_array(scores_col: str = "logits", k: int | None = None):
+def rank_array(scores_col: str = "logits"):
     """WN-5 as a column: candidate indices best first (stable, ties to the lower index)."""
-    return rank_desc(scores_col, ties="low", k=k)
+    return rank_desc(scores_col, ties="low")
 
 
 def rank_long(scores: DataFrame, item_cols: Sequence[str], cand_col: str = "cand_idx",
@@ -64,32 +62,14 @@ def submission(ranked: DataFrame, vocab: DataFrame, key: str = "row_id", ranks_c
                k: int = 3, out: str = "prediction") -> DataFrame:
     """PF-11 + JN-2: top-k label names joined by a space, one row per key.
 
-    With a vocabulary within the literal bound the names are looked up row-locally in a
-    literal array (no join, no shuffle). Larger vocabularies take the join path: the k
-    entries are decoded by an equi join and put back in order per key (groups of at most k
-    rows). Labels must not contain a space (D-17).
+    The k entries are decoded by a join with the vocabulary and put back in order. An empty or
+    null ranking gives an empty prediction; an index outside the vocabulary is left out. A label
+    with a space would be read as two and raises (D-17).
     """
-    from rankspark.operators.joins import TooLarge
-    from rankspark.operators.prepare import label_array
-
-    try:
-        labels = label_array(vocab)
-    except TooLarge:
-        return _submission_join(ranked, vocab, key, ranks_col, k, out)
-    names = [F.get(labels, F.get(F.col(ranks_col), j).cast("int")) for j in range(k)]
-    return ranked.select(key, F.concat_ws(" ", *names).alias(out))
-
-
-def _submission_join(ranked, vocab, key, ranks_col, k, out):
-    entries = ranked.select(key, F.posexplode(top_k(ranks_col, k)).alias("pos", "__idx")).withColumn(
+    entries = ranked.select(key, F.posexplode_outer(top_k(ranks_col, k)).alias("pos", "__idx")).withColumn(
         "__idx", F.col("__idx").cast("long")
     )
     named = decode_labels(entries, vocab, "__idx", "__label")
-    return named.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "__label"))), lambda s: s["__label"]
-            ),
-            " ",
-        ).alias(out)
-    )
+    label = F.when(F.contains("__label", F.lit(" ")), F.raise_error(F.concat(F.lit("label contains a space: "), F.col("__label")))).otherwise(F.col("__label"))
+    names = F.array_sort(F.collect_list(F.when(F.col("__label").isNotNull(), F.struct("pos", label.alias("__label")))))
+    return named.groupBy(key).agg(F.array_join(F.transform(names, lambda s: s["__label"]), " ").alias(out))

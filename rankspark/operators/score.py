@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import dot, max_abs, quantize
-from rankspark.operators.joins import TooLarge, collect_small, share
+from rankspark.operators.joins import TooLarge, share
 
 # The expression engine inlines heads as a literal; above this many numbers it is refused.
 LITERAL_MAX_WEIGHTS = 50_000
@@ -46,34 +46,41 @@ def centroid_heads(items: DataFrame, vec_col: str, label_col: str = "label", id_
                    n_runs: int = 3, integer: bool = True) -> DataFrame:
     """Per-run class centroids over the run's training items (``id % n_runs != run``).
 
-    Integer heads: ``floor(sum(q) / count)`` (exact); float heads: ``avg(v)``.
-    Returns ``run_id, label, w`` (array). The exploded (item, run, dim) rows are combined
-    map-side; only runs x classes x dim partial sums are shuffled.
+    Sums and counts are taken once per (fold, class, dimension); a run's head is the total less
+    its own fold. Integer heads: ``floor(sum(q) / count)`` (exact); float heads: the average.
+    Returns ``run_id, label, w`` (array). The exploded (item, dimension) rows are combined
+    map-side; only folds x classes x dimensions partial sums are shuffled.
     """
-    runs = F.filter(
-        F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long")),
-        lambda r: r != fold_of(id_col, n_runs),
-    )
-    per_run = items.select(label_col, vec_col, F.explode(runs).alias("run_id"))
-    dims = per_run.select("run_id", label_col, F.posexplode(vec_col).alias("d", "v"))
+    dims = items.select(fold_of(id_col, n_runs).alias("fold"), label_col, F.posexplode(vec_col).alias("d", "v"))
+    value = F.col("v").cast("long" if integer else "double")
+    sums = dims.groupBy("fold", label_col, "d").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    folds = F.collect_list(F.struct("fold", "s", "n"))  # one entry per fold
+    per = sums.groupBy(label_col, "d").agg(folds.alias("folds"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long")))
+    per = per.select(label_col, "d", "folds", run.alias("run_id"))
+    others = F.filter("folds", lambda f: ~f["fold"].eqNullSafe(F.col("run_id")))
+    zero = F.lit(0).cast("long" if integer else "double")
+    total = F.aggregate(others, zero, lambda a, f: a + f["s"])
+    count = F.aggregate(others, F.lit(0).cast("long"), lambda a, f: a + f["n"])
+    w = per.where(F.size(others) > 0).select("run_id", label_col, "d", (total.cast("double") / count).alias("w"))
     if integer:
-        agg = F.floor(F.sum("v").cast("double") / F.count(F.lit(1))).cast("long")
-    else:
-        agg = F.avg(F.col("v").cast("double"))
-    w = dims.groupBy("run_id", label_col, "d").agg(agg.alias("w"))
+        w = w.withColumn("w", F.floor("w").cast("long"))
     return w.groupBy("run_id", label_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("d", "w"))), lambda s: s["w"]).alias("w")
     )
 
 
 def head_matrix(heads: DataFrame, label_col: str = "label") -> tuple[list[int], list, np.ndarray]:
-    """Collect heads (size checked) as (run ids, class labels, array [runs, classes, dim])."""
-    rows = collect_small(heads, HEAD_MAX_WEIGHTS // 1000, "head table")
+    """Collect heads (size checked) as (run ids, class labels, array [runs, classes, dim]).
+
+    Rows and width are measured by Spark before anything is fetched."""
+    n, width = heads.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
+    if n * (width or 0) > HEAD_MAX_WEIGHTS:
+        raise TooLarge(f"a head matrix of {n} x {width} exceeds the driver bound")
+    rows = heads.collect()
     runs = sorted({r["run_id"] for r in rows})
     classes = sorted({r[label_col] for r in rows})
     dim = len(rows[0]["w"]) if rows else 0
-    if len(runs) * len(classes) * dim > HEAD_MAX_WEIGHTS:
-        raise TooLarge("head matrix exceeds the driver bound")
     m = np.zeros((len(runs), len(classes), dim), dtype=object)
     ri = {r: i for i, r in enumerate(runs)}
     ci = {c: i for i, c in enumerate(classes)}
@@ -167,6 +174,52 @@ def _score_items_arrow(items, runs, classes, m, vec_col, id_col, label_col, inte
     return items.select(id_col, label_col, vec_col).mapInPandas(fn, schema)
 
 
+def score_pair(items: DataFrame, heads: DataFrame, heads_int: DataFrame, vec_col: str = "embedding", int_col: str = "q",
+               id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
+    """Float and INT8 logits of every item under every run's heads, in one pass over the items:
+    ``run_id, item_id, y_true, logits, logits_int``."""
+    runs, classes, m = head_matrix(heads, label_col)
+    _, _, mi = head_matrix(heads_int, label_col)
+    bc = share(items.sparkSession, (np.array(m.tolist(), dtype=np.float64), np.array(mi.tolist(), dtype=np.int64)))
+    class_pos = {c: i for i, c in enumerate(classes)}
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, wi = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            xi = np.stack(pdf[int_col].to_numpy()).astype(np.int64)
+            ys = pdf[label_col].map(class_pos).fillna(-1).astype("int64").to_numpy()
+            for i, run in enumerate(runs):
+                yield pd.DataFrame({"run_id": run, "item_id": pdf[id_col].to_numpy(), "y_true": ys, "logits": list(x @ w[i].T), "logits_int": list(xi @ wi[i].T)})
+
+    return items.select(id_col, label_col, vec_col, int_col).mapInPandas(fn, "run_id long, item_id long, y_true long, logits array<double>, logits_int array<bigint>")
+
+
+def shared_head(items: DataFrame, weights: list[float], bias: float, vecs_col: str = "candidates", out: str = "logits") -> DataFrame:
+    """ML-1, the shared head: ``w . h_c + b`` for each of an item's candidate vectors (an array of
+    K arrays of the head's length; K may differ from item to item). One weight vector and bias
+    serve all candidates. Row-local: one batched product per Arrow batch, ragged lists and all.
+    Null lists give null."""
+    bc = share(items.sparkSession, (np.asarray(weights, dtype=np.float64), float(bias)))
+    columns = items.columns
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, b = bc.value
+        for pdf in batches:
+            lists = pdf[vecs_col].tolist()
+            sizes = [0 if x is None else len(x) for x in lists]
+            flat = np.array([v for x in lists if x is not None for v in x], dtype=np.float64).reshape(-1, len(w))
+            scores = flat @ w + b
+            ends = np.cumsum(sizes)
+            pdf[out] = [None if x is None else scores[e - n: e] for x, e, n in zip(lists, ends, sizes, strict=True)]
+            yield pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    return items.select(*columns).mapInPandas(fn, f"{schema}, `{out}` array<double>")
+
+
 def linear_score(items: DataFrame, heads: DataFrame, vec_col: str = "embedding", **kw) -> DataFrame:
     """ML-1: float logits ``w . h`` of every item under every run's heads."""
     return score_items(items, heads, vec_col, integer=False, **kw)

@@ -1,14 +1,14 @@
 """SC-8, ML-6, AG-18: trial draws, hyper-parameter search, best trial.
 
-Trials are drawn up front from seeded hashes of the trial number (no sampler state), each
-trial runs a Spark fit on one cached input, and trials run as concurrent jobs from a small
-bounded driver thread pool. The best trial is an aggregate, not a driver loop.
+Trials are drawn up front from seeded hashes of the trial number (no sampler state). Where the
+objective is a Spark expression, all trials are scored in one job; a user's Python objective runs
+once per trial from a small bounded driver thread pool. The best trial is an aggregate.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -48,26 +48,36 @@ def trial_grid(spark: SparkSession, space: list[Param], n: int, seed: int = 0) -
     return t.select("trial", *[draw(p, _unit(seed, p.name, F.col("trial"))).alias(p.name) for p in space])
 
 
+def score_trials(cases: DataFrame, trials: DataFrame, metric: Callable[[DataFrame, Sequence[str]], DataFrame],
+                 score_col: str, trial_col: str = "trial") -> DataFrame:
+    """ML-6 as one Spark job: ``cases`` hold every evaluated case under every trial (a ``trial``
+    column), ``metric(cases, [trial])`` scores them per trial, and the scores join the draws."""
+    scored = metric(cases, [trial_col]).select(trial_col, F.col(score_col).alias("score"))
+    return trials.join(scored, trial_col, "left")
+
+
 def search(spark: SparkSession, trials: DataFrame, objective: Callable[[dict], float | None],
            max_parallel: int = 2) -> DataFrame:
-    """ML-6: run ``objective(params) -> score`` per trial (each a Spark job) on a bounded pool.
+    """UF-3: run a user's ``objective(params) -> score`` per trial (each a Spark job) on a bounded
+    pool, for objectives that are no Spark expression.
 
-    The trial table is small by construction (one row per trial); a failing trial scores
-    null, like a run that wrote no score file.
+    The trial table is small by construction (one row per trial). A trial that raises has a null
+    score and its error text; if all raise, so does the search.
     """
     rows = [r.asDict() for r in trials.orderBy("trial").collect()]
 
-    def run(params: dict):
+    def run(params: dict) -> dict:
         try:
-            return objective(params)
-        except Exception:  # noqa: BLE001 - a failed trial is recorded, not fatal
-            return None
+            score = objective(params)
+            return {**params, "score": None if score is None else float(score), "error": None}
+        except Exception as e:  # noqa: BLE001 - a failed trial is reported, not fatal
+            return {**params, "score": None, "error": f"{type(e).__name__}: {e}"[:1000]}
 
     with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        scores = list(pool.map(run, rows))
-    out = [{**r, "score": (None if s is None else float(s))} for r, s in zip(rows, scores, strict=True)]
-    schema = trials.schema.add("score", "double")
-    return spark.createDataFrame(out, schema)
+        out = list(pool.map(run, rows))
+    if out and all(r["error"] for r in out):
+        raise RuntimeError(f"every trial failed; the first: {out[0]['error']}")
+    return spark.createDataFrame(out, trials.schema.add("score", "double").add("error", "string"))
 
 
 def best_trial(results: DataFrame, params: list[str], trial_col: str = "trial", score_col: str = "score") -> DataFrame:

@@ -8,7 +8,8 @@ buckets that follow the order (``B`` must be non-decreasing along ``O`` within `
     row_number = offset(P, B) + row_number() over (partition by P, B order by O)
 
 ``offset(P, B)`` = rows of the same ``P`` in earlier buckets, a running sum over the small
-table of counts per ``(P, B)``. A hot group is spread over its buckets.
+table of counts per ``(P, B)``. A hot group is spread over its buckets. Null keys are groups of
+their own; in every order nulls come last.
 """
 
 from __future__ import annotations
@@ -24,6 +25,14 @@ _OFF = "__rs_offset"
 _CNT = "__rs_count"
 _CO = "__rs_coarse"
 
+# Rows that one numbering task sorts at most, about; bucket counts are sized from it.
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _last(c: Column | str) -> Column:
+    """Ascending order with nulls last."""
+    return F.asc_nulls_last(c) if isinstance(c, str) else c.asc_nulls_last()
+
 
 def split_row_number(
     df: DataFrame,
@@ -44,48 +53,50 @@ def split_row_number(
     with a bounded number of values) groups count rows, so the running sums are
     partitioned by ``(P, coarse)`` and only one row per coarse group goes through the
     final running window. ``start`` optionally adds a per-partition starting offset
-    (``P`` columns plus ``__rs_start``).
+    (``P`` columns plus ``__rs_start``). Every row is numbered, null keys included.
     """
     part = list(partition_cols)
     keys = part + list(bucket_cols)
     run = (Window.unboundedPreceding, Window.currentRow)
     if coarse is None:
         coarse = F.lit(0)
-    # one row per (P, B): read twice below (running sums, coarse-group offsets), so cached
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT)).withColumn(_CO, coarse).cache()
+    # one row per (P, B); both uses below read one shuffled aggregate
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT)).withColumn(_CO, coarse)
     # running sum inside each (P, coarse) group
-    w_in = Window.partitionBy(*part, _CO).orderBy(*bucket_cols).rowsBetween(*run)
+    w_in = Window.partitionBy(*part, _CO).orderBy(*[_last(c) for c in bucket_cols]).rowsBetween(*run)
     inner = counts.withColumn(_OFF, F.sum(_CNT).over(w_in) - F.col(_CNT))
     # offset of each coarse group inside P: small table, one row per (P, coarse)
     groups = counts.groupBy(*part, _CO).agg(F.sum(_CNT).alias("__rs_g"))
-    w_g = (Window.partitionBy(*part).orderBy(_CO) if part else Window.orderBy(_CO)).rowsBetween(*run)
+    w_g = (Window.partitionBy(*part).orderBy(_last(_CO)) if part else Window.orderBy(_last(_CO))).rowsBetween(*run)
     groups = groups.select(*part, _CO, (F.sum("__rs_g").over(w_g) - F.col("__rs_g")).alias("__rs_goff"))
-    offsets = inner.join(groups, part + [_CO]).select(
-        *keys, (F.col(_OFF) + F.col("__rs_goff")).alias(_OFF)
-    )
+    offsets = _null_safe(inner, groups, part + [_CO]).select(*keys, (F.col(_OFF) + F.col("__rs_goff")).alias(_OFF))
     if start is not None:
-        offsets = offsets.join(start, part).select(*keys, (F.col(_OFF) + F.col("__rs_start")).alias(_OFF))
-    joined = lookup_join(df, offsets, keys, "inner")
-    within = Window.partitionBy(*keys).orderBy(*order_cols)
-    return joined.withColumn(out, F.col(_OFF) + F.row_number().over(within)).drop(_OFF)
+        offsets = _null_safe(offsets, start, part).select(*keys, (F.col(_OFF) + F.col("__rs_start")).alias(_OFF))
+    within = Window.partitionBy(*keys).orderBy(*[_last(c) for c in order_cols])
+    numbered = df.withColumn("__rs_within", F.row_number().over(within))
+    joined = lookup_join(numbered, offsets, keys, "inner", null_safe=True)
+    return joined.withColumn(out, F.col(_OFF) + F.col("__rs_within")).drop(_OFF, "__rs_within")
 
 
-def running_start(sizes: DataFrame, key_cols: Sequence[str], count_col: str = "n",
-                  max_rows: int = 10_000_000) -> tuple[DataFrame, int]:
-    """Starting offset of each key in key order: rows of all earlier keys (``__rs_start``).
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where null equals null; the right keys go."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, match).drop(*[f"__r_{k}" for k in keys])
 
-    A single running window over one row per key; the key count is checked first (the
-    same job also returns the largest key's row count, which is returned).
-    """
-    from rankspark.operators.joins import TooLarge
-
-    sizes = sizes.cache()
-    n_keys, biggest = sizes.agg(F.count(F.lit(1)), F.max(count_col)).first()
-    if n_keys > max_rows:
-        raise TooLarge(f"offset table has {n_keys} rows, more than the bound {max_rows}")
-    w = Window.orderBy(*key_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
-    return start, int(biggest or 0)
+
+def running_start(sizes: DataFrame, key_cols: Sequence[str], count_col: str = "n") -> DataFrame:
+    """Starting offset of each key in key order (nulls last): rows of all earlier keys, as
+    ``__rs_start``. A running window over one row per key."""
+    w = Window.orderBy(*[_last(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
+
+
+def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets that hold about ``rows_per_bucket`` of ``rows`` rows each."""
+    return max(1, -(-rows // rows_per_bucket))
 
 
 def hash_bucket(c: Column, n_hex: int = 3) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "rankspark") -> SparkSession:
@@ -43,3 +44,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a (narrow) table to the shared folder and read it back: several passes then read the
+    result instead of computing it again, it survives lost executors, and nothing stays cached."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rankspark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

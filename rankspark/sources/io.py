@@ -7,7 +7,6 @@ order on a cluster, so nothing is aligned by position (D-1).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,25 +14,36 @@ from pyspark.sql import types as T
 
 from rankspark.operators.prepare import normalise_missing
 
-# Canonical column names of the response table and the reference's CSV header names.
+# --- fixed values: names of the exchange files and the canonical columns they map to --------
 RESPONSE_COLUMNS = {
     "row_id": "row_id",
     "QuestionId": "question_id",
     "QuestionText": "question_text",
+    "MC_Choices": "choices",
+    "Answer": "correct_answer",
+    "MisconceptionCandidates": "misconception_candidates",
     "MC_Answer": "mc_answer",
     "StudentExplanation": "explanation",
+    "SuffixCandidates": "suffix_candidates",
     "Category": "category",
     "Misconception": "misconception",
+    "LabelIndex": "label_idx",
 }
+# bundle field in an item file -> bundle field of ``prompts.to_items``
+BUNDLE_FIELDS = {
+    "QuestionText": "question",
+    "MC_Choices": "choices",
+    "Answer": "answer",
+    "MisconceptionCandidates": "misconceptions",
+    "MC_Answer": "student_answer",
+    "StudentExplanation": "explanation",
+}
+# --------------------------------------------------------------------------------------------
 
-BUNDLE = T.StructType([
-    T.StructField("QuestionText", T.StringType()),
-    T.StructField("MC_Choices", T.StringType()),
-    T.StructField("Answer", T.StringType()),
-    T.StructField("MisconceptionCandidates", T.StringType()),
-    T.StructField("MC_Answer", T.StringType()),
-    T.StructField("StudentExplanation", T.StringType()),
-])
+# Columns that are not text; everything else is read as text, without an inference pass.
+COLUMN_TYPES = {"row_id": "bigint", "label_idx": "bigint"}
+
+BUNDLE = T.StructType([T.StructField(name, T.StringType()) for name in BUNDLE_FIELDS])
 ITEM_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()),
     T.StructField("bundle", BUNDLE),
@@ -48,38 +58,27 @@ RANKING_SCHEMA = T.StructType([
 ])
 
 
-@dataclass(frozen=True)
-class ColumnMap:
-    """PF-1: names of the source columns used for prompts, candidates and labels."""
-
-    question_text: str = "QuestionText"
-    choices: str = "MC_Choices"
-    correct_answer: str = "Answer"
-    misconception_candidates: str = "MisconceptionCandidates"
-    student_answer: str = "MC_Answer"
-    student_explanation: str = "StudentExplanation"
-    suffix_column: str = "SuffixCandidates"
-    label_column: str = "LabelIndex"
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Rename the mapped source columns to the canonical field names; others pass."""
-        rename = {src: dst for dst, src in asdict(self).items()}
-        return df.select(*[F.col(f"`{c}`").alias(rename.get(c, c)) for c in df.columns])
+def map_columns(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """PF-1: rename source columns (file name -> canonical name); others pass. Entries of
+    ``mapping`` go before the file format's own names."""
+    names = {**RESPONSE_COLUMNS, **(mapping or {})}
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
 def read_responses(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None,
                    schema: T.StructType | str | None = None, missing_tokens: bool = True) -> DataFrame:
     """IO-1 + PF-1 + PF-2: header CSV with quoted multi-line text, canonical column names,
-    pandas-style missing tokens turned into nulls. Without a schema all columns are text
-    (no inference pass over the data)."""
+    pandas-style missing tokens turned into nulls, and keys and indices as numbers
+    (``COLUMN_TYPES``). Without a schema nothing is inferred from the data; a key that is no
+    number raises when read."""
     reader = (spark.read.option("header", True).option("multiLine", True)
               .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE"))
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(path)
-    mapping = dict(RESPONSE_COLUMNS if mapping is None else mapping)
-    df = df.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in df.columns])
-    return normalise_missing(df) if missing_tokens else df
+    df = map_columns(reader.csv(path), mapping)
+    if missing_tokens:
+        df = normalise_missing(df)
+    return df.select(*[F.col(f"`{c}`").cast(COLUMN_TYPES[c]).alias(c) if c in COLUMN_TYPES else F.col(f"`{c}`") for c in df.columns])
 
 
 def with_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
@@ -87,9 +86,21 @@ def with_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
     return df if col in df.columns else df.withColumn(col, F.monotonically_increasing_id())
 
 
+def canonical_items(raw: DataFrame) -> DataFrame:
+    """Items of a file as ``prompts.with_prefix`` and ``prompts.explode_prompts`` read them."""
+    fields = [F.col(f"bundle.{name}").alias(field) for name, field in BUNDLE_FIELDS.items()]
+    return raw.withColumn("bundle", F.when(F.col("bundle").isNotNull(), F.struct(*fields)))
+
+
 def read_items(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """IO-2: item JSONL (bundle + suffixes [+ label]); malformed lines kept in ``_corrupt_record``."""
-    return spark.read.schema(ITEM_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    return canonical_items(spark.read.schema(ITEM_SCHEMA).option("mode", "PERMISSIVE").json(path))
+
+
+def write_items(items: DataFrame, path: str) -> None:
+    """IO-2: items as JSON lines with the file format's bundle names."""
+    fields = [F.col(f"bundle.{field}").alias(name) for name, field in BUNDLE_FIELDS.items()]
+    items.withColumn("bundle", F.when(F.col("bundle").isNotNull(), F.struct(*fields))).write.mode("overwrite").json(path)
 
 
 def read_runs(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RANKING_SCHEMA) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rankspark.functions.arrays import rank_desc
+from rankspark.operators.prompts import with_prefix
+from rankspark.sources.io import ITEM_SCHEMA, canonical_items
 
 SCORED_ITEM_SCHEMA = "row_id long, logits array<double>"
 
@@ -35,12 +37,23 @@ def stream_rankings(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     return writer.start(out_dir)
 
 
+def stream_items(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, score,
+                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Item files to rankings: JSON lines of items -> prompts' prefix -> ``score(items) -> items
+    with logits`` (row-local, one score per entry of ``suffixes``) -> rankings."""
+    reader = spark.readStream.schema(ITEM_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    items = with_prefix(canonical_items(reader.json(in_dir)).where("_corrupt_record IS NULL"))
+    writer = rank_stream(score(items)).writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start(out_dir)
+
+
 def stream_scores(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, score,
                   schema: str, available_now: bool = True) -> StreamingQuery:
-    """Variant that scores raw items first with a row-local ``score(df) -> df with logits``."""
+    """Variant for rows of any schema, scored by a row-local ``score(df) -> df with logits``."""
     scored = score(spark.readStream.schema(schema).json(in_dir))
-    ranked = rank_stream(scored)
-    writer = ranked.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append")
+    writer = rank_stream(scored).writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start(out_dir)
-
