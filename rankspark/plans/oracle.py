@@ -67,6 +67,29 @@ borda_ranked AS (
   SELECT item_id, cand_idx, row_number() OVER (PARTITION BY item_id ORDER BY pts DESC, cand_idx DESC) AS rnk
   FROM borda_pts)"""
 
+# JN-4: candidate list per question
+QUESTION_CANDIDATES = """qms AS (SELECT question_id,
+    coalesce(list_sort(list(DISTINCT misconception) FILTER (WHERE misconception IS NOT NULL)), []::VARCHAR[]) AS ms
+  FROM responses GROUP BY question_id),
+qcs AS (SELECT question_id, list_sort(list_concat(list_concat(
+    ['True_Correct:NA', 'True_Neither:NA', 'False_Correct:NA', 'False_Neither:NA'],
+    list_transform(ms, lambda m: 'True_Misconception:' || m)),
+    list_transform(ms, lambda m: 'False_Misconception:' || m))) AS c FROM qms)"""
+
+# scores over those lists, and their ranking
+RESPONSE_SCORES = """rpl AS (
+  SELECT r.row_id AS item_id, c, list_position(c, concat(coalesce(category, 'NA'), ':', coalesce(misconception, 'NA'))) - 1 AS y_true
+  FROM responses r JOIN qcs USING (question_id)),
+rex AS (SELECT item_id, y_true, unnest(range(len(c))) AS cand_idx FROM rpl),
+rranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, item_id ORDER BY logit DESC, cand_idx) AS rnk FROM (
+  SELECT run_id, item_id, y_true, cand_idx,
+    (item_id*7919 + cand_idx*104729 + run_id*15485863) % 10007 + CASE WHEN cand_idx = y_true THEN 3000 ELSE 0 END AS logit
+  FROM rex CROSS JOIN run_ids) t)"""
+
+VOCAB_ALL = """vocab_all AS (
+  SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS label_idx
+  FROM (SELECT DISTINCT concat(coalesce(category, 'NA'), ':', coalesce(misconception, 'NA')) AS label FROM responses) t)"""
+
 EVENT_ALL = (EVENT_LABELS, RUN_IDS, EVENT_SCORES, RANKED)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import ap_scaled, top1
-from rankspark.operators import ensemble, fit, metrics, ranking, score, tune
+from rankspark.operators import ensemble, metrics, ranking, score
 from rankspark.operators.joins import share
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
@@ -64,8 +64,7 @@ def float_scores(spark, sf):
 
 
 def _ranked(scores_k):
-    scores, k = scores_k
-    return ranking.rank_candidates(scores, k=k), k
+    return ranking.rank_candidates(scores_k[0])
 
 
 @register(
@@ -81,8 +80,7 @@ def _ranked(scores_k):
 )
 def q_int8_borda_map(spark, sf):
     """Minimum slice: INT8 -> 3 leave-one-third-out centroid heads -> rank -> Borda -> MAP@3."""
-    ranked, k = _ranked(int8_scores(spark, sf))
-    b = ensemble.borda(ranked, keep=("y_true",), k=k)
+    b = ensemble.borda(_ranked(int8_scores(spark, sf)), keep=("y_true",))
     m = metrics.map_at_k(b, 3)
     return m.select("n_items", "ap_sum", F.round("map", 6).alias("map"))
 
@@ -118,9 +116,10 @@ def q_linear_score(spark, sf):
     ("ML-2",),
 )
 def q_int8_agreement(spark, sf):
-    i = _ranked(int8_scores(spark, sf))[0].select("run_id", "item_id", "y_true", F.col("ranks").alias("ri"))
-    f = _ranked(float_scores(spark, sf))[0].select("run_id", "item_id", F.col("ranks").alias("rf"))
-    j = i.join(f, ["run_id", "item_id"])
+    """Both score sets in one pass over the items: no join of scored rows."""
+    items = _items(spark, sf)
+    both = score.score_pair(items, score.centroid_heads(items, "embedding", n_runs=N_RUNS, integer=False), _int_heads(items))
+    j = both.select("run_id", "y_true", ranking.rank_array("logits_int").alias("ri"), ranking.rank_array("logits").alias("rf"))
     return j.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count(F.when(top1("ri") == top1("rf"), 1)).alias("n_top_1_agree"),
@@ -129,6 +128,27 @@ def q_int8_agreement(spark, sf):
     )
 
 
+@register(
+    "shared_head",
+    EMB + """, w AS (SELECT d, floor(avg(q)) AS w FROM qz GROUP BY d),
+      b AS (SELECT CAST(count(DISTINCT label) AS DOUBLE) AS b FROM embeddings),
+      cand AS (SELECT vec_id, CAST(k AS BIGINT) AS cand_idx, d, q * (1 + (d + k) % 3) AS h
+               FROM qz, range(7) t(k) WHERE k < 2 + vec_id % 5)
+      SELECT vec_id AS item_id, cand_idx, sum(h * w) + any_value(b.b) AS logit FROM cand JOIN w USING (d) CROSS JOIN b GROUP BY vec_id, cand_idx""",
+    ("ML-1",),
+)
+def q_shared_head(spark, sf):
+    """One weight vector and bias over each item's own candidate vectors (2 to 6 of them)."""
+    items = _items(spark, sf)
+    sums = items.select(F.posexplode("q").alias("d", "v")).groupBy("d").agg(F.floor(F.avg("v")).cast("double").alias("w"))
+    weights = [r["w"] for r in sums.orderBy("d").collect()]  # one row per dimension
+    bias = items.agg(F.countDistinct("label")).first()[0]
+    k = F.sequence(F.lit(0).cast("long"), F.col("vec_id") % 5 + 1)
+    vectors = F.transform(k, lambda c: F.transform("q", lambda v, d: v * (1 + (d + c) % 3)))
+    scored = score.shared_head(items.select("vec_id", vectors.alias("candidates")), weights, float(bias))
+    return scored.select(F.col("vec_id").alias("item_id"), F.posexplode("logits").alias("cand_idx", "logit")).withColumn("cand_idx", F.col("cand_idx").cast("long"))
+
+
 def numpy_dot_scorer(heads: np.ndarray, runs: list[int]):
     """A user-style scorer factory: integer dot products of quantised vectors with heads."""
 
@@ -176,51 +196,6 @@ def q_plug_scorer(spark, sf):
     ("ML-5",),
 )
 def q_cv_oof_map(spark, sf):
-    oof, _ = _ranked(int8_scores(spark, sf, held_out_only=True))
+    oof = _ranked(int8_scores(spark, sf, held_out_only=True))
     m = metrics.map_at_k(oof, 3, by=["run_id"])
     return m.select(F.col("run_id").alias("fold"), "n_items", "ap_sum", F.round("map", 6).alias("map"))
-
-
-# --- ML-4 / ML-6 / AG-18: iterative fitting and search (rows-only checks) ------------------
-
-FIT_STEPS = 20
-# Search space for the linear head's gradient descent (learning rate, L2 decay, init seed).
-SPACE = [
-    tune.Param("learning_rate", "log", 1.0, 50.0),
-    tune.Param("weight_decay", "uniform", 0.0, 0.01),
-    tune.Param("seed", "int", 1, 5),
-]
-N_TRIALS = 4
-TRIAL_STEPS = 10
-
-
-def _fold_split(spark, sf, fold: int = 0):
-    items = fx.embedding_items(spark, sf)
-    f = score.fold_of("vec_id", N_RUNS)
-    return items.where(f != fold), items.where(f == fold)
-
-
-@register("fit_head", None, ("ML-4",), bench=False)
-def q_fit_head(spark, sf):
-    train, _ = _fold_split(spark, sf)
-    head = fit.fit_head(train, steps=FIT_STEPS, lr=20.0, l2=0.001, seed=42)
-    return fit.history_frame(spark, head)
-
-
-def _validation_map(spark, sf, params: dict) -> float:
-    train, valid = _fold_split(spark, sf)
-    head = fit.fit_head(train, lr=params["learning_rate"], l2=params["weight_decay"],
-                        seed=int(params["seed"]), steps=TRIAL_STEPS)
-    ranked = ranking.rank_candidates(fit.score_head(valid, head))
-    return metrics.map_at_k(ranked, 3).first()["map"]
-
-
-@register("trial_search", None, ("ML-6", "SC-8", "UF-3"), bench=False)
-def q_trial_search(spark, sf):
-    trials = tune.trial_grid(spark, SPACE, N_TRIALS, seed=42)
-    return tune.search(spark, trials, lambda p: _validation_map(spark, sf, p))
-
-
-@register("best_trial", None, ("AG-18", "IO-12"), bench=False)
-def q_best_trial(spark, sf):
-    return tune.best_trial(q_trial_search(spark, sf), [p.name for p in SPACE])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import ap_scaled, softmax_xent
-from rankspark.operators import ensemble, metrics, ranking
-from rankspark.operators.prepare import label_vocab
+from rankspark.operators import ensemble, metrics, ranking, tune
+from rankspark.operators.joins import lookup_join
+from rankspark.operators.prepare import encode_labels, label_vocab, with_label
 from rankspark.plans import oracle as O
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
@@ -14,17 +15,11 @@ from rankspark.sources.tables import read_table
 
 
 def _scores(spark, sf):
-    return fx.event_scores_k(spark, sf)
+    return fx.event_scores(spark, sf)
 
 
 def _run_ranks(spark, sf):
-    scores, k = _scores(spark, sf)
-    return ranking.rank_candidates(scores, k=k)
-
-
-def _ranks_k(spark, sf):
-    scores, k = _scores(spark, sf)
-    return ranking.rank_candidates(scores, k=k), k
+    return ranking.rank_candidates(_scores(spark, sf))
 
 
 EV = O.with_ctes(*O.EVENT_ALL)
@@ -81,13 +76,21 @@ def q_map_at_3(spark, sf):
 
 @register(
     "union_runs",
-    EV_RR + "SELECT run_id, item_id, ranks FROM run_ranks",
+    """WITH runs AS (
+      SELECT event_id AS item_id, event_type AS name, 0 AS run_id FROM events
+      UNION ALL SELECT doc_id, source, 1 FROM documents
+      UNION ALL SELECT o_orderkey, o_orderpriority, 2 FROM orders)
+    SELECT CAST(run_id AS BIGINT) AS run_id, item_id, name FROM runs""",
     ("SO-1",),
 )
 def q_union_runs(spark, sf):
-    ranked = _run_ranks(spark, sf).select("run_id", "item_id", ranking.ranks_text("ranks").alias("ranks"))
-    per_run = [ranked.where(F.col("run_id") == r) for r in range(fx.N_RUNS)]
-    return ensemble.union_runs(per_run)
+    """Three separately read tables, columns in different order, stacked by name."""
+    runs = [
+        read_table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.col("event_type").alias("name")),
+        read_table(spark, sf, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("item_id")),
+        read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("name")),
+    ]
+    return ensemble.union_runs(runs).select("run_id", "item_id", "name")
 
 
 @register(
@@ -106,8 +109,7 @@ def q_align_runs(spark, sf):
     ("AG-20",),
 )
 def q_borda(spark, sf):
-    ranked, k = _ranks_k(spark, sf)
-    b = ensemble.borda(ranked, k=k)
+    b = ensemble.borda(_run_ranks(spark, sf))
     return b.select("item_id", ranking.ranks_text("ranks").alias("ranks"))
 
 
@@ -119,8 +121,7 @@ def q_borda(spark, sf):
     ("AG-21",),
 )
 def q_mean_logit(spark, sf):
-    scores, k = _scores(spark, sf)
-    m = ensemble.mean_logit(scores, k=k)
+    m = ensemble.mean_logit(_scores(spark, sf))
     return m.select("item_id", ranking.ranks_text("ranks").alias("ranks"))
 
 
@@ -139,8 +140,7 @@ item_loss AS (
     ("AG-22",),
 )
 def q_candidate_loss(spark, sf):
-    scores, k = _scores(spark, sf)
-    loss = metrics.candidate_loss(scores, by=["run_id"], k=k)
+    loss = metrics.candidate_loss(_scores(spark, sf), by=["run_id"])
     return loss.select("run_id", "n_items", F.round("loss", 6).alias("loss"))
 
 
@@ -152,10 +152,14 @@ cm AS (SELECT g.run_id, g.true_idx, g.pred_idx, CAST(coalesce(c.n, 0) AS BIGINT)
        FROM grid g LEFT JOIN cnt c USING (run_id, true_idx, pred_idx))"""
 
 
+def _confusion(spark, sf):
+    n_labels = fx.event_labels(spark, sf).count()
+    return metrics.confusion(ranking.top_1_prediction(_run_ranks(spark, sf)), n_labels, by=["run_id"])
+
+
 @register("confusion", EV + CONF_SQL_CTE + " SELECT * FROM cm", ("AG-16",))
 def q_confusion(spark, sf):
-    ranked, k = _ranks_k(spark, sf)
-    return metrics.confusion(ranking.top_1_prediction(ranked), k, by=["run_id"])
+    return _confusion(spark, sf)
 
 
 @register(
@@ -166,9 +170,7 @@ def q_confusion(spark, sf):
     ("AG-17",),
 )
 def q_confusion_normalized(spark, sf):
-    ranked, k = _ranks_k(spark, sf)
-    cm = metrics.confusion(ranking.top_1_prediction(ranked), k, by=["run_id"])
-    return metrics.confusion_normalized(cm, by=["run_id"]).withColumn("rate", F.round("rate", 6))
+    return metrics.confusion_normalized(_confusion(spark, sf), by=["run_id"]).withColumn("rate", F.round("rate", 6))
 
 
 @register(
@@ -180,8 +182,7 @@ def q_confusion_normalized(spark, sf):
     ("PF-11", "JN-2"),
 )
 def q_submission(spark, sf):
-    ranked, k = _ranks_k(spark, sf)
-    b = ensemble.borda(ranked, k=k).withColumnRenamed("item_id", "row_id")
+    b = ensemble.borda(_run_ranks(spark, sf)).withColumnRenamed("item_id", "row_id")
     return ranking.submission(b, fx.event_labels(spark, sf), key="row_id")
 
 
@@ -198,8 +199,7 @@ def q_submission(spark, sf):
 )
 def q_align_truth(spark, sf):
     truth = read_table(spark, sf, "events").select(F.col("event_id").alias("item_id"))
-    ranked, k = _ranks_k(spark, sf)
-    preds = ensemble.borda(ranked, k=k)
+    preds = ensemble.borda(_run_ranks(spark, sf))
     return metrics.align_truth(truth, preds, "item_id")
 
 
@@ -212,10 +212,9 @@ per_fold AS (
 
 
 def _per_fold(spark, sf):
-    ranked, k = _ranks_k(spark, sf)
-    ranked = ranked.withColumn("fold", F.col("item_id") % fx.N_FOLDS_LEADERBOARD)
+    ranked = _run_ranks(spark, sf).withColumn("fold", F.col("item_id") % fx.N_FOLDS_LEADERBOARD)
     return ranked.groupBy("run_id", "fold").agg(
-        F.avg(softmax_xent("logits", "y_true", k)).alias("loss"),
+        F.avg(softmax_xent("logits", "y_true")).alias("loss"),
         (F.sum(ap_scaled("ranks", "y_true", 3)).cast("double") / (F.count(F.lit(1)) * 6).cast("double")).alias("map"),
     )
 
@@ -251,3 +250,122 @@ def q_hardest_fold(spark, sf):
 )
 def q_event_vocab(spark, sf):
     return label_vocab(read_table(spark, sf, "events").select(F.col("event_type").alias("label")))
+
+
+# --- candidate lists of different lengths (per question) --------------------------------------
+
+QV = O.with_ctes(O.RESPONSES, O.QUESTION_CANDIDATES, O.RUN_IDS, O.RESPONSE_SCORES)
+
+
+@register(
+    "rank_by_question",
+    QV + """SELECT run_id, item_id, string_agg(CAST(cand_idx AS VARCHAR), ' ' ORDER BY rnk) AS ranks
+            FROM rranked GROUP BY run_id, item_id""",
+    ("WN-5", "JN-4"),
+)
+def q_rank_by_question(spark, sf):
+    r = ranking.rank_candidates(fx.response_scores(spark, sf))
+    return r.select("run_id", "item_id", ranking.ranks_text("ranks").alias("ranks"))
+
+
+@register(
+    "borda_by_question",
+    QV + """, sz AS (SELECT item_id, count(DISTINCT cand_idx) AS k FROM rranked GROUP BY item_id),
+        bp AS (SELECT item_id, cand_idx, sum(k - (rnk - 1)) AS pts FROM rranked JOIN sz USING (item_id) GROUP BY item_id, cand_idx),
+        br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pts DESC, cand_idx DESC) AS rnk FROM bp)
+        SELECT item_id, string_agg(CAST(cand_idx AS VARCHAR), ' ' ORDER BY rnk) AS ranks FROM br GROUP BY item_id""",
+    ("AG-20",),
+)
+def q_borda_by_question(spark, sf):
+    b = ensemble.borda(ranking.rank_candidates(fx.response_scores(spark, sf)))
+    return b.select("item_id", ranking.ranks_text("ranks").alias("ranks"))
+
+
+def _map_sql(k: int) -> str:
+    return QV + f"""SELECT run_id, count(DISTINCT item_id) AS n_items,
+        round(sum(CASE WHEN cand_idx = y_true AND rnk <= {k} THEN 1.0 / rnk ELSE 0.0 END) / count(DISTINCT item_id), 6) AS map
+        FROM rranked GROUP BY run_id"""
+
+
+def _map_by_question(spark, sf, k):
+    m = metrics.map_at_k(ranking.rank_candidates(fx.response_scores(spark, sf)), k, by=["run_id"])
+    return m.select("run_id", "n_items", F.round("map", 6).alias("map"))
+
+
+@register("map_at_20", _map_sql(20), ("AG-15",))
+def q_map_at_20(spark, sf):
+    return _map_by_question(spark, sf, 20)
+
+
+@register("map_at_50", _map_sql(50), ("AG-15",))
+def q_map_at_50(spark, sf):
+    return _map_by_question(spark, sf, 50)
+
+
+@register(
+    "submission_partial",
+    O.with_ctes(O.RESPONSES, O.QUESTION_CANDIDATES, O.VOCAB_ALL) + """,
+        r AS (SELECT row_id, CASE WHEN category IS NULL THEN [] ELSE [v.label_idx, 999999, 0] END AS ranks
+              FROM responses LEFT JOIN vocab_all v ON v.label = concat(coalesce(category, 'NA'), ':', coalesce(misconception, 'NA'))),
+        e AS (SELECT row_id, unnest(ranks) AS idx, generate_subscripts(ranks, 1) AS pos FROM r)
+        SELECT r.row_id, coalesce(string_agg(v.label, ' ' ORDER BY e.pos), '') AS prediction
+        FROM r LEFT JOIN e USING (row_id) LEFT JOIN vocab_all v ON v.label_idx = e.idx GROUP BY r.row_id""",
+    ("PF-11", "JN-2"),
+)
+def q_submission_partial(spark, sf):
+    """Rankings that are empty, or hold an index outside the vocabulary: every key keeps a row."""
+    r = with_label(fx.responses(spark, sf).select("row_id", "category", "misconception"))
+    vocab = label_vocab(r)
+    coded = encode_labels(r, vocab)
+    ranks = F.when(F.col("category").isNull(), F.array().cast("array<long>")).otherwise(F.array("label_idx", F.lit(999999).cast("long"), F.lit(0).cast("long")))
+    return ranking.submission(coded.select("row_id", ranks.alias("ranks")), vocab)
+
+
+# --- trials (SC-8, ML-6, AG-18): an integer blend of two runs, scored for all trials at once ---
+
+N_TRIALS = 8
+SPACE = [tune.Param("weight", "int", 0, 10), tune.Param("rate", "log", 1e-5, 1e-3), tune.Param("decay", "uniform", 0.0, 0.1)]
+
+
+def _unit_sql(name: str) -> str:
+    return f"(CAST(concat('0x', substr(md5('42:{name}:' || CAST(trial AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+
+
+TRIALS_SQL = EV + f""", trials AS (SELECT trial, CAST(floor({_unit_sql('weight')} * 11) AS BIGINT) AS weight,
+      exp(ln(1e-5) + {_unit_sql('rate')} * (ln(1e-3) - ln(1e-5))) AS rate, {_unit_sql('decay')} * 0.1 AS decay
+      FROM (SELECT CAST(t AS BIGINT) AS trial FROM range({N_TRIALS}) t(t))),
+    blend AS (SELECT t.trial, a.item_id, a.y_true, a.cand_idx, t.weight * a.logit + (10 - t.weight) * b.logit AS logit
+      FROM event_scores a JOIN event_scores b ON a.item_id = b.item_id AND a.cand_idx = b.cand_idx AND a.run_id = 0 AND b.run_id = 1
+      CROSS JOIN trials t),
+    br AS (SELECT *, row_number() OVER (PARTITION BY trial, item_id ORDER BY logit DESC, cand_idx) AS rnk FROM blend),
+    scored AS (SELECT trial, round(CAST(sum(CASE rnk WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END) AS DOUBLE) / (6 * count(*)), 6) AS score
+      FROM br WHERE cand_idx = y_true GROUP BY trial)
+"""
+
+
+def _trials(spark, sf):
+    """Every item under every trial: its blended list, ranked; scored by MAP@3 in one job."""
+    trials = tune.trial_grid(spark, SPACE, N_TRIALS, seed=42)
+    two = _scores(spark, sf).where("run_id < 2").groupBy("item_id").agg(
+        F.max("y_true").alias("y_true"), F.max(F.when(F.col("run_id") == 0, F.col("logits"))).alias("l0"), F.max(F.when(F.col("run_id") == 1, F.col("logits"))).alias("l1"))
+    cases = two.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_TRIALS - 1).cast("long"))))
+    cases = lookup_join(cases, trials.select("trial", "weight"), "trial")
+    logits = F.zip_with("l0", "l1", lambda a, b: F.col("weight") * a + (10 - F.col("weight")) * b)
+    ranked = ranking.rank_candidates(cases.select("trial", "item_id", "y_true", logits.alias("logits")))
+    return tune.score_trials(ranked, trials, lambda c, by: metrics.map_at_k(c, 3, by=by).withColumn("map", F.round("map", 6)), "map")
+
+
+@register("trial_search", TRIALS_SQL + "SELECT trial, weight, round(rate, 9) AS rate, round(decay, 9) AS decay, score FROM trials JOIN scored USING (trial)", ("ML-6", "SC-8"))
+def q_trial_search(spark, sf):
+    t = _trials(spark, sf)
+    return t.select("trial", "weight", F.round("rate", 9).alias("rate"), F.round("decay", 9).alias("decay"), "score")
+
+
+@register(
+    "best_trial",
+    TRIALS_SQL + """SELECT trial, weight, score AS best_value FROM trials JOIN scored USING (trial)
+        ORDER BY score DESC, trial LIMIT 1""",
+    ("AG-18",),
+)
+def q_best_trial(spark, sf):
+    return tune.best_trial(_trials(spark, sf), ["weight"])

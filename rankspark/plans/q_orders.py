@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.operators import folds
+from rankspark.plans import oracle as O
 from rankspark.plans.catalog import register
+from rankspark.sources import fixtures as fx
 from rankspark.sources.tables import read_table
 
 K = 5
@@ -20,6 +22,13 @@ folds AS (
 """
 
 
+R_FOLDS = O.with_ctes(O.RESPONSES) + f""", f AS (
+  SELECT row_id, category, CAST((row_number() OVER (
+      ORDER BY category NULLS LAST, md5('{SEED}:' || CAST(row_id AS VARCHAR)), row_id) - 1) % {K} AS INTEGER) AS fold
+  FROM responses)
+"""
+
+
 def _folds(spark, sf):
     o = read_table(spark, sf, "orders").select(
         "o_orderkey", F.concat("o_orderstatus", F.lit(":"), "o_orderpriority").alias("stratum")
@@ -52,12 +61,19 @@ def q_fold_split(spark, sf):
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     fl = _folds(spark, sf).select("o_orderkey", "stratum", "fold")
     joined = folds.attach_folds(orders, fl, "o_orderkey")
-    train, valid = folds.fold_split(joined, 0)
+    # one grouped aggregate over both halves of the split
+    return joined.groupBy(F.when(F.col("fold") == 0, F.lit("valid")).otherwise(F.lit("train")).alias("split")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("stratum").alias("n_strata"), F.countDistinct("o_custkey").alias("n_customers"),
+    )
 
-    def summary(df, name):
-        return df.agg(
-            F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"),
-            F.countDistinct("stratum").alias("n_strata"), F.countDistinct("o_custkey").alias("n_customers"),
-        )
 
-    return summary(train, "train").unionByName(summary(valid, "valid"))
+@register(
+    "fold_documents",
+    R_FOLDS + "SELECT row_id, category, fold FROM f",
+    ("WN-4",),
+)
+def q_fold_documents(spark, sf):
+    """Stratum ``category``, null for documents without a label: every document gets a fold."""
+    r = fx.responses(spark, sf).select("row_id", "category")
+    return folds.stratified_folds(r, "row_id", "category", K, SEED).select("row_id", "category", "fold")

@@ -1,4 +1,4 @@
-"""Prompt, packing and mask-layout queries (SC-3, SC-4, PF-8, ML-7, WN-6)."""
+"""Prompt and packing queries (SC-3, SC-4, PF-8, ML-7)."""
 
 from __future__ import annotations
 
@@ -23,12 +23,12 @@ _FIELD_SQL = {
 }
 
 
-def _prefix_sql() -> str:
+def _prefix_sql(fields: dict[str, str] = _FIELD_SQL) -> str:
     parts, rest = [], PREFIX_TEMPLATE
     for name in PREFIX_FIELDS:
         head, rest = rest.split("{" + name + "}", 1)
         parts.append("'" + head + "'")
-        parts.append(f"coalesce(CAST({_FIELD_SQL[name]} AS VARCHAR), '')")
+        parts.append(f"coalesce(CAST({fields[name]} AS VARCHAR), '')")
     parts.append("'" + rest + "'")
     return " || ".join(parts)
 
@@ -109,21 +109,20 @@ def q_packing_summary(spark, sf):
     )
 
 
-TOKENS = """WITH tokens AS (
-  SELECT doc_id AS batch_id, CAST(p AS BIGINT) AS pos, doc_id,
-    CAST(CASE WHEN p < 4 THEN -1 ELSE (p - 4) % 3 END AS BIGINT) AS suffix_id
-  FROM documents CROSS JOIN range(10) t(p))
-"""
+# question text, choices and misconception list supplied by the table where it has them
+_SUPPLIED_SQL = _FIELD_SQL | {
+    "question": "CASE WHEN r.row_id % 2 = 0 THEN 'What is said in ' || r.mc_answer || '?' ELSE r.question_id END",
+    "choices": "CASE WHEN r.row_id % 3 = 0 THEN 'en, other' ELSE pq.choices END",
+}
 
 
 @register(
-    "visibility_counts",
-    # oracle: brute-force pair relation of the mask, counted per query token
-    TOKENS + """SELECT q.batch_id, q.doc_id, q.pos, q.suffix_id, count(*) AS n_visible
-      FROM tokens q JOIN tokens kv ON q.batch_id = kv.batch_id AND q.doc_id = kv.doc_id
-        AND kv.pos <= q.pos AND (kv.suffix_id = -1 OR kv.suffix_id = q.suffix_id)
-      GROUP BY q.batch_id, q.doc_id, q.pos, q.suffix_id""",
-    ("WN-6", "JN-7"),
+    "render_supplied",
+    ITEMS.replace(_prefix_sql(), _prefix_sql(_SUPPLIED_SQL)) + "SELECT row_id, prefix FROM items",
+    ("SC-3", "PF-8"),
 )
-def q_visibility_counts(spark, sf):
-    return prompts.visibility_counts(fx.tokens(spark, sf))
+def q_render_supplied(spark, sf):
+    r = fx.responses(spark, sf)
+    r = r.withColumn("question_text", F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("What is said in "), "mc_answer", F.lit("?"))))
+    r = r.withColumn("choices", F.when(F.col("row_id") % 3 == 0, F.lit("en, other")))
+    return prompts.with_prefix(prompts.to_items(r)).select("row_id", "prefix")

@@ -9,7 +9,7 @@ from rankspark.operators import prepare, profile
 from rankspark.plans import oracle as O
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
-from rankspark.sources.tables import read_table
+from rankspark.session import stored
 
 R = O.with_ctes(O.RESPONSES)
 RD = O.with_ctes(O.RESPONSES, O.DERIVED)
@@ -22,11 +22,6 @@ def _derived(spark, sf):
     return profile.derive(fx.responses(spark, sf))
 
 
-def _labelled(spark, sf):
-    d = prepare.dedup_responses(fx.responses(spark, sf), DEDUP_KEYS)
-    return prepare.with_label(d)
-
-
 def _nt(c: str) -> str:
     return f"CASE WHEN {c} IN ({TOKENS_SQL}) THEN NULL ELSE {c} END AS {c}"
 
@@ -77,9 +72,24 @@ def q_dedup(spark, sf):
     return d.select("row_id", "question_id", "mc_answer", "category", "misconception")
 
 
+def _first_labelled(spark, sf):
+    """Row key and label of the first rows only: the text is reduced to a digest where it is read."""
+    return prepare.with_label(prepare.first_rows(fx.responses(spark, sf), DEDUP_KEYS, "row_id", ["category", "misconception"]))
+
+
+@register(
+    "dedup_full_key",
+    R + """SELECT row_id, question_id, mc_answer FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id, mc_answer, explanation ORDER BY row_id) AS rn FROM responses) t WHERE rn = 1""",
+    ("AG-1",),
+)
+def q_dedup_full_key(spark, sf):
+    return prepare.dedup_responses(fx.responses(spark, sf)).select("row_id", "question_id", "mc_answer")
+
+
 @register("label_vocab", RL + "SELECT label, label_idx FROM vocab", ("AG-2", "WN-1", "SO-2"))
 def q_label_vocab(spark, sf):
-    return prepare.label_vocab(_labelled(spark, sf))
+    return prepare.label_vocab(_first_labelled(spark, sf))
 
 
 @register(
@@ -88,9 +98,8 @@ def q_label_vocab(spark, sf):
     ("JN-1",),
 )
 def q_label_encode(spark, sf):
-    lab = _labelled(spark, sf)
-    vocab = prepare.label_vocab(lab)
-    return prepare.encode_labels(lab, vocab).select("row_id", "label", "label_idx")
+    lab = stored(_first_labelled(spark, sf), "labelled")
+    return prepare.encode_labels(lab, prepare.label_vocab(lab)).select("row_id", "label", "label_idx")
 
 
 @register(
@@ -100,9 +109,8 @@ def q_label_encode(spark, sf):
     ("JN-3",),
 )
 def q_candidates_full(spark, sf):
-    lab = _labelled(spark, sf)
-    vocab = prepare.label_vocab(lab)
-    c = prepare.attach_all_candidates(lab, vocab)
+    lab = stored(_first_labelled(spark, sf), "labelled")
+    c = prepare.attach_all_candidates(lab, prepare.label_vocab(lab))
     return c.select("row_id", F.size("candidates").cast("long").alias("n_candidates"),
                     F.array_join("candidates", " ").alias("candidates"))
 
@@ -307,12 +315,24 @@ def q_hist_length(spark, sf):
 
 @register(
     "hist_responses",
-    _hist_sql("WITH src AS (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id)", "n", 30),
+    _hist_sql(O.with_ctes(O.RESPONSES, "src AS (SELECT question_id, count(*) AS n FROM responses WHERE question_id IS NOT NULL GROUP BY question_id)"), "n", 30),
     ("AG-13",),
 )
 def q_hist_responses(spark, sf):
-    per_user = profile.value_counts(read_table(spark, sf, "events"), "user_id")
-    return _round_hist(profile.histogram(per_user, "n", 30))
+    per_question = profile.value_counts(fx.responses(spark, sf), "question_id")
+    return _round_hist(profile.histogram(per_question, "n", 30))
+
+
+@register(
+    "rank_with_missing",
+    R + """SELECT row_id, m, CAST(row_number() OVER (ORDER BY m NULLS LAST, row_id) AS BIGINT) AS rnk
+        FROM (SELECT row_id, CAST(substr(misconception, 2) AS BIGINT) AS m FROM responses) t""",
+    ("WN-2",),
+)
+def q_rank_with_missing(spark, sf):
+    """A value that most rows lack and few values share: null rows are ranked last."""
+    r = fx.responses(spark, sf).select("row_id", F.expr("substr(misconception, 2)").cast("long").alias("m"))
+    return profile.rank_first(r, "m", rows_per_bucket=500).select("row_id", "m", "rnk")
 
 
 @register(

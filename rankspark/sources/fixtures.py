@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.operators.prepare import label_vocab, sorted_label_lookup
+from rankspark.operators.prepare import encode_labels, label_vocab
 from rankspark.sources.tables import read_table
 
 # --- fixed values (fixture definitions, FIXTURES.md section 4) ------------------------------
@@ -20,9 +20,6 @@ SCORE_CAND_MUL = 104729
 SCORE_RUN_MUL = 15485863
 SCORE_MOD = 10007
 SCORE_TRUTH_BONUS = 3000        # added to the true candidate's logit
-TOKENS_PER_DOC = 10             # packed layout: 4 prefix tokens, then suffixes 0, 1, 2 in turn
-PREFIX_TOKENS = 4
-SUFFIXES_PER_DOC = 3
 MISCONCEPTION_MOD = 7           # misconception name = 'M' || doc_id % 7
 N_FOLDS_LEADERBOARD = 5         # fold of an event item = item_id % 5
 # ------------------------------------------------------------------------------------------
@@ -65,36 +62,44 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_vocab(read_table(spark, sf_dir, "events").select(F.col("event_type").alias("label")))
 
 
-def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
-    """Multi-run candidate scores, array form: ``run_id, item_id, y_true, logits``."""
-    return event_scores_k(spark, sf_dir, n_runs)[0]
+def _logit(item, cand, run, y):
+    """The synthetic score of a candidate (the same formula as in the SQL fixture)."""
+    base = (item * SCORE_ITEM_MUL + cand * SCORE_CAND_MUL + run * SCORE_RUN_MUL) % SCORE_MOD
+    return base + F.when(cand == y, F.lit(SCORE_TRUTH_BONUS)).otherwise(F.lit(0))
 
 
-def event_scores_k(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> tuple[DataFrame, int]:
-    """Multi-run candidate scores and K (candidates per item).
+def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
+    """Multi-run candidate scores, array form: ``run_id, item_id, y_true, logits``.
 
     One row per (run, item); ``logits[c]`` is the score of candidate c. Candidates are the
-    dense label indices 0..K-1, generated per row (an unrolled array expression), so no
-    join with the label table is needed beyond the truth lookup.
+    dense label indices 0..K-1, generated per row; K is a scalar subquery over the labels.
     """
-    events = read_table(spark, sf_dir, "events")
-    lookup, k = sorted_label_lookup(events.select(F.col("event_type").alias("label")))
-    ev = events.select(
-        F.col("event_id").alias("item_id"), F.element_at(lookup, F.col("event_type")).alias("y_true")
-    ).where(F.col("y_true").isNotNull())
+    labels = event_labels(spark, sf_dir)
+    k = labels.agg(F.count(F.lit(1)).alias("k")).scalar()
+    events = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("event_type").alias("label"))
+    ev = encode_labels(events, labels, out="y_true", how="inner").select("item_id", "y_true")
     runs = ev.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long"))).alias("run_id"),
         "item_id",
         "y_true",
     )
+    logits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1), lambda c: _logit(F.col("item_id"), c, F.col("run_id"), F.col("y_true")))
+    return runs.withColumn("__k", k).select("run_id", "item_id", "y_true", logits.alias("logits"))
 
-    def logit(c):
-        c = c.cast("long")
-        base = (F.col("item_id") * SCORE_ITEM_MUL + c * SCORE_CAND_MUL + F.col("run_id") * SCORE_RUN_MUL) % SCORE_MOD
-        return base + F.when(c == F.col("y_true"), F.lit(SCORE_TRUTH_BONUS)).otherwise(F.lit(0))
 
-    logits = F.array(*[logit(F.lit(c)) for c in range(k)])
-    return runs.select("run_id", "item_id", "y_true", logits.alias("logits")), int(k)
+def response_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
+    """Scores over per-question candidate lists, whose lengths differ from question to question:
+    ``run_id, item_id, y_true, logits``. The truth is the place of the response's own label in its
+    question's list, null if it isn't there; it earns the same bonus as for events."""
+    from rankspark.operators.prepare import attach_question_candidates, with_label
+
+    r = with_label(responses(spark, sf_dir).select("row_id", "question_id", "category", "misconception"))
+    j = attach_question_candidates(r)
+    place = F.array_position("candidates", F.col("label"))
+    j = j.select(F.col("row_id").alias("item_id"), F.when(place > 0, place - 1).cast("long").alias("y_true"), F.size("candidates").alias("k"))
+    runs = j.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long"))).alias("run_id"), "*")
+    logits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1), lambda c: _logit(F.col("item_id"), c, F.col("run_id"), F.col("y_true")))
+    return runs.select("run_id", "item_id", "y_true", logits.alias("logits"))
 
 
 def event_scores_long(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
@@ -106,21 +111,6 @@ def event_scores_long(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) ->
     ).withColumn("cand_idx", F.col("cand_idx").cast("long"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed token layout: ``batch_id, pos, doc_id, suffix_id`` (-1 = prefix).
-
-    Every document is one packed sequence of ten tokens: four prefix tokens, then
-    suffixes 0, 1, 2 in turn.
-    """
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id"))
-    pos = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TOKENS_PER_DOC - 1).cast("long"))).alias("pos")
-    t = docs.select(F.col("doc_id").alias("batch_id"), pos, F.col("doc_id"))
-    suffix = F.when(F.col("pos") < PREFIX_TOKENS, F.lit(-1).cast("long")).otherwise(
-        (F.col("pos") - PREFIX_TOKENS) % SUFFIXES_PER_DOC
-    )
-    return t.select("batch_id", "pos", "doc_id", suffix.cast("long").alias("suffix_id"))
-
-
 def embedding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate embeddings with their class: ``vec_id, embedding, label``."""
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
