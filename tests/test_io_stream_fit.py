@@ -21,7 +21,7 @@ def test_items_jsonl_round_trip(spark, scratch):
         f.write("{not json\n")
     items = io.read_items(spark, path).cache()
     good = items.where(F.col("_corrupt_record").isNull()).collect()
-    assert len(good) == 1 and good[0]["suffixes"] == ["x", "y"] and good[0]["bundle"]["QuestionText"] == "q"
+    assert len(good) == 1 and good[0]["suffixes"] == ["x", "y"] and good[0]["bundle"]["question"] == "q"
     assert items.where(F.col("_corrupt_record").isNotNull()).count() == 1
 
 
@@ -149,8 +149,7 @@ def test_stream_scores_equals_batch(spark, scratch):
 def test_ensemble_from_run_files_equals_in_memory(spark, scratch, sf_dir):
     from rankspark.operators import ensemble
 
-    scores, k = fx.event_scores_k(spark, sf_dir)
-    ranked = ranking.rank_candidates(scores, k=k).select(
+    ranked = ranking.rank_candidates(fx.event_scores(spark, sf_dir)).select(
         F.col("item_id").alias("row_id"), "run_id", "y_true", F.col("ranks").cast("array<long>").alias("ranks"))
     for r in range(3):
         io.write_rankings(ranked.where(F.col("run_id") == r).drop("run_id"), os.path.join(scratch, f"run_{r}"))
@@ -158,8 +157,8 @@ def test_ensemble_from_run_files_equals_in_memory(spark, scratch, sf_dir):
     assert runs.select("run").distinct().count() == 3
     aligned = ensemble.align_runs(runs.withColumnRenamed("run", "run_id"), 3, item_col="row_id")
     assert aligned.count() == runs.select("row_id").distinct().count()
-    from_files = ensemble.borda(runs, item_col="row_id", k=k, validate=True)
-    in_memory = ensemble.borda(ranked, item_col="row_id", k=k)
+    from_files = ensemble.borda(runs, item_col="row_id")
+    in_memory = ensemble.borda(ranked, item_col="row_id")
     a = {r["row_id"]: r["ranks"] for r in from_files.collect()}
     b = {r["row_id"]: r["ranks"] for r in in_memory.collect()}
     assert a == b and len(a) > 0

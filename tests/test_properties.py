@@ -28,11 +28,11 @@ def test_split_row_number_equals_global_window(spark, values, buckets):
 
 
 @SETTINGS
-@given(st.lists(st.sampled_from(["a", "b", "c", "hot"]), min_size=5, max_size=80), st.integers(2, 6))
+@given(st.lists(st.sampled_from(["a", "b", None, "hot"]), min_size=5, max_size=80), st.integers(2, 6))
 def test_stratified_folds_balanced(spark, strata, k):
     rows = [(i, s) for i, s in enumerate(strata)]
     df = spark.createDataFrame(rows, "id long, s string")
-    f = folds.stratified_folds(df, "id", "s", k=k, seed=7, n_hex=1)
+    f = folds.stratified_folds(df, "id", "s", k=k, seed=7, buckets=16)
     assert f.count() == len(rows)
     per = f.groupBy("s", "fold").count().collect()
     by_s = {}
@@ -100,19 +100,6 @@ def test_results_unchanged_under_repartition(spark):
     assert sorted(r["count"] for r in d) == [20] * 10
 
 
-def test_visibility_counts_equal_pair_relation(spark):
-    # every doc: 4 prefix tokens then suffixes 0,1,2 in turn; brute-force the mask relation
-    toks = [(d, p, d, -1 if p < 4 else (p - 4) % 3) for d in range(3) for p in range(10)]
-    df = spark.createDataFrame(toks, "batch_id long, pos long, doc_id long, suffix_id long")
-    from rankspark.operators.prompts import visibility_counts
-
-    got = {(r["doc_id"], r["pos"]): r["n_visible"] for r in visibility_counts(df).collect()}
-    for d, p, _, s in toks:
-        want = sum(1 for d2, p2, _, s2 in toks if d2 == d and p2 <= p and (s2 == -1 or s2 == s))
-        assert got[(d, p)] == want
-    assert sum(v for (d, _), v in got.items() if d == 0) == 43
-
-
 def test_ap_scaled_is_exact(spark):
     assert A.lcm_upto(3) == 6 and A.lcm_upto(5) == 60
 
