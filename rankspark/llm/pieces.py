@@ -25,7 +25,7 @@ from rankspark.llm.common import bounded
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Distinct words whose result a task keeps; beyond it the memory starts anew.
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 #: A character outside the vocabulary scores so much below the worst one-character piece.
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(r" +[^ ]*")
@@ -294,35 +294,63 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
         self.lattice, self.n = Lattice(vocabulary), n
         self.solver = BatchSolver(self.lattice)
+        # characters as dense numbers, and which neighbours some piece joins
+        pairs = sorted(self.lattice.joined)
+        letters = sorted({c for x in pairs for c in x})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joins = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        if pairs:
+            first, second = np.array([[ord(x[0]), ord(x[1])] for x in pairs]).T
+            self.joins[self.number[first], self.number[second]] = True
         self.clear()
 
     def clear(self):
         self.words: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.scores = np.zeros(1024)
-        self.losses = np.zeros(1024)  # smallest second-best loss in the word
-        self.weak: list[list[tuple[float, str]]] = []  # its n - 1 parts that lose least
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
+        self.scores = np.zeros(0)
+        self.losses = np.zeros(0)  # smallest second-best loss in the word
+        self.parts: dict[str, int] = {}
+        self.part_ids: list[bytes] = []
+        self.part_scores = np.zeros(0)
+        self.part_losses = np.zeros(0)
         self.alternatives: dict[str, list[float]] = {}
 
+    def _split(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, and the place of each word's first part."""
+        text = "".join(words)
+        numbers = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cut = np.ones(len(numbers) + 1, bool)
+        cut[1:-1] = ~self.joins[numbers[:-1], numbers[1:]]
+        begins = np.zeros(len(words), np.int64)
+        np.cumsum([len(w) for w in words[:-1]], out=begins[1:])
+        cut[begins] = True
+        at = np.flatnonzero(cut)
+        ends = at.tolist()
+        return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.searchsorted(at, begins)
+
     def _learn(self, words: list[str]) -> None:
-        split = [self.lattice.parts(w) for w in words]
-        new = list({p for x in split for p in x if p not in self.parts})
-        self.parts.update(zip(new, self.solver.solve(new), strict=True))
-        need = len(self.ids) + len(words)
-        if need > len(self.scores):
-            self.scores = np.append(self.scores, np.zeros(need))
-            self.losses = np.append(self.losses, np.zeros(need))
-        for word, parts in zip(words, split, strict=True):
-            solved = [self.parts[p] for p in parts]
-            weak = [(x[2], p) for p, x in zip(parts, solved, strict=True) if x[2] < np.inf]
-            if len(weak) > 1:
-                weak = sorted(weak)[: self.n - 1]
-            at = self.words[word] = len(self.ids)
-            self.ids.append(solved[0][0] if len(solved) == 1 else b"".join(x[0] for x in solved))
-            self.scores[at] = sum(x[1] for x in solved)
-            self.losses[at] = weak[0][0] if weak else np.inf
-            self.weak.append(weak[: self.n - 1])
+        if not words:
+            return
+        split, first = self._split(words)
+        new = [p for p in dict.fromkeys(split) if p not in self.parts]
+        solved = self.solver.solve(new)
+        self.parts.update(zip(new, range(len(self.part_ids), len(self.part_ids) + len(new)), strict=True))
+        self.part_ids += [x[0] for x in solved]
+        self.part_scores = np.append(self.part_scores, [x[1] for x in solved])
+        self.part_losses = np.append(self.part_losses, [x[2] for x in solved])
+        where = list(map(self.parts.__getitem__, split))
+        self.words.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        bounds = [*first.tolist(), len(where)]
+        self.ids += [self.part_ids[where[a]] if b - a == 1 else b"".join([self.part_ids[i] for i in where[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        where = np.array(where, np.int64)
+        self.scores = np.append(self.scores, np.add.reduceat(self.part_scores[where], first))
+        self.losses = np.append(self.losses, np.minimum.reduceat(self.part_losses[where], first))
+
+    def _weak(self, word: str) -> list[tuple[float, str]]:
+        """The n - 1 parts of a word that lose least by their second-best path."""
+        found = [(float(self.part_losses[self.parts[p]]), p) for p in self.lattice.parts(word)]
+        return heapq.nsmallest(self.n - 1, (x for x in found if x[0] < np.inf))
 
     def _alternatives(self, part: str) -> list[float]:
         held = self.alternatives.get(part)
@@ -335,8 +363,9 @@ class Encoder:
         """Solve all new words of a slice of texts together."""
         if len(self.words) > MAX_WORDS:
             self.clear()
-        new = {w for x in texts if x for w in _WORD.findall(" " + x)}
-        self._learn([w for w in new if w not in self.words])
+        known = self.words
+        new = {w for x in texts if x for w in _WORD.findall(" " + x) if w not in known}
+        self._learn(list(new))
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
         """The best segmentation's ids (int32) and the scores of the n best, best first."""
@@ -349,12 +378,13 @@ class Encoder:
             at = list(map(self.words.__getitem__, words))
         where = np.array(at, np.int64)
         score = float(self.scores[where].sum())
-        losses = self.losses[where]
-        lose = where[np.argpartition(losses, self.n - 1)[: self.n - 1]] if len(at) >= self.n else where
-        weak = heapq.nsmallest(self.n - 1, (x for i in lose for x in self.weak[i]))
         totals = [0.0]
-        for _, part in weak:
-            totals = heapq.nsmallest(self.n, (a + b for a in totals for b in self._alternatives(part)))
+        if self.n > 1:
+            losses = self.losses[where]
+            lose = np.argpartition(losses, self.n - 1)[: self.n - 1] if len(at) >= self.n else range(len(at))
+            weak = heapq.nsmallest(self.n - 1, (x for i in lose for x in self._weak(words[i])))
+            for _, part in weak:
+                totals = heapq.nsmallest(self.n, (a + b for a in totals for b in self._alternatives(part)))
         return b"".join(map(self.ids.__getitem__, at)), [score - x for x in totals]
 
 
