@@ -58,7 +58,7 @@ def archive_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_by
     digest = F.concat(F.lit("sha1:"), F.col("sha"))
     again = F.col("keeper").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    host, path = F.coalesce(F.parse_url(uri, F.lit("HOST")), F.lit("")), F.coalesce(F.parse_url(uri, F.lit("FILE")), F.lit("/"))
+    host, path = F.coalesce(F.try_parse_url(uri, F.lit("HOST")), F.lit("")), F.coalesce(F.nullif(F.try_parse_url(uri, F.lit("FILE")), F.lit("")), F.lit("/"))
     request = _record(
         F.lit("request"), _urn("request", F.col("pid"), F.col("sha"), F.col("copy")), date, uri, [("WARC-Concurrent-To", ident)],
         F.lit("application/http; msgtype=request"), F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
