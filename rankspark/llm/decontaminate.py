@@ -111,7 +111,7 @@ def _search(items: list[tuple[int, str]], errors_per: int):
                         found.append(items[i][0])
                         distances.append(least)
                         ends.append(end)
-            yield pa.record_batch([b.column(0).take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end_pos"])
+            yield pa.record_batch([b.column(0).take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=[b.schema.names[0], "item_id", "distance", "end_pos"])
 
     return run
 
@@ -126,6 +126,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors_per: int = ERRORS
     ``errors_per`` must occur unchanged. Null or empty texts and items match nothing; repeated
     items and rows are reported each; empty tables give no rows.
     """
+    return _found(docs.select("doc_id", "text"), benchmark, errors_per, block_chars)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, errors_per: int = ERRORS_PER, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``contaminated`` for rows of any key and a text; the key stands in place of doc_id."""
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
@@ -134,11 +139,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors_per: int = ERRORS
     for i in range(blocks):
         held = [(r.item_id, normal_text(r.text)) for r in dealt.where(F.col("block") == i).collect()]
         held = [x for x in held if x[1]]
-        results.append(docs.select("doc_id", "text").mapInArrow(_search(held, errors_per), "doc_id long, item_id long, distance int, end_pos long"))
+        results.append(rows.mapInArrow(_search(held, errors_per), f"{rows.columns[0]} {rows.dtypes[0][1]}, item_id long, distance int, end_pos long"))
     return reduce(DataFrame.unionByName, results)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; all columns are kept."""
-    hits = contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+    """The rows of ``docs`` that hold no test item; all columns are kept. The decision depends on
+    the text alone and is joined back by a digest of it, so ids don't matter."""
+    hits = _found(docs.select(F.sha2("text", 256).alias("version"), "text"), benchmark).select(F.col("version").alias("hit_version")).distinct()
+    return docs.join(hits, F.sha2(docs["text"], 256) == hits["hit_version"], "left_anti")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import _IS_WS, bounded, materialize, text_buffers
@@ -96,7 +96,7 @@ def _recipes(batches):
             ids.append([h for h, _ in parts])
             shas.append(hashlib.sha256(whole).hexdigest())
             sizes.append(len(whole))
-        yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(shas, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "recipe", "text_sha256", "n_bytes"])
+        yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(shas, pa.string()), pa.array(sizes, pa.int64()), *b.columns[2:]], names=["doc_id", "recipe", "text_sha256", "n_bytes", *b.schema.names[2:]])
 
 
 def _pieces(batches):
@@ -107,9 +107,11 @@ def _pieces(batches):
         yield pa.record_batch([pa.array([h for h, _ in seen], pa.int64()), pa.array([p for _, p in seen], pa.binary())], names=["chunk", "bytes"])
 
 
-def chunk_recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, recipe (ordered chunk identifiers), text_sha256, n_bytes of the normalised text."""
-    return docs.select("doc_id", "text").mapInArrow(_recipes, "doc_id long, recipe array<long>, text_sha256 string, n_bytes long")
+def chunk_recipes(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, recipe (ordered chunk identifiers), text_sha256, n_bytes of the normalised text, and
+    the ``carried`` string columns."""
+    rows = docs.select("doc_id", "text", *carried)
+    return rows.mapInArrow(_recipes, ", ".join(["doc_id long, recipe array<long>, text_sha256 string, n_bytes long", *(f"{c} string" for c in rows.columns[2:])]))
 
 
 def clashing_chunks(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     group. A null doc_id counts as larger than any other. Rows that repeat a doc_id with the
     same text are all kept if that doc_id is; an empty table gives an empty result.
     """
-    recipes = materialize(chunk_recipes(docs), "recipes")
+    return _grouped(docs, materialize(chunk_recipes(docs), "recipes"))
+
+
+def _grouped(docs: DataFrame, recipes: DataFrame, *carried: str) -> DataFrame:
+    """``exact_groups`` of the rows of ``recipes``, with their ``carried`` columns."""
     clash = clashing_chunks(docs)
     marked = (
         recipes.select("doc_id", "text_sha256", F.explode("recipe").alias("chunk"))
@@ -142,15 +148,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     for c in key:
         on = on & rows[c].eqNullSafe(groups[f"g_{c}"])
     return rows.join(groups, on).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carried
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group of equal texts.
 
-    All columns are kept. The decision is joined back by doc_id, so equal rows with the same
-    doc_id stay or go together.
+    All columns are kept. The decision is joined back by doc_id and a digest of the text, so it
+    reaches only rows with both; equal texts with the same doc_id stay or go together.
     """
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    version = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    groups = _grouped(docs, materialize(chunk_recipes(docs, version.alias("version")), "recipes"), "version")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
+    there = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (there == gone["gone_version"]), "left_anti")

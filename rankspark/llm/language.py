@@ -238,7 +238,17 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and no more than half background. All
-    columns are kept."""
-    gone = identify(docs, sample_docs).where((F.col("lang_pred") == UNDETERMINED) | (F.col("background") > 0.5))
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    columns are kept. Rows are judged alone and carried along, so neither null nor repeated ids
+    matter."""
+    model = fit(docs, sample_docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.table))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        known = LanguageModel(*shared.value)
+        known.prepare()
+        for b in bounded(batches, text):
+            langs, _, background, _ = infer(b.column(text), known)
+            yield b.filter(pa.array([x != UNDETERMINED and y <= 0.5 for x, y in zip(langs, background.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
