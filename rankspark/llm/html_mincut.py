@@ -18,8 +18,16 @@ from pyspark.sql import DataFrame
 
 from rankspark.llm.common import bounded
 
-#: Element classes of HTML.
-RAW_TEXT = frozenset("script style noscript template textarea title iframe svg math select option button object canvas audio video head noembed noframes xmp".split())
+#: Element classes of HTML. RAW_TEXT holds no markup, only its own end tag; HIDDEN
+#: holds markup whose text is left out.
+RAW_TEXT = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+HIDDEN = frozenset("template svg math select option button object canvas audio video".split())
+#: Hidden elements that a start tag of the same name closes, and start tags that close a select.
+RENEWED = frozenset("select option button".split())
+CLOSES_SELECT = frozenset("input keygen textarea".split())
+#: Start tags that end an svg or math element, unless one of the elements INTEGRATION is open in it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: Names that speak for content or boilerplate, as element, role, or part of a class or id.
@@ -41,6 +49,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(?:>|\Z)",
     re.S,
 )
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -82,14 +91,20 @@ def _element_bias(name: str, attributes: str, inside_good: bool) -> tuple[float,
 
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with character references decoded and white space
-    as single spaces. Comments, scripts, styles and form controls hold no text."""
+    as single spaces. Comments, scripts, styles and form controls hold no text.
+
+    Left-out end tags are read as in HTML: a head ends where anything stands that cannot be in
+    it; a hidden element also ends with an element around it, other than a template; in raw text
+    only the matching end tag counts, and without one it goes on to the end of the page.
+    """
     from html import unescape
 
     blocks: list[Block] = []
     stack: list[tuple[str, int, float, bool]] = []  # element, its number, bias so far, in a content region
     parts: list[str] = []
     linked = links = count = at = 0
-    skip = ""
+    skip = ""  # the hidden element that is open
+    inner: list[str] = []  # open elements in it
 
     def flush():
         nonlocal linked
@@ -107,7 +122,7 @@ def page_blocks(page: str) -> list[Block]:
         if links:
             linked += len(text)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not skip:
             say(page[at: m.start()])
         at = m.end()
@@ -115,14 +130,40 @@ def page_blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
-        if skip:
-            skip = "" if closing and name == skip else skip
-            continue
-        if name in RAW_TEXT:
-            if name not in INLINE and not closing:
+        empty = (m[3] or m[6] or "").endswith("/")
+        foreign = skip in ("svg", "math") and INTEGRATION.isdisjoint(inner)
+        if skip and closing:
+            if name in inner:
+                while inner.pop() != name:
+                    pass
+                continue
+            if name != skip and (skip == "template" or all(x[0] != name for x in stack)):
+                continue
+            own, skip = name == skip, ""
+            if own:
+                continue
+        elif skip:
+            if foreign and name in BREAKOUT or skip == "select" and name in CLOSES_SELECT:
+                skip = ""
+            elif name == skip and name in RENEWED:
+                inner.clear()
+                continue
+            elif foreign or name not in RAW_TEXT:
+                if name not in VOID and name not in INLINE and not (empty and foreign):
+                    inner.append(name)
+                continue
+        if name in RAW_TEXT or name in HIDDEN or name == "head":
+            # nothing in a head has text of its own, so what has text stands after it
+            if not closing and not skip:
                 parts.append(" ")
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
+            if closing or empty or name == "head":
+                continue
+            if name in HIDDEN:
                 skip = name
+                inner.clear()
+            else:
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name == "br":
             parts.append(" ")
