@@ -34,7 +34,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentence pieces: ids of the best segmentation and the scores of the N best."""
+    """Sentence pieces: scores and ids of the N best segmentations (``pieces.encode``)."""
     return pieces.encode(docs)
 
 

@@ -314,7 +314,7 @@ class Encoder:
         self.part_ids: list[bytes] = []
         self.part_scores = np.zeros(0)
         self.part_losses = np.zeros(0)
-        self.alternatives: dict[str, list[float]] = {}
+        self.alternatives: dict[str, list[tuple[float, bytes]]] = {}
 
     def _split(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The parts of all words, and the place of each word's first part."""
@@ -347,16 +347,20 @@ class Encoder:
         self.scores = np.append(self.scores, np.add.reduceat(self.part_scores[where], first))
         self.losses = np.append(self.losses, np.minimum.reduceat(self.part_losses[where], first))
 
-    def _weak(self, word: str) -> list[tuple[float, str]]:
-        """The n - 1 parts of a word that lose least by their second-best path."""
-        found = [(float(self.part_losses[self.parts[p]]), p) for p in self.lattice.parts(word)]
+    def _weak(self, place: int, word: str) -> list[tuple[float, int, int, str]]:
+        """The n - 1 parts of the word at a place that lose least by their second-best path: loss,
+        place of the word, place of the part in it, part."""
+        found = [(float(self.part_losses[self.parts[p]]), place, i, p) for i, p in enumerate(self.lattice.parts(word))]
         return heapq.nsmallest(self.n - 1, (x for x in found if x[0] < np.inf))
 
-    def _alternatives(self, part: str) -> list[float]:
+    def _alternatives(self, part: str) -> list[tuple[float, bytes]]:
+        """What the n best paths of a part lose, and their ids; the remembered best path first."""
         held = self.alternatives.get(part)
         if held is None:
             paths = self.lattice.n_best(part, self.n)
-            held = self.alternatives[part] = [paths[0][0] - s for s, _ in paths]
+            first = self.part_ids[self.parts[part]]
+            others = [x for x in (np.array(ids, np.int32).tobytes() for _, ids in paths) if x != first]
+            held = self.alternatives[part] = [(paths[0][0] - s, x) for (s, _), x in zip(paths, [first, *others], strict=False)]
         return held
 
     def prepare(self, texts: list[str]) -> None:
@@ -369,8 +373,19 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
         """The best segmentation's ids (int32) and the scores of the n best, best first."""
+        paths = self.encode_n(text)
+        return paths[0][1], [score for score, _ in paths]
+
+    def encode_n(self, text: str) -> list[tuple[float, bytes]]:
+        """The n best segmentations (score, ids as int32), best first."""
+        raw, paths = self.encode_changes(text)
+        return [(score, changed_ids(raw, changes)) for score, changes in paths]
+
+    def encode_changes(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """The best segmentation's ids, and per segmentation, best first, its score and what it
+        changes in them, in order: place, number of ids there, ids instead."""
         if not text:
-            return b"", [0.0]
+            return b"", [(0.0, [])]
         words = _WORD.findall(" " + text)
         at = list(map(self.words.get, words))
         if None in at:
@@ -378,14 +393,27 @@ class Encoder:
             at = list(map(self.words.__getitem__, words))
         where = np.array(at, np.int64)
         score = float(self.scores[where].sum())
-        totals = [0.0]
+        best = list(map(self.ids.__getitem__, at))
+        totals: list[tuple[float, tuple]] = [(0.0, ())]
         if self.n > 1:
             losses = self.losses[where]
-            lose = np.argpartition(losses, self.n - 1)[: self.n - 1] if len(at) >= self.n else range(len(at))
-            weak = heapq.nsmallest(self.n - 1, (x for i in lose for x in self._weak(words[i])))
-            for _, part in weak:
-                totals = heapq.nsmallest(self.n, (a + b for a in totals for b in self._alternatives(part)))
-        return b"".join(map(self.ids.__getitem__, at)), [score - x for x in totals]
+            lose = np.argpartition(losses, self.n - 1)[: self.n - 1].tolist() if len(at) >= self.n else range(len(at))
+            weak = heapq.nsmallest(self.n - 1, (x for i in lose for x in self._weak(i, words[i])))
+            for _, word, part, name in weak:
+                place = sum(map(len, best[:word])) + sum(len(self.part_ids[self.parts[p]]) for p in self.lattice.parts(words[word])[:part])
+                size = len(self.part_ids[self.parts[name]])
+                ways = [(loss, ((place // 4, size // 4, ids),) if k else ()) for k, (loss, ids) in enumerate(self._alternatives(name))]
+                totals = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in totals for b, y in ways), key=lambda t: t[0])
+        return b"".join(best), [(score - loss, sorted(changes)) for loss, changes in totals]
+
+
+def changed_ids(raw: bytes, changes: list[tuple[int, int, bytes]]) -> bytes:
+    """Ids (int32) with the changes of one segmentation."""
+    out, at = [], 0
+    for place, size, ids in changes:
+        out += [raw[at: 4 * place], ids]
+        at = 4 * (place + size)
+    return b"".join([*out, raw[at:]])
 
 
 def decode_ids(ids: np.ndarray, texts: list[bytes]) -> str:
@@ -393,6 +421,9 @@ def decode_ids(ids: np.ndarray, texts: list[bytes]) -> str:
     return b"".join(map(texts.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+_CHANGES = pa.list_(pa.list_(pa.struct([("place", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
 def _encode(shared, n: int, with_ids: bool):
     def run(batches):
         import hashlib
@@ -400,25 +431,26 @@ def _encode(shared, n: int, with_ids: bool):
         vocabulary = Vocabulary(*shared.value)
         encoder = Encoder(vocabulary, n)
         for b in bounded(batches, 1):
-            ids, counts, scores, shas, right = [], [], [], [], []
+            ids, changes, counts, scores, shas, right = [], [], [], [], [], []
             texts = [x or "" for x in b.column(1).to_pylist()]
             encoder.prepare(texts)
             for text in texts:
-                raw, best = encoder.encode(text)
+                raw, found = encoder.encode_changes(text)
                 numbers = np.frombuffer(raw, np.int32)
                 counts.append(len(numbers))
-                scores.append(best)
+                scores.append([score for score, _ in found])
                 shas.append(hashlib.sha256(raw).hexdigest())
                 right.append(decode_ids(numbers, vocabulary.texts) == text)
                 if with_ids:
                     ids.append(numbers)
+                    changes.append([[(p, n, np.frombuffer(x, np.int32)) for p, n, x in path] for _, path in found])
             columns = [b.column(0), pa.array(counts, pa.int64()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(shas, pa.string()), pa.array(right, pa.bool_())]
             names = ["doc_id", "n_pieces", "score", "nbest_scores", "ids_sha256", "round_trip"]
             if with_ids:
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
-                names.append("ids")
+                columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(changes, _CHANGES)]
+                names += ["ids", "nbest_changes"]
             yield pa.record_batch(columns, names=names)
 
     return run
@@ -429,18 +461,35 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, with_ids: bool
 
     Returns a row per input row: doc_id, n_pieces and score of the best segmentation,
     nbest_scores (the n best, best first; fewer if there are fewer paths), ids_sha256 (of the ids
-    as little-endian int32), round_trip (the ids decode to the text) and, ``with_ids``, the ids.
-    A null text counts as empty, and an empty text has no pieces and score 0. Characters outside
+    as little-endian int32), round_trip (the ids decode to the text) and, ``with_ids``, ids (of the
+    best segmentation) and nbest_changes: for each of the n best, in the order of nbest_scores, the
+    places where it differs from ids (place from 0, size: ids replaced, ids: those instead; none
+    for the best). ``n_best_ids`` writes all paths out. A null text counts as empty, and an empty text has no pieces and score 0. Characters outside
     the vocabulary become their bytes' pieces. Rows are worked on alone, so null ids and repeated
     rows pass through; no rows give no rows. The vocabulary is read on the driver from ``model``
     and broadcast; its size is fixed by that file.
     """
     vocabulary = Vocabulary.load(model)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.scores, vocabulary.texts, vocabulary.byte_ids, vocabulary.unknown))
-    schema = "doc_id long, n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, round_trip boolean" + (", ids array<int>, nbest_changes array<array<struct<place:int,size:int,ids:array<int>>>>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(_encode(shared, n, with_ids), schema)
 
 
+def n_best_ids(encoded: DataFrame) -> DataFrame:
+    """The n best segmentations of encoded rows (doc_id, ids, nbest_scores, nbest_changes) written
+    out: doc_id, nbest_scores, nbest_ids (the ids of each). Null ids give null."""
+    path = "array<int>"
+
+    def change(done, c):
+        # the ids so far run up to place `at` of the best path
+        return F.struct(F.concat(done["ids"], F.slice("ids", done["at"] + 1, c["place"] - done["at"]), c["ids"]).alias("ids"), (c["place"] + c["size"]).alias("at"))
+
+    start = F.struct(F.array().cast(path).alias("ids"), F.lit(0).alias("at"))
+    end = lambda done: F.concat(done["ids"], F.slice("ids", done["at"] + 1, F.size("ids")))
+    every = F.transform("nbest_changes", lambda changes: F.aggregate(changes, start, change, end))
+    return encoded.select("doc_id", "nbest_scores", every.alias("nbest_ids"))
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Texts of encoded rows (doc_id, ids): doc_id, text. Null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model).texts)

@@ -127,7 +127,7 @@ def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
 @query
