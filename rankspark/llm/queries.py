@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, pieces, pii, substring_dedup, warc
+from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, line_dedup, minhash, pieces, pii, sharding, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,38 @@ def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"))
+
+
+SQL["op11_hash_tree_sharding"] = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: ('0x' || x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+tree(shards, up, path, weight, shard) AS (VALUES
+  (8, '', '0:r0', 4, NULL), (8, '', '0:r1', 4, NULL),
+  (9, '', '0:r0', 4, NULL), (9, '', '0:r1', 4, NULL), (9, '', '1:r2', 1, NULL),
+  (0, '0:r0', '0:r0/k0', 2, NULL), (0, '0:r0', '0:r0/k1', 2, NULL), (0, '0:r1', '0:r1/k0', 2, NULL), (0, '0:r1', '0:r1/k1', 2, NULL), (0, '1:r2', '1:r2/k0', 1, NULL),
+  (0, '0:r0/k0', '0:r0/k0/0', 1, 0), (0, '0:r0/k0', '0:r0/k0/1', 1, 1), (0, '0:r0/k1', '0:r0/k1/2', 1, 2), (0, '0:r0/k1', '0:r0/k1/3', 1, 3),
+  (0, '0:r1/k0', '0:r1/k0/4', 1, 4), (0, '0:r1/k0', '0:r1/k0/5', 1, 5), (0, '0:r1/k1', '0:r1/k1/6', 1, 6), (0, '0:r1/k1', '0:r1/k1/7', 1, 7),
+  (0, '1:r2/k0', '1:r2/k0/8', 1, 8)),
+draws AS (
+  SELECT doc_id, t.*, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || path), 1, 13))::BIGINT + 0.5) / 4503599627370496) / weight AS draw
+  FROM d CROSS JOIN tree t),
+region AS (SELECT doc_id, shards, arg_min(path, draw) AS path FROM draws WHERE up = '' GROUP BY ALL),
+rack AS (SELECT r.doc_id, r.shards, arg_min(w.path, w.draw) AS path FROM region r JOIN draws w ON w.doc_id = r.doc_id AND w.up = r.path GROUP BY ALL),
+leaf AS (SELECT r.doc_id, r.shards, arg_min(w.shard, w.draw) AS shard FROM rack r JOIN draws w ON w.doc_id = r.doc_id AND w.up = r.path GROUP BY ALL)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, a.shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY ('0x' || substr(md5(d.doc_id || '|' || size || '|' || text_crc32), 1, 13))::BIGINT, d.doc_id, size, text_crc32) - 1 AS slot,
+       b.shard::INTEGER AS grown_shard
+FROM d JOIN leaf a ON a.doc_id = d.doc_id AND a.shards = 8 JOIN leaf b ON b.doc_id = d.doc_id AND b.shards = 9
+"""

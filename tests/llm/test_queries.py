@@ -19,7 +19,7 @@ def test_against_sql(spark, sf_dir, name):
 
 
 def test_a_query_for_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_against_brute_force(spark):
