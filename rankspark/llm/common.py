@@ -175,3 +175,86 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def run_key(*columns: str) -> Column:
     """A 64-bit row key of columns, nulls included (used to keep equal rows together)."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all maximal runs of True that stay within a row, and per row the index
+    of its first run (n + 1 entries)."""
+    n = len(solid)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before = np.zeros(n, bool)
+    before[1:] = solid[:-1]
+    starts = np.flatnonzero(solid & (~before | edge[:-1]))
+    after = np.zeros(n, bool)
+    after[:-1] = solid[1:]
+    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def chunks(solid: np.ndarray, offsets: np.ndarray, size: int = SLICE_BYTES):
+    """Byte ranges of about ``size`` bytes that cut no run, and the rows' offsets within each: so
+    work arrays grow neither with the rows of a batch nor with a text (a run stays whole)."""
+    at, n = 0, len(solid)
+    while at < n:
+        stop = min(at + size, n)
+        if stop < n:
+            gaps = np.flatnonzero(~solid[at + 1: stop + 1])
+            rows = np.searchsorted(offsets, [at + 1, stop], "right")
+            cut = max(at + 1 + int(gaps[-1]) if len(gaps) else 0, int(offsets[rows[1] - 1]) if rows[1] > rows[0] else 0)
+            if cut <= at:  # one run fills the range: go on to its end
+                later = np.flatnonzero(~solid[stop:])
+                row = int(offsets[np.searchsorted(offsets, stop, "left")])
+                cut = min(stop + int(later[0]) if len(later) else n, row)
+            stop = cut
+        yield at, stop, np.clip(offsets, at, stop) - at
+        at = stop
+
+
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of many spans, one behind the other."""
+    first = np.zeros(len(starts), np.int64)
+    np.cumsum(lengths[:-1], out=first[1:])
+    return data[np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - first, lengths)]
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether span i of ``a`` and span i of ``b``, both of lengths[i] >= 1 bytes, are equal."""
+    if len(lengths) == 0:
+        return np.zeros(0, bool)
+    first = np.zeros(len(lengths), np.int64)
+    np.cumsum(lengths[:-1], out=first[1:])
+    return np.logical_and.reduceat(gather(a, a_starts, lengths) == gather(b, b_starts, lengths), first)
+
+
+class Lookup:
+    """Numbers of known byte strings: by hash, then every hit is compared byte by byte."""
+
+    def __init__(self, words: pa.Array):
+        """``words``: distinct, none empty; number = position."""
+        self.data, offsets = text_buffers(words)
+        hashes = word_hashes(self.data, offsets[:-1], offsets[1:])
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts = hashes[self.order], offsets[:-1][self.order]
+        self.lengths = np.diff(offsets)[self.order]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Number of every span, -1 for unknown ones. ``hashes``: those of the spans, if known."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self.hashes) or not len(starts):
+            return out
+        hashes = word_hashes(data, starts, ends) if hashes is None else hashes
+        at = np.searchsorted(self.hashes, hashes)
+        todo = np.flatnonzero(at < len(self.hashes))
+        todo = todo[self.hashes[at[todo]] == hashes[todo]]
+        while len(todo):  # words with one hash stand together: try the next until the bytes agree
+            k = at[todo]
+            fits = self.lengths[k] == (ends - starts)[todo]
+            some = todo[fits]
+            fits[fits] = equal_spans(data, starts[some], self.data, self.starts[k[fits]], self.lengths[k[fits]])
+            out[todo[fits]] = self.order[k[fits]]
+            todo = todo[~fits]
+            at[todo] += 1
+            todo = todo[at[todo] < len(self.hashes)]
+            todo = todo[self.hashes[at[todo]] == hashes[todo]]
+        return out
