@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, exact_dedup, html_mincut, language, lexical_search, line_dedup, minhash, pieces, pii, sharding, substring_dedup, warc
+from rankspark.llm import collocations, decontaminate, exact_dedup, html_mincut, language, lexical_search, line_dedup, minhash, pieces, pii, sharding, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -191,3 +191,38 @@ p AS (SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 1
 r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM p WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+w AS (SELECT id, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM p),
+g AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5
+      FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS phrase, count(*) FROM g WHERE w5 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+u AS (SELECT c.lang, c.phrase, c.a, u.k AS cut, x.f AS l, y.f AS r
+      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS at FROM c) c JOIN (VALUES (1), (2), (3), (4)) u(k) ON u.k = c.at
+      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:u.k], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[u.k + 1:], ' ')),
+s AS (SELECT u.*, n, ((1000::HUGEINT * a * n) // (l::HUGEINT * r))::BIGINT AS score FROM u JOIN n USING (lang)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS j FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
