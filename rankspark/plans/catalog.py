@@ -42,6 +42,7 @@ def load_all() -> dict[str, Query]:
     from rankspark.plans import (  # noqa: F401
         q_embeddings,
         q_events,
+        q_files,
         q_orders,
         q_prompts,
         q_responses,

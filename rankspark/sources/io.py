@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.operators.prepare import normalise_missing
+from rankspark.sources import split_csv
 
 # --- fixed values: names of the exchange files and the canonical columns they map to --------
 RESPONSE_COLUMNS = {
@@ -66,23 +67,32 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] | None = None) -> Data
 
 
 def read_responses(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None,
-                   schema: T.StructType | str | None = None, missing_tokens: bool = True) -> DataFrame:
-    """IO-1 + PF-1 + PF-2: header CSV with quoted multi-line text, canonical column names,
-    pandas-style missing tokens turned into nulls, and keys and indices as numbers
-    (``COLUMN_TYPES``). Without a schema nothing is inferred from the data; a key that is no
-    number raises when read."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE"))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = map_columns(reader.csv(path), mapping)
+                   schema: T.StructType | str | None = None, missing_tokens: bool = True, key: str | None = "row_id") -> DataFrame:
+    """IO-1 + PF-1 + PF-2 + PF-10: header CSV with quoted multi-line text, read by many tasks per
+    file (``split_csv``); canonical column names, pandas-style missing tokens turned into nulls, and
+    keys and indices as numbers (``COLUMN_TYPES``). Without a schema nothing is inferred from the
+    data; a key that is no number raises when read. Files without column ``key`` get it: the row's
+    place in file order, the same at every read."""
+    df = map_columns(split_csv.read_csv(spark, path, schema, key="__place"), mapping)
     if missing_tokens:
         df = normalise_missing(df)
+    df = df.withColumnRenamed("__place", key) if key is not None and key not in df.columns else df.drop("__place")
     return df.select(*[F.col(f"`{c}`").cast(COLUMN_TYPES[c]).alias(c) if c in COLUMN_TYPES else F.col(f"`{c}`") for c in df.columns])
 
 
+def write_responses(df: DataFrame, path: str, key: str = "row_id", header: Mapping[str, str] | None = None) -> None:
+    """IO-1, the other way: a response table as header CSV in the order of ``key`` (files by ranges
+    of the key, sorted inside), with the file format's column names. Nulls become empty fields,
+    empty texts quoted ones; Spark reads both back as null."""
+    names = {v: k for k, v in RESPONSE_COLUMNS.items()} | dict(header or {})
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    out = ordered.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+    out.write.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
 def with_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
-    """PF-10: add a key when the file has none (persist the result before relying on it)."""
+    """PF-10 for tables that do not come from ``read_responses``: a unique key in partition order,
+    not repeatable (persist the result before relying on it)."""
     return df if col in df.columns else df.withColumn(col, F.monotonically_increasing_id())
 
 

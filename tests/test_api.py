@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.operators import fit, metrics, prepare, profile, ranking
+from rankspark.session import stored
 from rankspark.sources import fixtures as fx
 from rankspark.sources.io import map_columns
 
@@ -17,7 +18,7 @@ def test_column_map_renames(spark):
 
 def test_prepare_shapes(spark, sf_dir):
     p = prepare.prepare(fx.responses(spark, sf_dir), k=5, seed=42, dedup_keys=("mc_answer", "explanation"))
-    clean = p.clean.cache()
+    clean = stored(p.clean, "clean")
     n = clean.count()
     assert n == clean.select("row_id").distinct().count()
     k = p.labels.count()

@@ -19,7 +19,7 @@ def test_items_jsonl_round_trip(spark, scratch):
         f.write(json.dumps({"row_id": 1, "bundle": {"QuestionText": "q", "MC_Answer": "a"},
                             "suffixes": ["x", "y"], "label": 1}) + "\n")
         f.write("{not json\n")
-    items = io.read_items(spark, path).cache()
+    items = io.read_items(spark, path)
     good = items.where(F.col("_corrupt_record").isNull()).collect()
     assert len(good) == 1 and good[0]["suffixes"] == ["x", "y"] and good[0]["bundle"]["question"] == "q"
     assert items.where(F.col("_corrupt_record").isNotNull()).count() == 1
