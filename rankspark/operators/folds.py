@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators.windows import buckets_for, hash_bucket, running_start, split_row_number
+from rankspark.operators.windows import global_row_number
 
 
 def shuffle_key(key: str, seed: int) -> F.Column:
@@ -13,11 +13,8 @@ def shuffle_key(key: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-HASH_DIGITS = 7  # hex digits of the shuffle key that buckets are cut from (268 M values)
-
-
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: int = 42,
-                     out: str = "fold", buckets: int | None = None) -> DataFrame:
+                     out: str = "fold", ranges: int | None = None) -> DataFrame:
     """WN-4: stratified shuffled k-fold.
 
     Rows are ordered by (stratum, seeded hash); the fold is (global position - 1) mod k.
@@ -26,19 +23,12 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: in
     total fold sizes differ by at most 1 too. Rows without a stratum are a stratum of their
     own, ordered last; every row gets a fold.
 
-    The position within a stratum comes from ``split_row_number`` over equal ranges of the
-    hash, numbered by separate tasks, so a stratum with a third of all rows is spread out.
-    ``buckets`` per stratum defaults to what the row count asks for. The stratum sizes are
-    summed from the same counts.
+    The position comes from a sample sort, so neither a stratum with a third of all rows nor one
+    stratum per row meets in one task. ``ranges`` defaults to what the row count asks for.
     """
-    if buckets is None:
-        buckets = buckets_for(df.select(key).count())
     src = df.withColumn("__h", shuffle_key(key, seed))
-    src = src.withColumn("__b", F.floor(hash_bucket(F.col("__h"), HASH_DIGITS).cast("long") * F.lit(buckets) / F.lit(16 ** HASH_DIGITS)).cast("int"))
-    sizes = src.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__n")).groupBy(stratum).agg(F.sum("__n").alias("n"))
-    start = running_start(sizes, [stratum])
-    ranked = split_row_number(src, [stratum], [F.col("__h"), F.col(key)], ["__b"], "__g", start=start)
-    return ranked.withColumn(out, ((F.col("__g") - 1) % k).cast("int")).drop("__h", "__b", "__g")
+    ranked, _ = global_row_number(src, [stratum, "__h", key], "__g", ranges=ranges)
+    return ranked.withColumn(out, ((F.col("__g") - 1) % k).cast("int")).drop("__h", "__g")
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, key: str, fold_col: str = "fold") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.text import (
@@ -15,6 +15,7 @@ from rankspark.functions.text import (
     null_tokens,
 )
 from rankspark.operators.joins import lookup_join
+from rankspark.operators.windows import global_row_number
 from rankspark.session import stored
 
 
@@ -63,14 +64,11 @@ def with_label(df: DataFrame, category: str = "category", misconception: str = "
 
 
 def label_vocab(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """AG-2 + WN-1: sorted distinct labels with a dense 0-based index.
-
-    The numbering window has no partition key; it runs on the distinct labels only (one row a
-    label), whatever the size of the data.
-    """
+    """AG-2 + WN-1: sorted distinct labels with a dense 0-based index, by a sample sort of the
+    distinct labels (stored), however many there are."""
     distinct = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    idx = (F.row_number().over(Window.orderBy("label")) - 1).cast("long")
-    return distinct.select("label", idx.alias("label_idx"))
+    numbered, _ = global_row_number(distinct, ["label"], "label_idx")
+    return numbered.select("label", (F.col("label_idx") - 1).alias("label_idx"))
 
 
 def encode_labels(df: DataFrame, vocab: DataFrame, label_col: str = "label", out: str = "label_idx",

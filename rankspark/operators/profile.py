@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.text import ASSESSMENTS, answer_correct, assessment, has_misconception, word_count_arrow
-from rankspark.operators.windows import ROWS_PER_BUCKET, buckets_for, range_bucket, split_row_number
+from rankspark.operators.windows import ROWS_PER_RANGE, global_row_number
 from rankspark.session import stored
 
 
@@ -128,32 +128,14 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def rank_first(df: DataFrame, value: str, order_col: str = "row_id", out: str = "rnk",
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """WN-2: rank by value, ties by ``order_col`` (pandas ``rank(method="first")``). Rows without
     a value are ranked after all others, so every row has a rank.
 
-    A global order without a global window over the data: ``split_row_number`` over
-    buckets of (value, order-range), so even a value shared by a third of the rows is
-    numbered by several tasks; the offsets of those buckets are summed per equal-width
-    value range. Both bucket counts follow the row count.
-
-    The input is read several times (statistics, counts, numbering), so its narrow form is
-    stored: project it to the needed columns first. ``order_col`` must be numeric.
+    A sample sort on (value, order_col), both of any ordered type: a value shared by a third of the
+    rows is spread over as many ranges as its rows need. The input is stored; project it first.
     """
-    return _rank_first(stored(df, "rank-input"), value, order_col, out, rows_per_bucket)[0]
-
-
-def _rank_first(df, value, order_col, out, rows_per_bucket):
-    n, lo, hi, vlo, vhi = df.agg(
-        F.count(F.lit(1)), F.min(order_col), F.max(order_col),
-        F.min(value).cast("double"), F.max(value).cast("double"),
-    ).first()
-    buckets = buckets_for(n, rows_per_bucket)
-    src = df.withColumn("__ob", range_bucket(F.col(order_col), lo or 0, hi or 0, buckets))
-    coarse = range_bucket(F.col(value), vlo or 0.0, vhi or 0.0, max(64, buckets))
-    coarse = F.when(F.col(value).isNotNull(), coarse)
-    ranked = split_row_number(src, [], [F.col(value), F.col(order_col)], [value, "__ob"], out, coarse=coarse)
-    return ranked.drop("__ob"), n
+    return global_row_number(df, [value, order_col], out, rows_per_range)[0]
 
 
 def decile(rank_col: str, n: int) -> F.Column:
@@ -169,9 +151,9 @@ def decile(rank_col: str, n: int) -> F.Column:
 
 
 def length_deciles(df: DataFrame, value: str = "n_words", order_col: str = "row_id",
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """WN-2 + WN-3: ``rnk`` and ``decile`` per row (input stored; project it first)."""
-    ranked, n = _rank_first(stored(df, "rank-input"), value, order_col, "rnk", rows_per_bucket)
+    ranked, n = global_row_number(df, [value, order_col], "rnk", rows_per_range)
     return ranked.withColumn("decile", decile("rnk", n))
 
 

@@ -1,15 +1,10 @@
-"""Skew-safe row numbering.
+"""Numbering rows in a global order by sample sort.
 
-``row_number() over (partition by P order by O)`` sends a whole partition group to one
-task; with a key that holds a third of all rows, one task sorts a third of the data, and
-without ``P`` everything goes through a single partition. Here the order is cut into
-buckets that follow the order (``B`` must be non-decreasing along ``O`` within ``P``):
-
-    row_number = offset(P, B) + row_number() over (partition by P, B order by O)
-
-``offset(P, B)`` = rows of the same ``P`` in earlier buckets, a running sum over the small
-table of counts per ``(P, B)``. A hot group is spread over its buckets. Null keys are groups of
-their own; in every order nulls come last.
+``row_number() over (order by O)`` sends all rows to one task. Here Spark samples the rows and deals
+them out by ranges of the whole order key, the tie-breaking column included, so a value that a third
+of all rows share is split like any other. Every range is sorted and counted by its own task; the
+rows before a range are a running sum over one row per range. The order key may be of any ordered
+type. The dealt rows are written once, so counting and numbering see the same ranges.
 """
 
 from __future__ import annotations
@@ -19,14 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.operators.joins import lookup_join
+from rankspark.session import stored
 
-_OFF = "__rs_offset"
-_CNT = "__rs_count"
-_CO = "__rs_coarse"
-
-# Rows that one numbering task sorts at most, about; bucket counts are sized from it.
-ROWS_PER_BUCKET = 1_000_000
+# Rows that one task sorts, about; the number of ranges is sized from it.
+ROWS_PER_RANGE = 1_000_000
+# monotonically_increasing_id: the partition above these bits, the row's place in it below.
+_PLACE_BITS = 33
 
 
 def _last(c: Column | str) -> Column:
@@ -34,79 +27,32 @@ def _last(c: Column | str) -> Column:
     return F.asc_nulls_last(c) if isinstance(c, str) else c.asc_nulls_last()
 
 
-def split_row_number(
-    df: DataFrame,
-    partition_cols: Sequence[str],
-    order_cols: Sequence[Column | str],
-    bucket_cols: Sequence[str],
-    out: str = "rn",
-    coarse: Column | None = None,
-    start: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``out`` = 1-based row number within ``partition_cols`` ordered by ``order_cols``.
-
-    ``bucket_cols`` are existing columns, monotone along the order; each data group
-    ``(P, B)`` is numbered by its own task, so a hot key is spread over its buckets.
-
-    The offsets come from the table of counts per ``(P, B)``. Its running sum is again
-    split: ``coarse`` (an expression over the bucket columns, monotone along the order,
-    with a bounded number of values) groups count rows, so the running sums are
-    partitioned by ``(P, coarse)`` and only one row per coarse group goes through the
-    final running window. ``start`` optionally adds a per-partition starting offset
-    (``P`` columns plus ``__rs_start``). Every row is numbered, null keys included.
-    """
-    part = list(partition_cols)
-    keys = part + list(bucket_cols)
-    run = (Window.unboundedPreceding, Window.currentRow)
-    if coarse is None:
-        coarse = F.lit(0)
-    # one row per (P, B); both uses below read one shuffled aggregate
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT)).withColumn(_CO, coarse)
-    # running sum inside each (P, coarse) group
-    w_in = Window.partitionBy(*part, _CO).orderBy(*[_last(c) for c in bucket_cols]).rowsBetween(*run)
-    inner = counts.withColumn(_OFF, F.sum(_CNT).over(w_in) - F.col(_CNT))
-    # offset of each coarse group inside P: small table, one row per (P, coarse)
-    groups = counts.groupBy(*part, _CO).agg(F.sum(_CNT).alias("__rs_g"))
-    w_g = (Window.partitionBy(*part).orderBy(_last(_CO)) if part else Window.orderBy(_last(_CO))).rowsBetween(*run)
-    groups = groups.select(*part, _CO, (F.sum("__rs_g").over(w_g) - F.col("__rs_g")).alias("__rs_goff"))
-    offsets = _null_safe(inner, groups, part + [_CO]).select(*keys, (F.col(_OFF) + F.col("__rs_goff")).alias(_OFF))
-    if start is not None:
-        offsets = _null_safe(offsets, start, part).select(*keys, (F.col(_OFF) + F.col("__rs_start")).alias(_OFF))
-    within = Window.partitionBy(*keys).orderBy(*[_last(c) for c in order_cols])
-    numbered = df.withColumn("__rs_within", F.row_number().over(within))
-    joined = lookup_join(numbered, offsets, keys, "inner", null_safe=True)
-    return joined.withColumn(out, F.col(_OFF) + F.col("__rs_within")).drop(_OFF, "__rs_within")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys where null equals null; the right keys go."""
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    match = F.lit(True)
-    for k in keys:
-        match = match & left[k].eqNullSafe(renamed[f"__r_{k}"])
-    return left.join(renamed, match).drop(*[f"__r_{k}" for k in keys])
-
-
-def running_start(sizes: DataFrame, key_cols: Sequence[str], count_col: str = "n") -> DataFrame:
-    """Starting offset of each key in key order (nulls last): rows of all earlier keys, as
-    ``__rs_start``. A running window over one row per key."""
-    w = Window.orderBy(*[_last(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sizes.select(*key_cols, (F.sum(count_col).over(w) - F.col(count_col)).alias("__rs_start"))
-
-
-def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Buckets that hold about ``rows_per_bucket`` of ``rows`` rows each."""
-    return max(1, -(-rows // rows_per_bucket))
-
-
-def hash_bucket(c: Column, n_hex: int = 3) -> Column:
-    """Bucket of a hex digest column by its first ``n_hex`` digits (16**n_hex buckets)."""
-    return F.conv(F.substring(c, 1, n_hex), 16, 10).cast("int")
-
-
-def range_bucket(c: Column, lo: float, hi: float, n: int) -> Column:
-    """Equal-width bucket of a numeric column over [lo, hi] into n buckets (monotone)."""
-    if hi <= lo:
-        return F.lit(0)
-    b = F.floor((c.cast("double") - F.lit(float(lo))) * n / F.lit(float(hi - lo)))
-    return F.least(F.greatest(b, F.lit(0)), F.lit(n - 1)).cast("int")
+def sample_sort(df: DataFrame, order_cols: Sequence[Column | str], ranges: int) -> DataFrame:
+    """The rows with ``__range`` (rising along the order) and ``__place`` (from 0, in the order, within
+    the range), stored."""
+    order = [_last(c) for c in order_cols]
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    return placed.select(*df.columns, F.shiftright("__at", _PLACE_BITS).alias("__range"), F.col("__at").bitwiseAND((1 << _PLACE_BITS) - 1).alias("__place"))
+
+
+def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out: str = "rn",
+                      rows_per_range: int = ROWS_PER_RANGE, ranges: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``out`` = 1-based row number in the order of ``order_cols``, nulls last, and return the
+    number of rows too. The last order column should be a unique key: rows that are equal in all of
+    them cannot be split and are numbered in any order.
+
+    The input is stored, so project it to the narrow columns that are needed."""
+    src = stored(df, "rows")
+    n = src.count()
+    ranges = max(1, -(-n // rows_per_range)) if ranges is None else ranges
+    if ranges == 1:
+        one = src.coalesce(1).sortWithinPartitions(*[_last(c) for c in order_cols])
+        return one.withColumn(out, F.monotonically_increasing_id() + 1), n
+    placed = sample_sort(src, order_cols, ranges)
+    # one row per range
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    numbered = placed.join(offsets, "__range").withColumn(out, F.col("__off") + F.col("__place") + 1)
+    return numbered.drop("__range", "__place", "__off"), n

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.text import ASSESSMENTS, NA_TOKENS, label_string, parse_candidates
 from rankspark.operators import prepare, profile
+from rankspark.operators.windows import global_row_number
 from rankspark.plans import oracle as O
 from rankspark.plans.catalog import register
 from rankspark.sources import fixtures as fx
@@ -332,7 +333,29 @@ def q_hist_responses(spark, sf):
 def q_rank_with_missing(spark, sf):
     """A value that most rows lack and few values share: null rows are ranked last."""
     r = fx.responses(spark, sf).select("row_id", F.expr("substr(misconception, 2)").cast("long").alias("m"))
-    return profile.rank_first(r, "m", rows_per_bucket=500).select("row_id", "m", "rnk")
+    return profile.rank_first(r, "m", rows_per_range=500).select("row_id", "m", "rnk")
+
+
+@register(
+    "rank_text_key",
+    R + """SELECT row_id, mc_answer, CAST(row_number() OVER (ORDER BY mc_answer NULLS LAST, question_id NULLS LAST, row_id) AS BIGINT) AS rnk FROM responses""",
+    ("WN-2",),
+)
+def q_rank_text_key(spark, sf):
+    """Text keys, one of them held by more than half of the rows, over ranges of 150 rows."""
+    r = fx.responses(spark, sf).select("row_id", "mc_answer", "question_id")
+    return global_row_number(r, ["mc_answer", "question_id", "row_id"], "rnk", rows_per_range=150)[0].select("row_id", "mc_answer", "rnk")
+
+
+@register(
+    "text_vocabulary",
+    R + """SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_idx FROM (SELECT DISTINCT md5(explanation) AS label FROM responses WHERE explanation IS NOT NULL) t""",
+    ("AG-2", "WN-1"),
+)
+def q_text_vocabulary(spark, sf):
+    """A vocabulary with an entry per distinct answer: as large as the data, numbered by ranges."""
+    distinct = fx.responses(spark, sf).select(F.md5("explanation").alias("label")).where("label IS NOT NULL").distinct()
+    return global_row_number(distinct, ["label"], "n", rows_per_range=200)[0].select("label", (F.col("n") - 1).alias("label_idx"))
 
 
 @register(

@@ -9,22 +9,27 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import arrays as A
 from rankspark.operators import ensemble, folds, metrics, profile, ranking
-from rankspark.operators.windows import range_bucket, split_row_number
+from rankspark.operators.windows import global_row_number, sample_sort
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 @SETTINGS
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 8))
-def test_split_row_number_equals_global_window(spark, values, buckets):
-    # a hot value: a third of the rows share value 0
+def test_sample_sort_equals_global_window(spark, values, ranges):
+    # a hot value: a third of the rows share value 0; text keys, some of them null
     rows = [(i, v) for i, v in enumerate(values)] + [(1000 + i, 0) for i in range(len(values) // 2)]
-    df = spark.createDataFrame(rows, "id long, v long").repartition(3)
-    lo, hi = min(r[0] for r in rows), max(r[0] for r in rows)
-    src = df.withColumn("b", range_bucket(F.col("id"), lo, hi, buckets))
-    got = {r["id"]: r["rn"] for r in split_row_number(src, [], ["v", "id"], ["v", "b"]).collect()}
-    want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.orderBy("v", "id"))).collect()}
-    assert got == want
+    df = spark.createDataFrame([(i, None if v == 5 else f"k{v}") for i, v in rows], "id long, v string").repartition(3)
+    numbered, n = global_row_number(df, ["v", "id"], ranges=ranges)
+    got = {r["id"]: r["rn"] for r in numbered.collect()}
+    want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(Window.orderBy(F.asc_nulls_last("v"), "id"))).collect()}
+    assert got == want and n == len(rows)
+
+
+def test_a_hot_key_is_spread_over_ranges(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("v"))
+    sizes = [r["count"] for r in sample_sort(df, ["v", "id"], 10).groupBy("__range").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 3000 and max(sizes) < 600
 
 
 @SETTINGS
@@ -32,7 +37,7 @@ def test_split_row_number_equals_global_window(spark, values, buckets):
 def test_stratified_folds_balanced(spark, strata, k):
     rows = [(i, s) for i, s in enumerate(strata)]
     df = spark.createDataFrame(rows, "id long, s string")
-    f = folds.stratified_folds(df, "id", "s", k=k, seed=7, buckets=16)
+    f = folds.stratified_folds(df, "id", "s", k=k, seed=7, ranges=4)
     assert f.count() == len(rows)
     per = f.groupBy("s", "fold").count().collect()
     by_s = {}

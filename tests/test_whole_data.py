@@ -24,8 +24,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def test_folds_of_rows_without_a_stratum(spark, sf_dir):
     r = fx.responses(spark, sf_dir).select("row_id", "category")
-    for buckets in (None, 1, 7):
-        f = folds.stratified_folds(r, "row_id", "category", 5, 42, buckets=buckets)
+    for ranges in (None, 1, 7):
+        f = folds.stratified_folds(r, "row_id", "category", 5, 42, ranges=ranges)
         sizes = {x["fold"]: x["count"] for x in f.groupBy("fold").count().collect()}
         assert sum(sizes.values()) == r.count() and max(sizes.values()) - min(sizes.values()) <= 1
         null = [x["count"] for x in f.where("category IS NULL").groupBy("fold").count().collect()]
@@ -35,7 +35,7 @@ def test_folds_of_rows_without_a_stratum(spark, sf_dir):
 def test_null_values_are_ranked_last(spark):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4) for i in range(30)], "row_id long, v long")
     for size in (1_000_000, 4):
-        got = {r["row_id"]: r["rnk"] for r in profile.rank_first(df, "v", rows_per_bucket=size).collect()}
+        got = {r["row_id"]: r["rnk"] for r in profile.rank_first(df, "v", rows_per_range=size).collect()}
         want = sorted(range(30), key=lambda i: (i % 3 == 0, i % 4 if i % 3 else 0, i))
         assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == want and sorted(got.values()) == list(range(1, 31))
     d = profile.length_deciles(df, "v").groupBy("decile").count().collect()
