@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         q_embeddings,
         q_events,
         q_files,
+        q_fit,
         q_orders,
         q_prompts,
         q_responses,
