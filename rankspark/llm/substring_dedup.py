@@ -35,10 +35,16 @@ FILTER_BITS = 12
 FILTER_PROBES = 5
 FILTER_BYTES = 64 * 2**20
 FILTER_BLOCKS = 64
-#: Anchors, and distinct segments, that a task gathers before it hands them on.
-#: Blocks are cut into more ranges than there are tasks, which evens out what a task gets.
-BLOCK_ANCHORS = 1_000_000
-BLOCK_SEGMENTS = 200_000
+#: Anchors, and bytes of distinct segments (their bookkeeping included), that a task gathers before
+#: it hands them on.
+BLOCK_ANCHORS = 500_000
+BLOCK_BYTES = 48 * 2**20
+SEGMENT_BYTES = 450
+#: Anchors, and segments, that a range holds, about. A task works on one range at a time, so its
+#: memory follows these numbers and not the rows that reach it; there are as many ranges as the
+#: counted rows ask for, and at least several per task.
+RANGE_ANCHORS = 250_000
+RANGE_SEGMENTS = 60_000
 
 
 def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
@@ -135,12 +141,29 @@ def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_range(batches):
+    """The rows of one range after the other, each as its columns but the first; rows come sorted."""
+    held: list[tuple] = []
+    now = None
+    for b in batches:
+        for i, place in enumerate(b.column(0).to_pylist()):
+            if place != now and held:
+                yield held
+                held = []
+            now = place
+            held.append(tuple(b.column(j)[i].as_buffer() for j in range(1, b.num_columns)))
+    if held:
+        yield held
+
+
 def _shared(batches):
-    """The anchors of a range that occur in different texts, with their number of rows."""
-    parts = [tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip((b.column(1)[i], b.column(2)[i], b.column(3)[i]), (np.uint64, np.int64, np.uint16), strict=True)) for b in batches for i in range(b.num_rows)]
-    if not parts:
-        return
-    hashes, keys, counts = map(np.concatenate, zip(*parts, strict=True))
+    """The anchors that occur in different texts, with their number of rows, range by range."""
+    for rows in _by_range(batches):
+        yield _shared_in(rows)
+
+
+def _shared_in(rows):
+    hashes, keys, counts = (np.concatenate([np.frombuffer(r[j], t) for r in rows]) for j, t in enumerate((np.uint64, np.int64, np.uint16)))
     order = np.argsort(hashes, kind="stable")
     hashes, keys, counts = hashes[order], keys[order], counts[order]
     fresh = np.ones(len(hashes), bool)
@@ -148,7 +171,7 @@ def _shared(batches):
     first = np.flatnonzero(fresh)
     several = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
     rows = np.add.reduceat(counts.astype(np.int64), first)
-    yield pa.record_batch([pa.array(hashes[first][several].view(np.int64)), pa.array(rows[several])], names=["anchor", "n"])
+    return pa.record_batch([pa.array(hashes[first][several].view(np.int64)), pa.array(rows[several])], names=["anchor", "n"])
 
 
 def _probes(hashes: np.ndarray, block_bits: int) -> np.ndarray:
@@ -256,6 +279,7 @@ def _segment_blocks(window: int, anchor: int, shared, hot, ranges: int):
 
     def run(batches):
         held: dict[bytes, list[int]] = {}
+        size = 0
         for b in bounded(batches, 1):
             found = _chosen(b.column(1), window, anchor, shared.value, hot.value)
             if not found:
@@ -266,13 +290,14 @@ def _segment_blocks(window: int, anchor: int, shared, hot, ranges: int):
                 seen = held.get(piece)
                 if seen is None:
                     held[piece] = [route, doc, doc]
+                    size += len(piece) + SEGMENT_BYTES
                 elif doc < seen[1]:
                     seen[1] = doc
                 elif doc > seen[2]:
                     seen[2] = doc
-            if len(held) >= BLOCK_SEGMENTS:
-                yield out(held)
-                held = {}
+                if size >= BLOCK_BYTES:
+                    yield out(held)
+                    held, size = {}, 0
         if held:
             yield out(held)
 
@@ -280,23 +305,21 @@ def _segment_blocks(window: int, anchor: int, shared, hot, ranges: int):
 
 
 def _shard(window: int):
-    """Index a shard's distinct segments and stream them through the index: per segment the
+    """Index each range's distinct segments and stream them through the index: per segment the
     smallest document that holds each of its windows, where some document of the segment is
     larger."""
 
     def run(batches):
+        for rows in _by_range(batches):
+            yield index(rows)
+
+    def index(rows):
         import xxhash
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        lows, highs, texts = [], [], []
-        for b in batches:
-            for i in range(b.num_rows):
-                lows.append(np.frombuffer(b.column(1)[i].as_buffer(), np.int64))
-                highs.append(np.frombuffer(b.column(2)[i].as_buffer(), np.int64))
-                texts.append(unpack(b.column(3)[i].as_py()))
-        if not texts:
-            return
+        lows, highs = [np.frombuffer(r[0], np.int64) for r in rows], [np.frombuffer(r[1], np.int64) for r in rows]
+        texts = [unpack(r[2]) for r in rows]
         pieces = b"\n".join(texts).split(b"\n")
         ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
         order = np.lexsort((ids[:, 1], ids[:, 0]))
@@ -318,21 +341,21 @@ def _shard(window: int):
         text[place] = inverse + 1
         value = np.full(len(text), np.iinfo(np.int64).max)
         value[place] = low[segment]
-        index = FMIndex(text, len(symbols) + 1, window)
+        fm = FMIndex(text, len(symbols) + 1, window)
         windows = sizes - window + 1
         owner = np.repeat(np.arange(n), windows)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = first[:-1][owner] + owner + inside
-        lo, hi = index.matching_statistics(begin)
+        lo, hi = fm.matching_statistics(begin)
         smallest = low[owner].copy()
         several = hi > lo
-        smallest[several] = index.interval_minimum(lo[several], hi[several], value)
+        smallest[several] = fm.interval_minimum(lo[several], hi[several], value)
         useful = np.zeros(n, bool)
         useful[owner[smallest < high[owner]]] = True
         keep = np.flatnonzero(useful)
         bounds = np.zeros(len(keep) + 1, np.int32)
         np.cumsum(windows[keep], out=bounds[1:])
-        yield pa.record_batch(
+        return pa.record_batch(
             [pa.array(s1[keep]), pa.array(s2[keep]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(smallest[useful[owner]]))],
             names=["s1", "s2", "holders"],
         )
@@ -351,14 +374,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     copies = described.join(owners, ["k1", "k2", "n_words"]).where("doc > owner").select("doc", "version", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
 
     width = shuffle_width(spark)
-    ranges = max(width, min(8 * width, 4096))
+    words = described.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    ranges = max(min(8 * width, 4096), 2 * words // (window - anchor + 2) // RANGE_ANCHORS + 1)
     blocks = docs.select("text").mapInArrow(_anchor_blocks(window, anchor, ranges), "range int, anchors binary, keys binary, counts binary")
-    shared = materialize(blocks.repartition(width, "range").mapInArrow(_shared, "anchor long, n long"), "shared-anchors")
+    shared = materialize(blocks.repartition(width, "range").sortWithinPartitions("range").mapInArrow(_shared, "anchor long, n long"), "shared-anchors")
     common = spark.sparkContext.broadcast(_filter(shared, "anchor"))
     crowded = spark.sparkContext.broadcast(_filter(shared.where(F.col("n") >= HOT_ANCHOR), "anchor"))
 
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(min(8 * width, 4096), rows // RANGE_SEGMENTS + 1)
     distinct = texts.select("doc", "text").mapInArrow(_segment_blocks(window, anchor, common, crowded, ranges), "range int, lo binary, hi binary, words binary")
-    held = distinct.repartition(width, "range").mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
+    held = distinct.repartition(width, "range").sortWithinPartitions("range").mapInArrow(_shard(window), "s1 long, s2 long, holders array<long>")
     segments = texts.mapInArrow(_occurrences(window, anchor, common, crowded), "s1 long, s2 long, doc long, version long, pos int")
     spread = segments.join(held, ["s1", "s2"])
     mask = sum((F.when(F.get("holders", F.lit(i)) < F.col("doc"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, window - anchor + 1)), F.when(F.get("holders", F.lit(0)) < F.col("doc"), F.lit(1)).otherwise(F.lit(0)))
