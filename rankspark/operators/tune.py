@@ -1,20 +1,26 @@
 """SC-8, ML-6, AG-18: trial draws, hyper-parameter search, best trial.
 
 Trials are drawn up front from seeded hashes of the trial number (no sampler state). Where the
-objective is a Spark expression, all trials are scored in one job; a user's Python objective runs
-once per trial from a small bounded driver thread pool. The best trial is an aggregate.
+objective is a Spark expression, all trials are scored in one job. A user's Python objective runs on
+the executors: as a mergeable state over a table that is read once for all trials (``search_over``),
+or as a plain function of the parameters (``search``). The best trial is an aggregate.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.operators.joins import collect_small
+from rankspark.session import stored
+
 
 @dataclass(frozen=True)
 class Param:
@@ -57,27 +63,119 @@ def score_trials(cases: DataFrame, trials: DataFrame, metric: Callable[[DataFram
 
 
 def search(spark: SparkSession, trials: DataFrame, objective: Callable[[dict], float | None],
-           max_parallel: int = 2) -> DataFrame:
-    """UF-3: run a user's ``objective(params) -> score`` per trial (each a Spark job) on a bounded
-    pool, for objectives that are no Spark expression.
-
-    The trial table is small by construction (one row per trial). A trial that raises has a null
-    score and its error text; if all raise, so does the search.
-    """
-    rows = [r.asDict() for r in trials.orderBy("trial").collect()]
-
-    def run(params: dict) -> dict:
-        try:
-            score = objective(params)
-            return {**params, "score": None if score is None else float(score), "error": None}
-        except Exception as e:  # noqa: BLE001 - a failed trial is reported, not fatal
-            return {**params, "score": None, "error": f"{type(e).__name__}: {e}"[:1000]}
-
-    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        out = list(pool.map(run, rows))
-    if out and all(r["error"] for r in out):
-        raise RuntimeError(f"every trial failed; the first: {out[0]['error']}")
-    return spark.createDataFrame(out, trials.schema.add("score", "double").add("error", "string"))
+           max_parallel: int | None = None) -> DataFrame:
+    """UF-3 for objectives that read no table: ``objective(params) -> score`` runs on the executors, one
+    trial at a time in up to ``max_parallel`` tasks.
+
+    A trial that raises has a null score and its error text; if all raise, so does the search."""
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf.copy()
+            results = [_tried(lambda p=p: objective(p)) for p in pdf.to_dict("records")]
+            out["score"] = pd.array([r for r, _ in results], "Float64")
+            out["error"] = [e for _, e in results]
+            yield out
+
+    dealt = trials.repartition(max_parallel or max(1, trials.count()), "trial")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema.fields)
+    return _checked(dealt.mapInPandas(run, f"{schema}, score double, error string"))
+
+
+class MergeObjective:
+    """UF-3 over a table: a trial's score from a state that grows row by row and merges.
+
+    ``add`` gets a batch of rows as a pandas frame. States must not depend on the order in which
+    rows come or states merge; they travel pickled, one per trial and task."""
+
+    def zero(self, params: dict):
+        raise NotImplementedError
+
+    def add(self, state, rows: pd.DataFrame, params: dict):
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        raise NotImplementedError
+
+    def score(self, state, params: dict) -> float | None:
+        raise NotImplementedError
+
+
+#: Trials whose states one pass may hold per task.
+MAX_TRIALS = 10_000
+_STATE = "trial long, part int, state binary, error string"
+
+
+def search_over(items: DataFrame, trials: DataFrame, objective: MergeObjective, trial_col: str = "trial") -> DataFrame:
+    """UF-3: score every trial over all rows of ``items`` in one pass.
+
+    Each task keeps a state per trial and hands it on once; states merge in two levels, so no task
+    gets those of all tasks. The driver runs no trial: it only reads the trial table (``MAX_TRIALS``).
+    A trial that raises anywhere has a null score and the first error's text and costs the others
+    nothing; if all raise, so does the search. Without rows a trial is scored on its zero state."""
+    spark = items.sparkSession
+    params = {r[trial_col]: r.asDict() for r in collect_small(trials, MAX_TRIALS, "trial table")}
+    parts = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) ** 0.5))
+    dump, load = cloudpickle.dumps, cloudpickle.loads
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["trial", "part", "state", "error"])
+
+    def zeros(batches):
+        for pdf in batches:
+            made = [(t, *_tried(lambda t=t: dump(objective.zero(params[t])), bytes)) for t in pdf["trial"].tolist()]
+            yield frame([(t, 0, s, e) for t, s, e in made])
+
+    def grow(batches):
+        states = {t: _tried(lambda p=p: objective.zero(p), None) for t, p in params.items()}
+        for pdf in batches:
+            for t, (state, error) in states.items():
+                if error is None:
+                    states[t] = _tried(lambda s=state, t=t: objective.add(s, pdf, params[t]), None)
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % parts
+        yield frame([(t, part, None if e else dump(s), e) for t, (s, e) in states.items()])
+
+    def merged(pdf):
+        errors = sorted(e for e in pdf["error"] if e is not None)
+        if errors:
+            return None, errors[0]
+        return _tried(lambda: functools.reduce(objective.merge, [load(s) for s in pdf["state"]]), None)
+
+    def combine(pdf):
+        state, error = merged(pdf)
+        return frame([(pdf["trial"].iloc[0], pdf["part"].iloc[0], None if error else dump(state), error)])
+
+    def finish(pdf):
+        state, error = merged(pdf)
+        trial, value = pdf["trial"].iloc[0], None
+        if error is None:
+            value, error = _tried(lambda: objective.score(state, params[trial]))
+        return pd.DataFrame({"trial": [trial], "score": pd.array([value], "Float64"), "error": [error]})
+
+    states = items.mapInPandas(grow, _STATE).unionByName(trials.select(F.col(trial_col).cast("long").alias("trial")).mapInPandas(zeros, _STATE))
+    states = states.groupBy("trial", "part").applyInPandas(combine, _STATE)
+    scored = states.groupBy("trial").applyInPandas(finish, "trial long, score double, error string")
+    return _checked(trials.join(scored.withColumnRenamed("trial", trial_col), trial_col, "left"))
+
+
+def _tried(call: Callable, kind: Callable | None = float):
+    """(result, None), or (None, the error's text): a failed trial is reported, not fatal."""
+    try:
+        result = call()
+        return (result if kind is None or result is None else kind(result)), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"[:1000]
+
+
+def _checked(results: DataFrame) -> DataFrame:
+    """The results, stored; raises if there are trials and all have failed."""
+    results = stored(results, "trials")
+    n, failed, error = results.agg(F.count(F.lit(1)), F.count("error"), F.min("error")).first()
+    if n and n == failed:
+        raise RuntimeError(f"every trial failed; one of the errors: {error}")
+    return results
 
 
 def best_trial(results: DataFrame, params: list[str], trial_col: str = "trial", score_col: str = "score") -> DataFrame:

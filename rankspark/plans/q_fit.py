@@ -6,12 +6,14 @@ Newton steps as a recursive query.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators import conditional, metrics
+from rankspark.operators import conditional, metrics, tune
 from rankspark.plans import oracle as O
 from rankspark.plans.catalog import register
+from rankspark.plans.q_events import N_TRIALS, SPACE, TRIALS_SQL
 from rankspark.sources import fixtures as fx
 
 N_FOLDS = fx.N_FOLDS_LEADERBOARD
@@ -91,3 +93,39 @@ def q_cv_shared_head(spark, sf):
             F.lit(l2).alias("l2"), "fold", "n_items", F.round("map", 6).alias("map"), F.lit(round(float(model.avgMetrics[i]), 6)).alias("mean_map"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+class BlendObjective(tune.MergeObjective):
+    """MAP@3 of two runs blended by a trial's weight, in numpy: the state counts the items and the
+    hits at each of the first three places. Weights above 8 are refused, to show failed trials."""
+
+    def zero(self, params):
+        if params["weight"] > 8:
+            raise ValueError(f"weight {params['weight']} above 8")
+        return np.zeros(4, np.int64)
+
+    def add(self, state, rows, params):
+        blend = params["weight"] * np.stack(rows["l0"]) + (10 - params["weight"]) * np.stack(rows["l1"])
+        true = rows["y_true"].to_numpy()
+        own = blend[np.arange(len(true)), true][:, None]
+        place = (blend > own).sum(1) + ((blend == own) & (np.arange(blend.shape[1]) < true[:, None])).sum(1)
+        return state + np.concatenate([[len(true)], np.bincount(place, minlength=3)[:3]])
+
+    def merge(self, a, b):
+        return a + b
+
+    def score(self, state, params):
+        return round(float(state[1:] @ [6, 3, 2]) / (6 * state[0]), 6) if state[0] else 0.0
+
+
+@register(
+    "trial_objective",
+    TRIALS_SQL + """SELECT trial, weight, CASE WHEN weight <= 8 THEN score END AS score,
+        CASE WHEN weight > 8 THEN 'ValueError: weight ' || weight || ' above 8' END AS error FROM trials JOIN scored USING (trial)""",
+    ("UF-3", "ML-6"),
+)
+def q_trial_objective(spark, sf):
+    """A user's Python objective over all events, all trials in one pass on the executors."""
+    two = fx.event_scores(spark, sf).where("run_id < 2").groupBy("item_id").agg(
+        F.max("y_true").alias("y_true"), *[F.max(F.when(F.col("run_id") == r, F.col("logits"))).alias(f"l{r}") for r in range(2)])
+    return tune.search_over(two, tune.trial_grid(spark, SPACE, N_TRIALS, seed=42), BlendObjective()).select("trial", "weight", "score", "error")
