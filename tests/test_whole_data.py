@@ -148,37 +148,40 @@ def test_trials_report_their_errors(spark):
         tune.search(spark, trials, lambda p: 1 / 0)
 
 
-class _Mean(tune.MergeObjective):
-    """The mean of column v plus the trial's shift; trial 1 fails on a row, trial 3 in the end."""
+def _mean():
+    class _Mean(tune.MergeObjective):
+        """The mean of column v plus the trial's shift; trial 1 fails on a row, trial 3 in the end."""
 
-    def zero(self, params):
-        return (0, 0)
+        def zero(self, params):
+            return (0, 0)
 
-    def add(self, state, rows, params):
-        if params["trial"] == 1 and (rows["v"] == 7).any():
-            raise ValueError("a seven")
-        return state[0] + int(rows["v"].sum()), state[1] + len(rows)
+        def add(self, state, rows, params):
+            if params["trial"] == 1 and (rows["v"] == 7).any():
+                raise ValueError("a seven")
+            return state[0] + int(rows["v"].sum()), state[1] + len(rows)
 
-    def merge(self, a, b):
-        return a[0] + b[0], a[1] + b[1]
+        def merge(self, a, b):
+            return a[0] + b[0], a[1] + b[1]
 
-    def score(self, state, params):
-        if params["trial"] == 3:
-            return 1 / 0
-        return state[0] / state[1] + params["trial"] if state[1] else None
+        def score(self, state, params):
+            if params["trial"] == 3:
+                return 1 / 0
+            return state[0] / state[1] + params["trial"] if state[1] else None
+
+    return _Mean()  # a class made here travels by value
 
 
 def test_trials_share_one_pass_over_the_rows(spark):
     trials = spark.range(4).withColumnRenamed("id", "trial")
     rows = spark.createDataFrame([(i,) for i in range(100)], "v long")
     for parts in (1, 9):
-        got = {r["trial"]: (r["score"], r["error"]) for r in tune.search_over(rows.repartition(parts), trials, _Mean()).collect()}
+        got = {r["trial"]: (r["score"], r["error"]) for r in tune.search_over(rows.repartition(parts), trials, _mean()).collect()}
         assert got[0] == (49.5, None) and got[2] == (51.5, None)
         assert got[1] == (None, "ValueError: a seven") and got[3][0] is None and "ZeroDivisionError" in got[3][1]
-    empty = {r["trial"]: r["score"] for r in tune.search_over(rows.where("v < 0"), trials, _Mean()).collect()}
+    empty = {r["trial"]: r["score"] for r in tune.search_over(rows.where("v < 0"), trials, _mean()).collect()}
     assert empty[0] is None and len(empty) == 4
     with pytest.raises(RuntimeError, match="every trial failed"):
-        tune.search_over(rows, trials.where("trial = 1"), _Mean())
+        tune.search_over(rows, trials.where("trial = 1"), _mean())
 
 
 def test_unlabelled_rows_are_no_class(spark):
