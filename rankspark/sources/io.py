@@ -152,6 +152,14 @@ def write_clean(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str = "row_id", buckets: int = 64) -> DataFrame:
+    """IO-7, co-located: a table in ``buckets`` files by the hash of ``key``, sorted by it. Two tables
+    bucketed alike join on the key without moving a row, so clean rows, folds, truth and predictions
+    (JN-5, JN-8) are shuffled once, when they are written. ``name``: a catalog table over ``path``."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_rankings(df: DataFrame, path: str) -> None:
     """IO-8: rankings as JSON lines, key included."""
     df.write.mode("overwrite").json(path)
