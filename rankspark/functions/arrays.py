@@ -85,7 +85,9 @@ def borda_points(ranks: Column | str) -> Column:
     ranks = _col(ranks)
     size = F.size(ranks)
     pairs = F.transform(ranks, lambda c, p: F.struct(c.alias("cand"), (size - p).cast("long").alias("pts")))
-    whole = F.array_sort(ranks.cast("array<long>")) == F.when(size > 0, F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    # K different entries from 0 to K-1
+    whole = (size == 0) | ((F.size(F.array_distinct(ranks)) == size) & (F.array_min(ranks) == 0) & (F.array_max(ranks) == size - 1))
+    whole = whole & ~F.exists(ranks, F.isnull)
     checked = F.when(F.coalesce(whole, F.lit(False)), pairs).otherwise(
         F.raise_error(F.concat(F.lit("not a permutation of 0..K-1: "), F.coalesce(F.to_json(ranks), F.lit("null"))))
     )

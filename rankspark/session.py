@@ -33,13 +33,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ranksp
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when the setting is unset (local tests)
-    a fresh scratch folder is created and registered.
+    A cluster names a shared folder there; only a local session (tests) without the setting gets a
+    fresh scratch folder, which is registered. Any other session without it raises: executors would
+    write to folders that nobody else sees.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="rankspark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

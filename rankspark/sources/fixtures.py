@@ -24,6 +24,8 @@ MISCONCEPTION_MOD = 7           # misconception name = 'M' || doc_id % 7
 N_FOLDS_LEADERBOARD = 5         # fold of an event item = item_id % 5
 # ------------------------------------------------------------------------------------------
 
+UNROLLED = 32                   # candidates up to which a score list is a plain array expression
+
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response table: documents with their (optional) labels.
@@ -72,10 +74,11 @@ def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> Data
     """Multi-run candidate scores, array form: ``run_id, item_id, y_true, logits``.
 
     One row per (run, item); ``logits[c]`` is the score of candidate c. Candidates are the
-    dense label indices 0..K-1, generated per row; K is a scalar subquery over the labels.
+    dense label indices 0..K-1, K from the stored labels. Up to ``UNROLLED`` candidates are written out
+    as plain expressions, which Spark compiles; longer lists are made by an array function.
     """
     labels = event_labels(spark, sf_dir)
-    k = labels.agg(F.count(F.lit(1)).alias("k")).scalar()
+    k = labels.count()
     events = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("event_type").alias("label"))
     ev = encode_labels(events, labels, out="y_true", how="inner").select("item_id", "y_true")
     runs = ev.select(
@@ -83,8 +86,12 @@ def event_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> Data
         "item_id",
         "y_true",
     )
-    logits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1), lambda c: _logit(F.col("item_id"), c, F.col("run_id"), F.col("y_true")))
-    return runs.withColumn("__k", k).select("run_id", "item_id", "y_true", logits.alias("logits"))
+    score = lambda c: _logit(F.col("item_id"), c, F.col("run_id"), F.col("y_true"))
+    if 0 < k <= UNROLLED:
+        logits = F.array(*[score(F.lit(c).cast("long")) for c in range(k)])
+    else:
+        logits = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), score)
+    return runs.select("run_id", "item_id", "y_true", logits.alias("logits"))
 
 
 def response_scores(spark: SparkSession, sf_dir: str, n_runs: int = N_RUNS) -> DataFrame:
