@@ -109,10 +109,12 @@ def boxplot_by(df: DataFrame, key: str, value: str, whis: float = 1.5, exact: bo
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """AG-12 / AG-13: equal-width histogram over [min, max], last bin closed (D-9).
 
-    One pass counts the values; range and bins come from those counts. The range is a scalar
-    subquery, empty bins are filled from the bin axis, and no values give no rows.
+    One pass counts the values, and the counts are stored: range and bins come from them, so the
+    input is read once and the value computed once a row. The range is a scalar subquery, empty bins
+    are filled from the bin axis, and no values give no rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counted = df.groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counted = stored(counted, "counts").where("__v IS NOT NULL")
     ends = counted.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).where("lo IS NOT NULL")
     pad = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     ends = ends.select((F.col("lo") - pad).alias("lo0"), (F.col("hi") + pad).alias("hi0"))
