@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.arrays import dot, max_abs, quantize
 from rankspark.operators.joins import TooLarge, share
+from rankspark.session import stored
 
 # The expression engine inlines heads as a literal; above this many numbers it is refused.
 LITERAL_MAX_WEIGHTS = 50_000
@@ -73,7 +74,8 @@ def centroid_heads(items: DataFrame, vec_col: str, label_col: str = "label", id_
 def head_matrix(heads: DataFrame, label_col: str = "label") -> tuple[list[int], list, np.ndarray]:
     """Collect heads (size checked) as (run ids, class labels, array [runs, classes, dim]).
 
-    Rows and width are measured by Spark before anything is fetched."""
+    The heads are computed once and stored; rows and width are measured before anything is fetched."""
+    heads = stored(heads, "heads")
     n, width = heads.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
     if n * (width or 0) > HEAD_MAX_WEIGHTS:
         raise TooLarge(f"a head matrix of {n} x {width} exceeds the driver bound")
