@@ -28,6 +28,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, tokens of context beside a trigger, documents to fit on.
 MAX_SEGMENT = 17
 CONTEXT = 3
+#: Tokens whose segments are scored at once; the search goes on over the border of such blocks.
+BLOCK_TOKENS = 400
+#: Longest region, in tokens, that the field is fitted on.
+TRAIN_TOKENS = 400
 TRAIN_DOCS = 250
 TRAIN_REGIONS = 600
 
@@ -37,6 +41,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# A match can only start where a run of digits starts: what follows a run decides for all its places.
+_IP_AT_RUN = re.compile(r"(?<![0-9])" + IP.pattern)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|dot)\s?[\])}]", re.I)
@@ -88,8 +94,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 done = m.end()
             at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        for m in IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        for m in _IP_AT_RUN.finditer(text):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -102,8 +108,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans (start, end) of the stretches around digits, at-signs and spelled-out signs."""
+def regions(text: str, most: int | None = None) -> list[list[tuple[int, int]]]:
+    """Token spans (start, end) of the stretches around digits, at-signs and spelled-out signs, as
+    long as they are, or cut behind ``most`` tokens."""
     out: list[list[tuple[int, int]]] = []
     end = 0
     for m in _TRIGGER.finditer(text):
@@ -120,20 +127,22 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
         for t in _TOKEN.finditer(text, start):
             tokens.append(t.span())
             quiet = 0 if _DIGIT.search(t[0]) or t[0] in "@[({" else quiet + 1
-            if quiet > CONTEXT + 3 or len(tokens) > 400:
+            if quiet > CONTEXT + 3 or (most is not None and len(tokens) > most):
                 break
         end = tokens[-1][1]
         out.append(tokens)
     return out
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+def candidates(text: str, tokens: list[tuple[int, int]], lo: int = 0, hi: int | None = None) -> list[tuple[int, int, np.ndarray]]:
     """Segments (first token, end token) that may be entities, with their feature vectors: they
-    start at a word or one of + ( and end at a word or ), and hold a digit or an at-sign form."""
+    start at a word or one of + ( and end at a word or ), and hold a digit or an at-sign form.
+    ``lo`` and ``hi`` bound the first token."""
     out = []
     n = len(tokens)
-    word = [text[a].isalnum() or text[a] == "_" for a, _ in tokens]
-    for i in range(n):
+    hi = n if hi is None else min(hi, n)
+    word = {lo + k: text[a].isalnum() or text[a] == "_" for k, (a, _) in enumerate(tokens[lo: hi + MAX_SEGMENT])}
+    for i in range(lo, hi):
         first = text[tokens[i][0]]
         if not (word[i] or first in "+("):
             continue
@@ -199,23 +208,34 @@ def _posterior_logs(n: int, bounds: list[tuple[int, int]], potentials: list[floa
     return [forward[i] + backward[j] - forward[n] for i, j in bounds]
 
 
-def viterbi(n: int, segments, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities (first token, end token, kind index)."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
+def _scored(segments, weights: np.ndarray):
+    """(first token, end token, best kind, its score) of every segment."""
+    if not segments:
+        return []
+    scores = np.array([x for _, _, x in segments]) @ weights.T
+    kinds = scores.argmax(1)
+    return [(i, j, int(k), float(row[k])) for (i, j, _), k, row in zip(segments, kinds, scores, strict=True)]
+
+
+def _search(n: int, blocks) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities. ``blocks``: (hi, scored segments whose first token lies below
+    hi and not in an earlier block), in order; what is kept per token is one number and, where an
+    entity ends, its start and kind."""
+    best, back = [0.0] * (n + 1), {}
     ends: dict[int, list[tuple[int, int, float]]] = {}
-    if segments:
-        scores = np.array([x for _, _, x in segments]) @ weights.T
-        for (i, j, _), row in zip(segments, scores, strict=True):
-            k = int(row.argmax())
-            ends.setdefault(j, []).append((i, k, float(row[k])))
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, k, score in ends.get(j, ()):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, k)
+    done = 0
+    for hi, scored in blocks:
+        for i, j, k, score in scored:
+            ends.setdefault(j, []).append((i, k, score))
+        for j in range(done + 1, hi + 1):
+            best[j] = best[j - 1]
+            for i, k, score in ends.pop(j, ()):
+                if best[i] + score > best[j]:
+                    best[j], back[j] = best[i] + score, (i, k)
+        done = hi
     out, j = [], n
     while j:
-        if back[j] is None:
+        if j not in back:
             j -= 1
         else:
             i, k = back[j]
@@ -224,6 +244,19 @@ def viterbi(n: int, segments, weights: np.ndarray) -> list[tuple[int, int, int]]
     return out[::-1]
 
 
+def viterbi(n: int, segments, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities (first token, end token, kind index)."""
+    return _search(n, [(n, _scored(segments, weights))])
+
+
+def decode(text: str, tokens: list[tuple[int, int]], weights: np.ndarray, block: int = BLOCK_TOKENS) -> list[tuple[int, int, int]]:
+    """``viterbi`` over a region of any length: segments are made and scored block by block, and the
+    search carries its state on, so entities lie across block borders like anywhere else."""
+    n = len(tokens)
+    bounds = [(lo, min(lo + block, n)) for lo in range(0, n, block)]
+    return _search(n, ((hi, _scored(candidates(text, tokens, lo, hi), weights)) for lo, hi in bounds))
+
+
 def evade(text: str, spans: list[tuple[str, int, int]]) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its emails and phones rewritten, and the spans in the new text."""
     parts, out, at, size = [], [], 0, 0
@@ -250,7 +283,7 @@ def training_regions(texts: list[str]):
     for text in texts:
         spans = base_spans(text)
         for body, gold in ((text, spans), evade(text, spans)):
-            for tokens in regions(body):
+            for tokens in regions(body, TRAIN_TOKENS):
                 starts = {a: i for i, (a, _) in enumerate(tokens)}
                 stops = {b: i + 1 for i, (_, b) in enumerate(tokens)}
                 inside = [(k, a, b) for k, a, b in gold if a < tokens[-1][1] and b > tokens[0][0]]
@@ -306,7 +339,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
     for tokens in regions(text):
         lo, hi = tokens[0][0], tokens[-1][1]
         near = [(a, b) for a, b in taken if a < hi and b > lo]
-        for i, j, k in viterbi(len(tokens), candidates(text, tokens), weights):
+        for i, j, k in decode(text, tokens, weights):
             a, b = tokens[i][0], tokens[j - 1][1]
             if all(b <= x or a >= y for x, y in near):
                 out.append((KINDS[k], a, b))
