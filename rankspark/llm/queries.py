@@ -106,11 +106,12 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_warc_transactions"] = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
        CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN keeper END AS refers_to
+       CASE WHEN strlen(body) >= 1000 AND page_id < keeper THEN keeper END AS refers_to,
+       regexp_replace(url, '[\r\n]', '%0A', 'g') AS request_uri, 'pageId: ' || page_id || chr(13) || chr(10) AS metadata_fields
 FROM k
 """
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import shared_dir
+from rankspark.llm.common import materialize, shared_dir
 
 #: Equal payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 1000
+#: Records of a file at most, and the bytes of payload it should hold, about: the counted mean size
+#: of a page decides which of the two binds.
 RECORDS_PER_FILE = 12_000
+FILE_BYTES = 64 * 2**20
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
@@ -76,7 +79,10 @@ def archive_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_by
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **options) -> None:
-    """Write the pages' records as gzip-compressed WARC files under ``path``."""
+    """Write the pages' records as gzip-compressed WARC files under ``path``. A file holds at most
+    ``records_per_file`` records, fewer if the pages' mean size asks for it."""
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    records_per_file = max(3, min(records_per_file, int(3 * FILE_BYTES / max(1, mean))))
     writer = archive_records(pages, **options).write.option("lineSep", RECORD_END).option("compression", "gzip")
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -154,7 +160,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archive ``pages`` (page_id, url, html; other columns are ignored) and read the captures
-    back: page_id, payload_bytes, payload_digest, record_type, refers_to per row.
+    back: page_id, payload_bytes, payload_digest, record_type, refers_to, request_uri (of the request
+    concurrent to the capture) and metadata_fields per row.
+
+    The archives are read and parsed once; the parsed records, without payloads, are stored and
+    assembled.
 
     Of equal payloads of at least MIN_REVISIT_BYTES the largest page_id is the response and the
     others revisit it. Null html is an empty payload; a null page_id counts as the smallest; rows
@@ -163,11 +173,14 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    captures = assemble(read_records(spark, path)).select(
-        "capture_id", "capture.*", F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"pageId: (-?\d+)", 1).try_cast("long").alias("page_id")
-    )
+    records = materialize(read_records(spark, path), "warc-records")
+    fields = F.get("metadata", F.lit(0))["fields"]
+    captures = materialize(assemble(records).select(
+        "capture_id", "capture.*", F.regexp_extract(fields, r"pageId: (-?\d+)", 1).try_cast("long").alias("page_id"),
+        F.get("request", F.lit(0))["target_uri"].alias("request_uri"), fields.alias("metadata_fields")), "warc-captures")
     targets = captures.where("type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("target_page"))
-    shown = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
+    shown = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "request_uri", "metadata_fields"]
     alone = captures.where("refers_to IS NULL").select(*shown, F.lit(None).cast("long").alias("refers_to"))
     again = captures.where("refers_to IS NOT NULL").join(targets, captures.refers_to == targets.target, "left")
-    return alone.unionByName(again.select(*shown, F.col("target_page").alias("refers_to")))
+    rows = alone.unionByName(again.select(*shown, F.col("target_page").alias("refers_to")))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request_uri", "metadata_fields")
