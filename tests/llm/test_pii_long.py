@@ -59,3 +59,16 @@ def test_an_added_span_behind_token_401():
     spans = pii.added_spans(text, [], weights)
     assert [(k, text[a:b]) for k, a, b in spans] == [("email", "bob [at] corp [dot] org")]
     assert re.search("bob", text)
+
+
+def test_the_sample_is_the_first_by_hash_however_it_is_cut(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(pii, "fit_weights", lambda texts: seen.append(texts))
+    docs = spark.createDataFrame([(f"text {i}",) for i in range(300)] + [("copy 1",)] * 2000 + [("none",), (None,)], "text string").repartition(7)
+    want = [r.text for r in docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(40).collect()]
+    pii.fit(docs, 40)
+    pii.fit(docs.where("text LIKE 'text%'"), 40)
+    pii.fit(docs.where("false"), 40)
+    assert seen[0] == want and len(seen[1]) == 40 and seen[2] == []
