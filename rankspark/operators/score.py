@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,21 +207,23 @@ def shared_head(items: DataFrame, weights: list[float], bias: float, vecs_col: s
     serve all candidates. Row-local: one batched product per Arrow batch, ragged lists and all.
     Null lists give null."""
     bc = share(items.sparkSession, (np.asarray(weights, dtype=np.float64), float(bias)))
-    columns = items.columns
+    at = items.columns.index(vecs_col)
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = bc.value
-        for pdf in batches:
-            lists = pdf[vecs_col].tolist()
-            sizes = [0 if x is None else len(x) for x in lists]
-            flat = np.array([v for x in lists if x is not None for v in x], dtype=np.float64).reshape(-1, len(w))
-            scores = flat @ w + b
-            ends = np.cumsum(sizes)
-            pdf[out] = [None if x is None else scores[e - n: e] for x, e, n in zip(lists, ends, sizes, strict=True)]
-            yield pdf
+        for batch in batches:
+            lists = batch.column(at)
+            vectors = lists.flatten()  # null lists have none
+            if vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != len(w)).any():
+                raise ValueError(f"candidate vectors must have the head's width of {len(w)}")
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(w))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+            starts = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
+            scores = pa.ListArray.from_arrays(starts, pa.array(flat @ w + b), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return items.select(*columns).mapInPandas(fn, f"{schema}, `{out}` array<double>")
+    return items.mapInArrow(fn, f"{schema}, `{out}` array<double>")
 
 
 def linear_score(items: DataFrame, heads: DataFrame, vec_col: str = "embedding", **kw) -> DataFrame:

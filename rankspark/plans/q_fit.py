@@ -84,7 +84,7 @@ SELECT l2, fold::INTEGER AS fold, n_items, round(map, 6) AS map, round(mean_map,
 @register("cv_shared_head", CV_SQL, ("ML-5",))
 def q_cv_shared_head(spark, sf):
     """Fits and scores: ``CrossValidator`` with a fold column, every value's held-out MAP@3 per fold."""
-    items = conditional.stored(stacked_items(spark, sf), "cv-items")
+    items = conditional.stored(stacked_items(spark, sf), "cv-items", "fold")
     model = conditional.cross_validate_grid(items, GRID, N_FOLDS, steps=STEPS, tol=0.0, parallelism=2)
     out = None
     for i, l2 in enumerate(GRID):

@@ -50,10 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame:
     """Write a (narrow) table to the shared folder and read it back: several passes then read the
-    result instead of computing it again, it survives lost executors, and nothing stays cached."""
+    result instead of computing it again, it survives lost executors, and nothing stays cached.
+    With ``partition_by`` columns a filter on them reads only the folders it needs."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rankspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    kept = spark.read.schema(df.schema).parquet(path)
+    return kept.select(*df.columns) if partition_by else kept

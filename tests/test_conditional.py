@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.operators import conditional, metrics, ranking
+from rankspark.operators import conditional, metrics, ranking, score
+from rankspark.session import stored
 
 SCHEMA = "item_id long, y_true long, fold int, candidates array<array<double>>"
 
@@ -90,3 +91,81 @@ def test_cross_validator_uses_the_fold_column(spark):
         z = np.array(r["candidates"]) @ model.bestModel.fitted.w
         assert r["ranks"] == list(np.argsort(-z, kind="stable")) and np.allclose(r["logits"], z)
     assert ranking.rank_candidates(oof.select("item_id", "y_true", "logits")).count() == 90
+
+
+@pytest.mark.parametrize("numbers", [conditional.MAX_WIDTH, 1])
+def test_folds_and_values_share_their_passes(spark, monkeypatch, numbers):
+    """The heads of all folds and values step together: passes and stored copies don't grow with folds x values."""
+    monkeypatch.setattr(conditional, "PASS_NUMBERS", numbers, raising=False)
+    df = spark.createDataFrame(_items(100), SCHEMA).withColumn("fold", (F.col("item_id") % 4).cast("int")).repartition(3)
+    grid = [0.01, 2.0, 50.0]
+    passes, copies = [], []
+    real, keep = conditional._collect_statistics, conditional.stored
+    monkeypatch.setattr(conditional, "_collect_statistics", lambda *a: (passes.append(1), real(*a))[1])
+    monkeypatch.setattr(conditional, "stored", lambda *a: (copies.append(1), keep(*a))[1])
+    model = conditional.cross_validate_grid(df, grid, 4, steps=3, tol=0.0, parallelism=2)
+    assert len(copies) == 1
+    heads = (4 + 1) * 3 if numbers == 1 else 1  # no room for two heads in a pass: one pass each
+    assert len(passes) == (3 + 1) * heads
+    monkeypatch.undo()
+    for f in range(4):
+        for j, l2 in enumerate(grid):
+            alone = conditional.fit_shared_head(df.where(F.col("fold") != f), l2=l2, steps=3, tol=0.0)
+            got = model.subModels[f][j]
+            assert np.allclose(got.fitted.w, alone.w, atol=1e-9) and len(got.fitted.history) == 4
+            assert got.getOrDefault("l2") == l2
+    best = int(np.argmax(model.avgMetrics))
+    assert model.bestModel.getOrDefault("l2") == grid[best]
+    assert np.allclose(model.bestModel.fitted.w, conditional.fit_shared_head(df, l2=grid[best], steps=3, tol=0.0).w, atol=1e-9)
+    for j in range(3):
+        maps = [r["map"] for r in metrics.map_at_k(conditional.out_of_fold(df, model, j), 3, by=["fold"]).collect()]
+        assert model.avgMetrics[j] == pytest.approx(np.mean(maps), abs=1e-12) and model.stdMetrics[j] == pytest.approx(np.std(maps), abs=1e-12)
+
+
+def test_heads_that_stop_or_halve_alone(spark, monkeypatch):
+    """Heads in one pass keep their own pace: one is done at once, one overshoots and is halved."""
+    rows = _items(60)
+    data = conditional.stored(conditional._training(spark.createDataFrame(rows, SCHEMA), "candidates", "y_true", "fold"))
+    real = np.linalg.lstsq
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a, **k: (real(*a, **k)[0] * 50, None, None, None))
+    cases = [{"l2": 0.01, "steps": 3, "tol": 1e9}, {"l2": 0.01, "steps": 3, "tol": 0.0, "left_out": 1}]
+    stops, halves = conditional._fit_heads(data, cases)
+    assert len(stops.history) == 1 and not stops.w.any()
+    steps = [x["objective"] for x in halves.history]
+    assert len(steps) == 4 and steps == sorted(steps, reverse=True) and steps[-1] < steps[0]
+    assert steps[-1] == pytest.approx(_objective([r for r in rows if r[2] != 1], halves.w, 0.01), abs=1e-10)
+
+
+@pytest.mark.parametrize("fold", [3, -1, None])
+def test_folds_out_of_range_raise(spark, fold):
+    df = spark.createDataFrame([*_items(12), (900, 0, fold, [[1.0, 0.0, 0.0]])], SCHEMA)
+    with pytest.raises(Exception, match="Fold number must be in range"):
+        conditional.cross_validate_grid(df, [0.01], 3)
+
+
+def test_empty_folds_raise(spark):
+    df = spark.createDataFrame(_items(12), SCHEMA)
+    with pytest.raises(ValueError, match="validation data at fold 3 is empty"):
+        conditional.cross_validate_grid(df, [0.01], 4)
+    with pytest.raises(ValueError, match="training data at fold 0 is empty"):
+        conditional.cross_validate_grid(df.where("fold = 0"), [0.01], 2)
+
+
+def test_shared_scores_of_odd_lists(spark):
+    big = 2**53 + 1
+    rows = [(big, None, [[1, 2], [3, 4]]), (None, "a", None), (3, "b", []), (4, "c", [[None, 1]]), (5, "d", [[5, 6], [7, 8], [9, 10]])]
+    df = spark.createDataFrame(rows, "item_id long, name string, candidates array<array<bigint>>").coalesce(1)
+    got = {r["name"]: r for r in score.shared_head(df, [1.0, 10.0], 0.5).collect()}
+    assert got[None]["item_id"] == big and got["a"]["item_id"] is None and got["d"]["candidates"] == [[5, 6], [7, 8], [9, 10]]
+    assert [got[x]["logits"] for x in (None, "a", "b", "d")] == [[21.5, 43.5], None, [], [65.5, 87.5, 109.5]]
+    assert len(got["c"]["logits"]) == 1 and np.isnan(got["c"]["logits"][0])
+    for wrong in ([[1]], [[1, 2], None], [[1, 2, 3, 4]]):
+        with pytest.raises(Exception, match="width"):
+            score.shared_head(spark.createDataFrame([(1, "a", wrong)], df.schema), [1.0, 10.0], 0.5).collect()
+
+
+def test_stored_by_a_column_reads_its_folders_only(spark):
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z")], "fold int, name string")
+    kept = stored(df, "by-fold", "fold")
+    assert kept.schema == df.schema and sorted(kept.collect(), key=str) == sorted(df.collect(), key=str)
+    assert len(kept.inputFiles()) > 1 and "PartitionFilters: [isnotnull(fold" in kept.where("fold = 2")._jdf.queryExecution().toString()
